@@ -15,7 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetcraft.functions.joins import join_small, with_one_row
+from fleetcraft.functions.joins import bounded_local, join_small, with_one_row
 
 
 def _stat(c: str, kind: str) -> str:
@@ -151,6 +151,14 @@ def update_registry(registry: DataFrame | None, df: DataFrame, features: Sequenc
     return registry.unionByName(fit(fresh, features, group))
 
 
+def bounded_registry(registry: DataFrame, max_rows: int = 100_000) -> DataFrame:
+    """Pin a fitted registry as a local relation when it is small (one row per
+    group), so later transforms broadcast it instead of refitting; a registry
+    over the bound stays a distributed table."""
+    local = bounded_local(registry, max_rows)
+    return registry if local is None else local
+
+
 # ---------------------------------------------------------------------------
 # Dedup
 # ---------------------------------------------------------------------------

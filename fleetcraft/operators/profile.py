@@ -1,0 +1,153 @@
+"""Profiling: missing share, null counts, describe, box numbers, skew,
+correlation, value counts and per-segment means (D1-D4, D8, D9, A15, A16).
+
+Each report is one aggregate pass over all requested columns (a single job,
+partial aggregation on every executor), reshaped into rows afterwards.
+Quartiles use ``percentile_approx``: a fixed-size sketch per task, so memory
+does not grow with the table; with ``accuracy >= rows`` the result is the
+exact lower quantile. ``exact=True`` switches to Spark's interpolating
+``percentile`` (pandas ``describe`` numbers), which keeps a value->count map
+and is meant for small tables.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from fleetcraft.functions.joins import with_one_row
+
+DEFAULT_ACCURACY = 1_000_000
+NUMERIC = ("double", "float", "int", "bigint", "long", "integer", "smallint", "tinyint", "short", "byte")
+
+
+def numeric_columns(df: DataFrame) -> list[str]:
+    return [f.name for f in df.schema.fields if f.dataType.typeName() in NUMERIC or
+            f.dataType.simpleString() in NUMERIC]
+
+
+def _missing(c: str, df: DataFrame) -> Column:
+    x = F.col(c)
+    if df.schema[c].dataType.typeName() in ("double", "float"):
+        return x.isNull() | F.isnan(x)
+    return x.isNull()
+
+
+def _rows(one_row: DataFrame, structs: list[Column]) -> DataFrame:
+    return one_row.select(F.explode(F.array(*structs)).alias("r")).select("r.*")
+
+
+def missing_percent(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """Percent of missing values (NULL or NaN) per column."""
+    cols = list(columns or df.columns)
+    stats = df.agg(F.count(F.lit(1)).alias("__n"),
+                   *[F.count_if(_missing(c, df)).alias(f"__m{i}") for i, c in enumerate(cols)])
+    return _rows(stats, [F.struct(F.lit(c).alias("column_name"),
+                                  (F.col(f"__m{i}") * 100.0 / F.col("__n")).alias("percent_missing"))
+                         for i, c in enumerate(cols)])
+
+
+def null_counts(df: DataFrame) -> DataFrame:
+    """One row, NULL count per column (the reference's check)."""
+    return df.select([F.count(F.when(F.col(c).isNull(), F.lit(1))).alias(c) for c in df.columns])
+
+
+def _quantiles(c: str, qs: Sequence[float], exact: bool, accuracy: int) -> Column:
+    x = F.col(c).cast("double")
+    if exact:
+        return F.percentile(x, list(qs))
+    return F.percentile_approx(x, list(qs), accuracy)
+
+
+def describe(df: DataFrame, columns: Sequence[str] | None = None, exact: bool = False,
+             accuracy: int = DEFAULT_ACCURACY) -> DataFrame:
+    """Count, mean, sample std, min, quartiles and max per column."""
+    cols = list(columns or numeric_columns(df))
+    aggs = []
+    for i, c in enumerate(cols):
+        x = F.col(c).cast("double")
+        aggs += [F.count(x).alias(f"__n{i}"), F.avg(x).alias(f"__mean{i}"), F.stddev_samp(x).alias(f"__std{i}"),
+                 F.min(x).alias(f"__min{i}"), F.max(x).alias(f"__max{i}"),
+                 _quantiles(c, (0.25, 0.5, 0.75), exact, accuracy).alias(f"__q{i}")]
+    stats = df.agg(*aggs)
+    return _rows(stats, [F.struct(
+        F.lit(c).alias("column_name"), F.col(f"__n{i}").alias("count"), F.col(f"__mean{i}").alias("mean"),
+        F.col(f"__std{i}").alias("std"), F.col(f"__min{i}").alias("min"),
+        F.col(f"__q{i}")[0].alias("p25"), F.col(f"__q{i}")[1].alias("p50"), F.col(f"__q{i}")[2].alias("p75"),
+        F.col(f"__max{i}").alias("max")) for i, c in enumerate(cols)])
+
+
+def box_numbers(df: DataFrame, columns: Sequence[str] | None = None, exact: bool = False,
+                accuracy: int = DEFAULT_ACCURACY, whisker: float = 1.5) -> DataFrame:
+    """D3 (box plot re-aimed as numbers): quartiles, whisker ends (most extreme
+    values within ``whisker`` x IQR of the box) and the outlier count.
+
+    Two passes: quartiles (one row, broadcast), then whiskers and outliers.
+    """
+    cols = list(columns or numeric_columns(df))
+    q = df.agg(*[_quantiles(c, (0.25, 0.5, 0.75), exact, accuracy).alias(f"__q{i}") for i, c in enumerate(cols)])
+    aggs = []
+    for i, c in enumerate(cols):
+        x, q1, q3 = F.col(c).cast("double"), F.col(f"__q{i}")[0], F.col(f"__q{i}")[2]
+        lo, hi = q1 - whisker * (q3 - q1), q3 + whisker * (q3 - q1)
+        aggs += [F.first(F.col(f"__q{i}")).alias(f"__qq{i}"),
+                 F.min(F.when(x >= lo, x)).alias(f"__wl{i}"), F.max(F.when(x <= hi, x)).alias(f"__wh{i}"),
+                 F.count_if((x < lo) | (x > hi)).alias(f"__out{i}")]
+    stats = with_one_row(df, q).agg(*aggs)
+    return _rows(stats, [F.struct(
+        F.lit(c).alias("column_name"), F.col(f"__qq{i}")[0].alias("q1"), F.col(f"__qq{i}")[1].alias("median"),
+        F.col(f"__qq{i}")[2].alias("q3"), (F.col(f"__qq{i}")[2] - F.col(f"__qq{i}")[0]).alias("iqr"),
+        F.col(f"__wl{i}").alias("whisker_low"), F.col(f"__wh{i}").alias("whisker_high"),
+        F.col(f"__out{i}").alias("outliers")) for i, c in enumerate(cols)])
+
+
+def skew(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """Bias-corrected sample skewness (pandas ``skew``):
+    ``g1 * sqrt(n (n - 1)) / (n - 2)`` from Spark's population ``skewness``."""
+    cols = list(columns or numeric_columns(df))
+    aggs = []
+    for i, c in enumerate(cols):
+        x = F.col(c).cast("double")
+        aggs += [F.skewness(x).alias(f"__g{i}"), F.count(x).cast("double").alias(f"__n{i}")]
+    stats = df.agg(*aggs)
+    out = []
+    for i, c in enumerate(cols):
+        n = F.col(f"__n{i}")
+        corr = F.try_divide(F.sqrt(n * (n - 1)), n - 2)
+        out.append(F.struct(F.lit(c).alias("column_name"), (F.col(f"__g{i}") * corr).alias("skew")))
+    return _rows(stats, out)
+
+
+def correlation_lower(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """|Pearson r| for every pair below the diagonal (row feature after
+    column feature in the given order), all pairs in one aggregate."""
+    cols = list(columns or numeric_columns(df))
+    pairs = [(a, b) for j, b in enumerate(cols) for a in cols[j + 1:]]
+    stats = df.agg(*[F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"__r{k}")
+                     for k, (a, b) in enumerate(pairs)])
+    return _rows(stats, [F.struct(F.lit(a).alias("feature_a"), F.lit(b).alias("feature_b"),
+                                  F.abs(F.col(f"__r{k}")).alias("abs_corr")) for k, (a, b) in enumerate(pairs)])
+
+
+def value_counts(df: DataFrame, column: str) -> DataFrame:
+    """Rows per value, most frequent first."""
+    return df.groupBy(column).agg(F.count(F.lit(1)).alias("count")).orderBy(F.desc("count"), column)
+
+
+def means_by_segment(df: DataFrame, segment: str, columns: Sequence[str] | None = None) -> DataFrame:
+    """A16 (long form): mean of every numeric column per segment."""
+    cols = [c for c in (columns or numeric_columns(df)) if c != segment]
+    return (df.groupBy(segment).agg(*[F.avg(F.col(c).cast("double")).alias(c) for c in cols])
+            .unpivot(segment, cols, "feature", "mean"))
+
+
+def means_transposed(df: DataFrame, segment: str, labels: Sequence[str],
+                     columns: Sequence[str] | None = None) -> DataFrame:
+    """Feature x segment table of means (``groupby().mean().T``).
+
+    The segment labels are passed in, so the pivot needs no extra job to find them.
+    """
+    long = means_by_segment(df, segment, columns)
+    return long.groupBy("feature").pivot(segment, list(labels)).agg(F.first("mean"))
