@@ -105,7 +105,7 @@ def _persisted(points: DataFrame, dims: Sequence[str]) -> DataFrame:
 
 
 def fit_kmeans(points: DataFrame, k: int, dims: Sequence[str] = DIMS, restarts: int = RESTARTS,
-               seed: int = SEED, max_iter: int = MAX_ITER, parallel: int = 4) -> Clusterer:
+               seed: int = SEED, max_iter: int = MAX_ITER, parallel: int = 8) -> Clusterer:
     """Best of ``restarts`` seeded ``KMeans`` fits by training cost.
 
     k = 1 has a closed form (the mean); Spark's KMeans needs k >= 2.
@@ -193,7 +193,10 @@ def silhouette_squared(assigned: DataFrame, dims: Sequence[str] = DIMS, out: str
         b = other if b is None else F.least(b, other)
     if b is None or len(stats) < 2:
         return assigned.withColumn("silhouette", F.lit(0.0))
-    s = F.when(own_n <= 1, F.lit(0.0)).otherwise(F.try_divide(b - a, F.greatest(a, b)))
+    s = (F.when(own_n <= 1, F.lit(0.0))
+         .when(a < b, F.lit(1.0) - F.try_divide(a, b))
+         .when(a > b, F.try_divide(b, a) - F.lit(1.0))
+         .otherwise(F.lit(0.0)))
     return assigned.withColumn("silhouette", s)
 
 
@@ -236,7 +239,7 @@ def fit_segments(prepared: DataFrame, k: int, registry: DataFrame | None = None,
     reg = prepare.bounded_registry(reg)
     scaled = prepare.transform_minmax(prepared, reg, features).na.drop(subset=list(features))
     emb = fit_embedding(scaled, features)
-    points = embed(emb, scaled, [key, "logistic_region"])
+    points = embed(emb, scaled, [key, "logistic_region"]).persist(StorageLevel.MEMORY_AND_DISK)
     clusterer = fit_kmeans(points, k, restarts=restarts)
     model = SegmentModel(reg, emb, clusterer, prefix)
     return model, label_rows(points, clusterer, prefix)

@@ -21,6 +21,7 @@ from fleetcraft.functions.period import Period
 from fleetcraft.operators import features as feat
 from fleetcraft.operators.eligibility import CITIES_S1
 from fleetcraft.operators.prepare import fill_with_mean
+from fleetcraft.sources.tables import materialise
 
 ZERO_FILLED = ("strikes", "qty_recharge", "avg_recharge", "avg_daily_utr", "share_days_non_negative")
 MEAN_FILLED = ("speed", "consumer_evaluation", "days_connected", "avg_daily_critical_hours_executed")
@@ -76,14 +77,21 @@ def joined_features(t, p: FeatureParams) -> DataFrame:
     return fold_left(base, parts, "driver_uuid")
 
 
-def feature_row(t, p: FeatureParams) -> DataFrame:
+def feature_row(t, p: FeatureParams, store: bool = True) -> DataFrame:
     """K9 + K10: filled feature row, new-driver attributes, listed regions only.
 
     Zero-fill five columns, fill four with their mean over all drivers (D6:
     the mean is a one-row aggregate broadcast back), stamp the run date, drop
     rows still holding a NULL, attach new-driver attributes on (uuid, region).
+
+    The mean needs a pass over the joined rows before they can be filled; with
+    ``store`` the joined per-driver table is written once to the shared
+    checkpoint folder so the heavy scans and joins run a single time.
     """
-    row = zero_fill(joined_features(t, p), ZERO_FILLED)
+    joined = joined_features(t, p)
+    if store:
+        joined = materialise(joined, "joined-features")
+    row = zero_fill(joined, ZERO_FILLED)
     row = fill_with_mean(row, MEAN_FILLED)
     row = row.withColumn("date_partition", F.lit(p.windows.end)).na.drop()
     newd = feat.new_drivers(t.worker_registration(), t.workers(), t.deliveries(), p.new_driver_as_of,

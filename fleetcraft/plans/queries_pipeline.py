@@ -139,7 +139,9 @@ def feature_row(spark, sf):
 
 
 def features_table(spark, sf):
-    return feature_mart.feature_row(fixtures(spark, sf), FEATURES)
+    """The feature row as a stored table, for consumers that make several passes."""
+    from fleetcraft.sources.tables import materialise
+    return materialise(feature_mart.feature_row(fixtures(spark, sf), FEATURES), "features")
 
 
 # ---------------------------------------------------------------------------

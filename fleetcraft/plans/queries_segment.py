@@ -33,6 +33,16 @@ def seg_input(spark, sf):
     return prepare.dedup_first(data, "driver_uuid", ["date_partition", "logistic_region"])
 
 
+def seg_input_stored(spark, sf):
+    """The prepared input written once to the shared checkpoint folder.
+
+    Model fitting makes many passes (PCA, every k-means restart, forests);
+    reading a small written table instead of re-running the feature mart each
+    time cuts the lineage, and a lost executor re-reads files, not the plan.
+    """
+    return tables.materialise(seg_input(spark, sf), "segment-input")
+
+
 def scaled_input(spark, sf):
     return prepare.scale_minmax(seg_input(spark, sf), FEATS)
 
@@ -261,7 +271,8 @@ _SIL_CTES = [_ASSIGN_CTE, ("cstats", """
 
 @register("silhouette_squared", _seg_sql("""
     SELECT a.driver_uuid, a.c1, a.c2, a.cluster, a.cluster_sqdist,
-           CASE WHEN s.own_n <= 1 THEN 0.0 ELSE (s.b - s.a) / nullif(greatest(s.a, s.b), 0) END AS silhouette
+           CASE WHEN s.own_n <= 1 THEN 0.0 WHEN s.a < s.b THEN 1.0 - s.a / s.b
+                WHEN s.a > s.b THEN s.b / s.a - 1.0 ELSE 0.0 END AS silhouette
     FROM assigned a JOIN sil s ON a.driver_uuid = s.driver_uuid""", _SIL_CTES))
 def silhouette_squared(spark, sf):
     return segment.silhouette_squared(segment.assign(fixed_points(spark, sf), FIXED_CENTERS))
@@ -269,7 +280,8 @@ def silhouette_squared(spark, sf):
 
 @register("silhouette_summary", _seg_sql("""
     SELECT cluster, count(*) AS rows,
-           avg(CASE WHEN own_n <= 1 THEN 0.0 ELSE (b - a) / nullif(greatest(a, b), 0) END) AS silhouette
+           avg(CASE WHEN own_n <= 1 THEN 0.0 WHEN a < b THEN 1.0 - a / b
+                    WHEN a > b THEN b / a - 1.0 ELSE 0.0 END) AS silhouette
     FROM sil GROUP BY ROLLUP (cluster)""", _SIL_CTES))
 def silhouette_summary(spark, sf):
     return segment.silhouette_summary(
@@ -281,7 +293,7 @@ def silhouette_summary(spark, sf):
 # ---------------------------------------------------------------------------
 
 def _embedded(spark, sf):
-    scaled = scaled_input(spark, sf).na.drop(subset=list(FEATS))
+    scaled = prepare.scale_minmax(seg_input_stored(spark, sf), FEATS).na.drop(subset=list(FEATS))
     model = segment.fit_embedding(scaled)
     return segment.embed(model, scaled, ["driver_uuid", "logistic_region"])
 
@@ -297,7 +309,7 @@ def elbow_k1_9(spark, sf):
 
 
 def _top(spark, sf, restarts=segment.RESTARTS):
-    return segment.fit_segments(seg_input(spark, sf), k=2, restarts=restarts)
+    return segment.fit_segments(seg_input_stored(spark, sf), k=2, restarts=restarts)
 
 
 @register("kmeans_segments")
@@ -317,7 +329,7 @@ def hierarchical(spark, sf, sub_k=(("A", 2), ("B", 4))):
     The subsegments reuse the top-level scaler registry (all regions are
     known), refit projection and k-means on their own rows, and are unioned.
     """
-    data = seg_input(spark, sf)
+    data = seg_input_stored(spark, sf)
     model, top = segment.fit_segments(data, k=2)
     labelled = data.join(top.select("driver_uuid", "segmentation"), "driver_uuid")
     parts, models = [], {"": model}
@@ -342,7 +354,7 @@ def hierarchical_segments(spark, sf):
 def score_new_load(spark, sf):
     """Fit on one load, then score a fresh load with the stored models."""
     _, models = hierarchical(spark, sf)
-    fresh = seg_input(spark, sf)
+    fresh = seg_input_stored(spark, sf)
     top = segment.score(models[""], fresh)
     labelled = fresh.join(top.select("driver_uuid", "segmentation"), "driver_uuid")
     parts = [segment.score(models[p], labelled.where(F.col("segmentation") == p), column="subsegmentation")
@@ -358,7 +370,8 @@ def priority_lookup(spark, sf):
 
 @register("feature_importance")
 def feature_importance(spark, sf):
-    return segment.feature_importance(_top(spark, sf)[1].join(seg_input(spark, sf), "driver_uuid")
+    model, top = _top(spark, sf)
+    return segment.feature_importance(top.join(seg_input_stored(spark, sf), "driver_uuid")
                                       .drop(*[c for c in ("c1", "c2")]))
 
 
