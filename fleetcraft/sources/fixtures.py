@@ -8,7 +8,7 @@ below (a driver is a customer). The same rules exist as DuckDB SQL in
 
 Scale notes: the big inputs (lineitem, orders, events) are only ever joined on
 their own keys; small dimensions (nation, supplier->region) go through
-``join_small`` which broadcasts only after a row-count check.
+``small_side``, which broadcasts only after a row-count check.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fleetcraft.functions.joins import join_small
+from fleetcraft.functions.joins import small_side
 from fleetcraft.sources.tables import load
 
 # Fixed values of the fixture mapping (see FIXTURES.md section 3).
@@ -31,6 +31,11 @@ EXPECTED_DELIVERY_TIME = 25.0
 NATION_COUNT = 25
 
 
+# Checked small sides (dimension tables) per (session, directory): the size
+# check and local copy are made once, not once per query.
+_SMALL: dict[tuple[int, str, str], DataFrame] = {}
+
+
 class Fixtures:
     """Lazily built logical tables over one test-data directory."""
 
@@ -39,6 +44,12 @@ class Fixtures:
         self.base_dir = base_dir
         self._memo: dict[str, DataFrame] = {}
 
+    def _small(self, name: str, build) -> DataFrame:
+        key = (id(self.spark), self.base_dir, name)
+        if key not in _SMALL:
+            _SMALL[key] = small_side(build())
+        return _SMALL[key]
+
     def _raw(self, name: str, *columns: str) -> DataFrame:
         return load(self.spark, self.base_dir, name, list(columns) or None)
 
@@ -49,7 +60,8 @@ class Fixtures:
 
     # -- dimensions ---------------------------------------------------------
     def nation(self) -> DataFrame:
-        return self._raw("nation", "n_nationkey", "n_name")
+        """Nation dimension (25 rows), size-checked once and broadcast."""
+        return self._small("nation", lambda: self._raw("nation", "n_nationkey", "n_name"))
 
     def workers(self) -> DataFrame:
         """id -> uuid map of the worker master table (CF:67)."""
@@ -59,7 +71,7 @@ class Fixtures:
     def accounts(self) -> DataFrame:
         def build():
             c = self._raw("customer", "c_custkey", "c_name", "c_nationkey")
-            return (join_small(c, self.nation(), c.c_nationkey == F.col("n_nationkey"), "left")
+            return (c.join(self.nation(), c.c_nationkey == F.col("n_nationkey"), "left")
                     .select(F.col("c_custkey").alias("driver_id"),
                             F.col("c_name").alias("driver_uuid"),
                             F.lit(TENANT).alias("tenant"),
@@ -69,7 +81,7 @@ class Fixtures:
     def segmentation(self) -> DataFrame:
         def build():
             c = self._raw("customer", "c_custkey", "c_nationkey", "c_mktsegment")
-            return (join_small(c, self.nation(), c.c_nationkey == F.col("n_nationkey"), "left")
+            return (c.join(self.nation(), c.c_nationkey == F.col("n_nationkey"), "left")
                     .select(F.col("c_custkey").alias("driver_id"),
                             F.col("c_mktsegment").alias("segment"),
                             F.lit(SEGMENTATION_DATE).cast("timestamp_ntz").alias("segmentation_date"),
@@ -82,7 +94,7 @@ class Fixtures:
             o = self._raw("orders", "o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority",
                           "o_totalprice")
             o = o.withColumn("_nk", (F.col("o_orderkey") % NATION_COUNT).cast("int"))
-            return (join_small(o, self.nation(), F.col("_nk") == F.col("n_nationkey"), "left")
+            return (o.join(self.nation(), F.col("_nk") == F.col("n_nationkey"), "left")
                     .select(F.col("o_custkey").alias("driver_id"),
                             F.col("o_orderkey").alias("order_number"),
                             F.col("o_orderdate").alias("date_timestamp"),
@@ -94,9 +106,12 @@ class Fixtures:
         return self._once("wallet_orders", build)
 
     def _supplier_region(self) -> DataFrame:
-        s = self._raw("supplier", "s_suppkey", "s_nationkey")
-        return (join_small(s, self.nation(), s.s_nationkey == F.col("n_nationkey"), "left")
-                .select("s_suppkey", F.upper("n_name").alias("logistic_region")))
+        """supplier -> region; broadcast only while the size check passes, else a shuffle join."""
+        def build():
+            s = self._raw("supplier", "s_suppkey", "s_nationkey")
+            return (s.join(self.nation(), s.s_nationkey == F.col("n_nationkey"), "left")
+                    .select("s_suppkey", F.upper("n_name").alias("logistic_region")))
+        return self._small("supplier_region", build)
 
     def deliveries(self) -> DataFrame:
         def build():
@@ -105,7 +120,7 @@ class Fixtures:
             li = self._raw("lineitem", "l_orderkey", "l_suppkey", "l_linenumber", "l_quantity",
                            "l_discount", "l_tax", "l_linestatus", "l_shipdate")
             d = li.join(oc, li.l_orderkey == oc.o_orderkey, "inner")
-            d = join_small(d, self._supplier_region(), d.l_suppkey == F.col("s_suppkey"), "left")
+            d = d.join(self._supplier_region(), d.l_suppkey == F.col("s_suppkey"), "left")
             return d.select(
                 F.col("o_custkey").alias("driver_id"),
                 F.col("driver_uuid"),
