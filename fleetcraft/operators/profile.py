@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from fleetcraft.functions.joins import with_one_row
 
-DEFAULT_ACCURACY = 1_000_000
+DEFAULT_ACCURACY = 100_000
 NUMERIC = ("double", "float", "int", "bigint", "long", "integer", "smallint", "tinyint", "short", "byte")
 
 

@@ -281,6 +281,6 @@ def feature_importance(labelled: DataFrame, features: Sequence[str] = SEGMENT_FE
     vec = _vec(idx.transform(data), features)
     rf = RandomForestClassifier(labelCol="__label", featuresCol="features", numTrees=trees, seed=seed).fit(vec)
     imp = rf.featureImportances.toArray().tolist()
-    rows = sorted(zip(features, imp), key=lambda t: -t[1])[:top]
-    return labelled.sparkSession.createDataFrame([(f, float(v)) for f, v in rows],
-                                                 "feature string, importance double")
+    scores = labelled.sparkSession.createDataFrame([(f, float(v)) for f, v in zip(features, imp)],
+                                                   "feature string, importance double")
+    return scores.orderBy(F.desc("importance"), "feature").limit(top)   # O2: top-n

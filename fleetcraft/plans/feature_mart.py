@@ -57,11 +57,18 @@ class FeatureParams:
     new_driver_max_orders: int = 5
 
 
-def joined_features(t, p: FeatureParams) -> DataFrame:
+def joined_features(t, p: FeatureParams, store: bool = False) -> DataFrame:
     """K9 before filling: main region + KPIs, routes, supply, strikes,
-    recharges, wallet share and UTR, one row per (driver, main region)."""
+    recharges, wallet share and UTR, one row per (driver, main region).
+
+    Region, KPIs and UTR each read the delivery facts with a different column
+    set, so Spark cannot share one scan between them; with ``store`` the facts
+    (the big lineitem x orders join) are written once and read three times.
+    """
     w = p.windows
     facts = feat.delivery_facts(t.deliveries(), w.deliveries, p.codes)
+    if store:
+        facts = materialise(facts, "delivery-facts")
     daily = feat.supply_daily(t.supply_intervals(), w.supply)
     base = feat.main_region(facts, p.ties)
     parts = [
@@ -88,7 +95,7 @@ def feature_row(t, p: FeatureParams, store: bool = True) -> DataFrame:
     ``store`` the joined per-driver table is written once to the shared
     checkpoint folder so the heavy scans and joins run a single time.
     """
-    joined = joined_features(t, p)
+    joined = joined_features(t, p, store)
     if store:
         joined = materialise(joined, "joined-features")
     row = zero_fill(joined, ZERO_FILLED)

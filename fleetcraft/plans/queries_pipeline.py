@@ -15,6 +15,7 @@ from fleetcraft.plans.catalogue import (ELIGIBILITY, EVENTS_15, EVENTS_30, FEATU
                                         fixtures, register)
 from fleetcraft.plans.oracle_views import initcap, round_mean, with_views
 from fleetcraft.plans.queries_driver import FACTS_SQL, SUPPLY_DAILY_SQL, UTR_SQL
+from fleetcraft.sources import tables
 
 _causes = ", ".join(f"'{c}'" for c in RECHARGE_CAUSES)
 _excluded = ", ".join(f"'{c}'" for c in STRIKE_EXCLUDED)
@@ -360,6 +361,11 @@ def selected_by_region(spark, sf):
     return elig.selected_by_region(_final(spark, sf))
 
 
+@register("selected_listing", worker_sql("SELECT * FROM final WHERE selected = 1", extra=[FINAL_CTE]))
+def selected_listing(spark, sf):
+    return elig.selected_listing(_final(spark, sf))
+
+
 @register("selected_total", worker_sql("SELECT CAST(sum(selected) AS BIGINT) AS selected_drivers FROM final",
                                        extra=[FINAL_CTE]))
 def selected_total(spark, sf):
@@ -367,8 +373,16 @@ def selected_total(spark, sf):
 
 
 def _final_view(spark, sf):
-    final = _final(spark, sf)
-    final.createOrReplaceTempView("driver_segments_final")
+    """Publish the final table as the reference does, then expose it to SQL.
+
+    Stage it (S4), stop on a duplicate driver (Q1 gate), overwrite the saved
+    table (S5) and register the saved files as a view for the SQL checks (S9).
+    """
+    staged = tables.materialise(_final(spark, sf), "final-staged")
+    quality.gate(quality.quality_report(staged, "driver_segments_final", unique_key="driver_id"))
+    path = tables.scratch_path(spark, "driver-segments-final")
+    tables.overwrite_table(staged, path)
+    tables.register_views(spark, {"driver_segments_final": spark.read.parquet(path)})
     return spark
 
 

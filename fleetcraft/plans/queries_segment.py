@@ -362,6 +362,21 @@ def score_new_load(spark, sf):
     return labelled.join(parts[0].unionByName(parts[1]), "driver_uuid")
 
 
+SUBSEGMENTS = ("AA", "AB", "BA", "BB", "BC", "BD")
+
+
+@register("subsegment_sizes")
+def subsegment_sizes(spark, sf):
+    """A15 on the fitted subsegments."""
+    return profile.value_counts(hierarchical(spark, sf)[0], "subsegmentation")
+
+
+@register("subsegment_profile")
+def subsegment_profile(spark, sf):
+    """A16 on the fitted subsegments: feature x subsegment means."""
+    return profile.means_transposed(hierarchical(spark, sf)[0], "subsegmentation", SUBSEGMENTS, FEATS)
+
+
 @register("priority_lookup")
 def priority_lookup(spark, sf):
     segs = hierarchical(spark, sf)[0]
