@@ -225,34 +225,53 @@ def label_rows(points: DataFrame, clusterer: Clusterer, prefix: str = "", column
 class SegmentModel:
     """Everything needed to score a new load without refitting."""
 
-    scaler: DataFrame            # per-region min/max registry
+    scaler: DataFrame            # per-region registry (min/max or mean/std)
     embedding: PipelineModel
     clusterer: Clusterer
     prefix: str = ""
+    kind: str = "minmax"
 
 
 def fit_segments(prepared: DataFrame, k: int, registry: DataFrame | None = None, prefix: str = "",
                  restarts: int = RESTARTS, features: Sequence[str] = SEGMENT_FEATURES,
-                 key: str = "driver_uuid") -> tuple[SegmentModel, DataFrame]:
-    """Scale by region (registry: only new regions fitted, D13), embed, cluster, label."""
-    reg = prepare.update_registry(registry, prepared, features)
+                 key: str = "driver_uuid", scaler: str = "minmax") -> tuple[SegmentModel, DataFrame]:
+    """Scale by region, embed, cluster, label.
+
+    ``scaler="minmax"`` (final version): the registry is extended with new
+    regions only (D13) and reused. ``scaler="standard"`` (exploratory
+    version): standard parameters are fitted afresh on these rows.
+    """
+    reg = prepare.update_registry(registry if scaler == "minmax" else None, prepared, features, kind=scaler)
     reg = prepare.bounded_registry(reg)
-    scaled = prepare.transform_minmax(prepared, reg, features).na.drop(subset=list(features))
+    transform = prepare.transform_minmax if scaler == "minmax" else prepare.transform_standard
+    scaled = transform(prepared, reg, features).na.drop(subset=list(features))
     emb = fit_embedding(scaled, features)
     points = embed(emb, scaled, [key, "logistic_region"]).persist(StorageLevel.MEMORY_AND_DISK)
     clusterer = fit_kmeans(points, k, restarts=restarts)
-    model = SegmentModel(reg, emb, clusterer, prefix)
+    model = SegmentModel(reg, emb, clusterer, prefix, scaler)
     return model, label_rows(points, clusterer, prefix)
 
 
 def score(model: SegmentModel, prepared: DataFrame, features: Sequence[str] = SEGMENT_FEATURES,
           key: str = "driver_uuid", column: str = "segmentation") -> DataFrame:
     """Apply stored scaler, projection and centres to a fresh load."""
-    scaled = prepare.transform_minmax(prepared, model.scaler, features).na.drop(subset=list(features))
+    transform = prepare.transform_minmax if model.kind == "minmax" else prepare.transform_standard
+    scaled = transform(prepared, model.scaler, features).na.drop(subset=list(features))
     points = embed(model.embedding, scaled, [key, "logistic_region"])
     return label_rows(points, model.clusterer, model.prefix, column)
 
 
+def silhouette_by_k(points: DataFrame, ks: Sequence[int] = (2, 3, 4, 5), dims: Sequence[str] = DIMS,
+                    restarts: int = RESTARTS, seed: int = SEED) -> DataFrame:
+    """C6 sweep: mean squared-distance silhouette of the best fit for each k."""
+    out = []
+    for k in ks:
+        fit = fit_kmeans(points, k, dims, restarts, seed)
+        mean = silhouette_squared(assign(points, fit.centers, dims), dims).agg(F.avg("silhouette")).first()[0]
+        out.append((int(k), float(mean), fit.cost))
+    return points.sparkSession.createDataFrame(out, "k int, silhouette double, inertia double")
+
+
 def cluster_centers(clusterer: Clusterer, spark, prefix: str = "") -> DataFrame:
     """Centres with their letters, as data."""
     names = letters(clusterer.k, prefix)

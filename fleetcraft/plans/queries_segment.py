@@ -323,11 +323,13 @@ def cluster_centers(spark, sf):
     return segment.cluster_centers(model.clusterer, spark)
 
 
-def hierarchical(spark, sf, sub_k=(("A", 2), ("B", 4))):
-    """C8 (P2 sizes): top level k=2, then A -> 2 and B -> 4 subsegments.
+def hierarchical(spark, sf, sub_k=(("A", 2), ("B", 4)), sub_scaler="minmax"):
+    """C8 (final sizes): top level k=2, then A -> 2 and B -> 4 subsegments.
 
     The subsegments reuse the top-level scaler registry (all regions are
     known), refit projection and k-means on their own rows, and are unioned.
+    ``sub_scaler="standard"`` is the exploratory variant (fresh standard
+    scaling per subset).
     """
     data = seg_input_stored(spark, sf)
     model, top = segment.fit_segments(data, k=2)
@@ -335,7 +337,8 @@ def hierarchical(spark, sf, sub_k=(("A", 2), ("B", 4))):
     parts, models = [], {"": model}
     for parent, k in sub_k:
         subset = labelled.where(F.col("segmentation") == parent).drop("segmentation")
-        sub_model, sub = segment.fit_segments(subset, k=k, registry=model.scaler, prefix=parent)
+        sub_model, sub = segment.fit_segments(subset, k=k, registry=model.scaler, prefix=parent,
+                                              scaler=sub_scaler)
         models[parent] = sub_model
         parts.append(sub.withColumnRenamed("segmentation", "subsegmentation"))
     subs = parts[0]
@@ -350,6 +353,18 @@ def hierarchical_segments(spark, sf):
     return hierarchical(spark, sf)[0]
 
 
+@register("hierarchical_segments_exploratory")
+def hierarchical_segments_exploratory(spark, sf):
+    """C8 (exploratory sizes): A -> 4 and B -> 3, standard scaling refitted per subset."""
+    return hierarchical(spark, sf, sub_k=(("A", 4), ("B", 3)), sub_scaler="standard")[0]
+
+
+@register("silhouette_k2_5")
+def silhouette_k2_5(spark, sf):
+    """Silhouette analysis over k = 2..5 on the embedded drivers."""
+    return segment.silhouette_by_k(_embedded(spark, sf), (2, 3, 4, 5))
+
+
 @register("score_new_load")
 def score_new_load(spark, sf):
     """Fit on one load, then score a fresh load with the stored models."""
