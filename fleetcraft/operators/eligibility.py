@@ -134,7 +134,8 @@ def worker_row(t, p: EligibilityParams) -> DataFrame:
         latest_segment(t.segmentation()).select("driver_id", "segmentation_def"),
         feat.wallet_stats(t.daily_wallet(), w.wallet),
         feat.strikes_windowed(t.strikes(), w.strikes, p.strike_excluded),
-        feat.seniority(t.deliveries(), w.as_of, p.codes).select("driver_id", "first_order", "seniority_days"),
+        feat.seniority(t.deliveries(with_uuid=False), w.as_of, p.codes).select(
+            "driver_id", "first_order", "seniority_days"),
         feat.recharges(t.billing(), w.billing, p.recharge_causes),
         feat.online_hours(t.supply_intervals(), w.supply),
         feat.route_completion(t.routes(), w.routes).select("driver_id", "prop_completed_routes",

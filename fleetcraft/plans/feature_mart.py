@@ -69,7 +69,7 @@ def joined_features(t, p: FeatureParams, store: bool = False) -> DataFrame:
     facts = feat.delivery_facts(t.deliveries(), w.deliveries, p.codes)
     if store:
         facts = materialise(facts, "delivery-facts")
-    daily = feat.supply_daily(t.supply_intervals(), w.supply)
+    daily = feat.supply_daily(t.supply_intervals(with_uuid=True), w.supply)
     base = feat.main_region(facts, p.ties)
     parts = [
         feat.delivery_kpis(facts),
@@ -77,7 +77,7 @@ def joined_features(t, p: FeatureParams, store: bool = False) -> DataFrame:
             "driver_uuid", "prop_completed_routes"),
         feat.supply_means(daily),
         feat.strikes_history(t.strikes(), t.workers(), w.end, p.strike_excluded),
-        feat.recharge_features(t.billing(), w.billing, p.recharge_causes),
+        feat.recharge_features(t.billing(with_uuid=True), w.billing, p.recharge_causes),
         feat.wallet_non_negative_share(t.wallet_streak(), t.workers(), w.wallet),
         feat.utr(daily, facts),
     ]

@@ -71,7 +71,7 @@ def strikes_all_history(spark, sf):
     WHERE last_status = '{CODES.completed}' AND date_partition <= DATE '{SENIORITY_AS_OF}'
     GROUP BY driver_id"""))
 def seniority(spark, sf):
-    return feat.seniority(fixtures(spark, sf).deliveries(), SENIORITY_AS_OF, CODES)
+    return feat.seniority(fixtures(spark, sf).deliveries(with_uuid=False), SENIORITY_AS_OF, CODES)
 
 
 @register("online_hours", with_views(["supply_intervals"], f"""
@@ -216,7 +216,7 @@ SUPPLY_MEANS_SQL = """
                                            extra=[("daily", SUPPLY_DAILY_SQL)]))
 def supply_daily_means(spark, sf):
     t = fixtures(spark, sf)
-    return feat.supply_means(feat.supply_daily(t.supply_intervals(), EVENTS_15))
+    return feat.supply_means(feat.supply_daily(t.supply_intervals(with_uuid=True), EVENTS_15))
 
 
 UTR_SQL = """
@@ -232,7 +232,7 @@ UTR_SQL = """
                             extra=[("daily", SUPPLY_DAILY_SQL), ("facts", FACTS_SQL)]))
 def utr(spark, sf):
     t = fixtures(spark, sf)
-    return feat.utr(feat.supply_daily(t.supply_intervals(), EVENTS_15), _facts(spark, sf))
+    return feat.utr(feat.supply_daily(t.supply_intervals(with_uuid=True), EVENTS_15), _facts(spark, sf))
 
 
 @register("recharge_features", with_views(["billing"], f"""
@@ -241,7 +241,7 @@ def utr(spark, sf):
     WHERE {EVENTS_15.sql('day')} AND billing_cause IN ({_causes})
     GROUP BY driver_uuid"""))
 def recharge_features(spark, sf):
-    return feat.recharge_features(fixtures(spark, sf).billing(), EVENTS_15, RECHARGE_CAUSES)
+    return feat.recharge_features(fixtures(spark, sf).billing(with_uuid=True), EVENTS_15, RECHARGE_CAUSES)
 
 
 @register("wallet_non_negative_share", with_views(["wallet_streak", "workers"], f"""

@@ -113,10 +113,15 @@ class Fixtures:
                     .select("s_suppkey", F.upper("n_name").alias("logistic_region")))
         return self._small("supplier_region", build)
 
-    def deliveries(self) -> DataFrame:
+    def deliveries(self, with_uuid: bool = True) -> DataFrame:
+        """Deliveries; ``with_uuid=False`` skips the uuid lookup (a shuffle of
+        the orders) for callers keyed by driver id."""
         def build():
             o = self._raw("orders", "o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate")
-            oc = o.join(self.workers(), o.o_custkey == F.col("driver_id"), "left").drop("driver_id")
+            if with_uuid:
+                oc = o.join(self.workers(), o.o_custkey == F.col("driver_id"), "left").drop("driver_id")
+            else:
+                oc = o.withColumn("driver_uuid", F.lit(None).cast("string"))
             li = self._raw("lineitem", "l_orderkey", "l_suppkey", "l_linenumber", "l_quantity",
                            "l_discount", "l_tax", "l_linestatus", "l_shipdate")
             d = li.join(oc, li.l_orderkey == oc.o_orderkey, "inner")
@@ -139,7 +144,7 @@ class Fixtures:
                 (F.col("l_tax") * 3600).alias("time_to_destination"),
                 F.col("l_quantity").alias("distance_route"),
             )
-        return self._once("deliveries", build)
+        return self._once(f"deliveries-{with_uuid}", build)
 
     def routes(self) -> DataFrame:
         def build():
@@ -168,16 +173,22 @@ class Fixtures:
     def _events(self, *columns: str) -> DataFrame:
         return self._raw("events", *columns)
 
-    def billing(self) -> DataFrame:
+    def _with_uuid(self, e: DataFrame, with_uuid: bool) -> DataFrame:
+        if with_uuid:
+            return e.join(self.workers(), e.user_id == F.col("driver_id"), "left").drop("driver_id")
+        return e.withColumn("driver_uuid", F.lit(None).cast("string"))
+
+    def billing(self, with_uuid: bool = False) -> DataFrame:
+        """Billing events; the uuid is looked up only for uuid-keyed callers."""
         def build():
-            e = self._events("event_id", "ts", "user_id", "event_type", "value")
-            return (e.join(self.workers(), e.user_id == F.col("driver_id"), "left")
+            e = self._with_uuid(self._events("event_id", "ts", "user_id", "event_type", "value"), with_uuid)
+            return (e
                     .select(F.col("user_id").alias("driver_id"), "driver_uuid",
                             F.to_date("ts").alias("day"),
                             F.col("event_type").alias("billing_cause"),
                             (F.col("value") * 100).alias("quantity"),
                             F.col("event_id").alias("id")))
-        return self._once("billing", build)
+        return self._once(f"billing-{with_uuid}", build)
 
     def daily_wallet(self) -> DataFrame:
         e = self._events("ts", "user_id", "value")
@@ -192,16 +203,17 @@ class Fixtures:
                         F.col("event_type").alias("strike_classification"),
                         F.col("event_id").alias("strike_id"))
 
-    def supply_intervals(self) -> DataFrame:
+    def supply_intervals(self, with_uuid: bool = False) -> DataFrame:
+        """Supply intervals; the uuid is looked up only for uuid-keyed callers."""
         def build():
-            e = self._events("ts", "user_id", "value")
-            return (e.join(self.workers(), e.user_id == F.col("driver_id"), "left")
+            e = self._with_uuid(self._events("ts", "user_id", "value"), with_uuid)
+            return (e
                     .select(F.col("user_id").alias("driver_id"), "driver_uuid",
                             F.to_date("ts").alias("date_partition"),
                             F.col("ts").alias("interval_start_timestamp"),
                             (F.col("value") * 60).alias("interval_executed_seconds"),
                             (F.col("value") * 30).alias("interval_worked_seconds")))
-        return self._once("supply_intervals", build)
+        return self._once(f"supply-{with_uuid}", build)
 
     def wallet_streak(self) -> DataFrame:
         e = self._events("ts", "user_id", "value")
