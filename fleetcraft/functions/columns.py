@@ -31,6 +31,20 @@ def round_mean(c: str | Column, digits: int) -> Column:
     return F.round(F.avg(col(c).cast("decimal(38,10)")), digits).cast("double")
 
 
+MONEY = "decimal(38,6)"
+
+
+def money_sum(c: str | Column) -> Column:
+    """Exact sum of a currency amount (decimal), returned as double."""
+    return F.sum(col(c).cast(MONEY)).cast("double")
+
+
+def money_mean(c: str | Column) -> Column:
+    """Exact mean of a currency amount: the decimal sum is exact, so the
+    result does not depend on the order rows are added in."""
+    return F.try_divide(F.sum(col(c).cast(MONEY)).cast("double"), F.count(col(c)).cast("double"))
+
+
 def with_default(c: str | Column, default) -> Column:
     """NULL code -> default."""
     return F.coalesce(col(c), F.lit(default))

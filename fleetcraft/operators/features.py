@@ -22,7 +22,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fleetcraft.functions.columns import flag, ratio, region_name, round_mean, with_default
+from fleetcraft.functions.columns import flag, money_mean, money_sum, ratio, region_name, round_mean, with_default
 from fleetcraft.functions.period import Period, upto, window_filter
 
 # Fixed values of the reference (codes, thresholds).
@@ -68,9 +68,9 @@ def recharges(billing: DataFrame, period: Period | None, causes: Sequence[str] =
     return (billing.where(window_filter(period, "day") & F.col("billing_cause").isin(list(causes)))
             .groupBy(key)
             .agg(F.count("id").alias("recharges"),
-                 F.avg(q).alias("avg_recharge"),
+                 money_mean(q).alias("avg_recharge"),
                  F.count_distinct("day").alias("days_with_recharges"),
-                 F.sum(q).alias("total_recharges")))
+                 money_sum(q).alias("total_recharges")))
 
 
 def order_stats(wallet_orders: DataFrame, period: Period | None, cash: str = CASH_PAYMENT) -> DataFrame:
@@ -100,7 +100,7 @@ def wallet_stats(daily_wallet: DataFrame, period: Period | None) -> DataFrame:
         w = w.where(period.contains_shifted("date_data", -1))
     return (w.groupBy("driver_id")
             .agg(F.sum(flag(F.col("wallet") < 0)).alias("days_negative"),
-                 F.avg("wallet").alias("avg_wallet"),
+                 money_mean("wallet").alias("avg_wallet"),
                  F.min("wallet").alias("min_wallet")))
 
 

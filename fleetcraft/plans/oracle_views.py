@@ -100,6 +100,14 @@ def round_mean(expr: str, digits: int) -> str:
             f"{digits}) AS DOUBLE)")
 
 
+def money_sum(expr: str) -> str:
+    return f"CAST(sum(CAST({expr} AS DECIMAL(38,6))) AS DOUBLE)"
+
+
+def money_mean(expr: str) -> str:
+    return f"(CAST(sum(CAST({expr} AS DECIMAL(38,6))) AS DOUBLE) / nullif(count({expr}), 0))"
+
+
 def with_views(names: list[str] | tuple[str, ...], body: str, extra: list[tuple[str, str]] = ()) -> str:
     """``WITH <views>, <extra ctes> <body>``; views are pulled in with their dependencies."""
     order: list[str] = []

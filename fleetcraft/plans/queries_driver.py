@@ -6,15 +6,15 @@ from fleetcraft.operators import features as feat
 from fleetcraft.plans.catalogue import (CODES, EVENTS_15, EVENTS_30, NEW_DRIVER_AS_OF, ORDERS_WINDOW,
                                         RECHARGE_CAUSES, SENIORITY_AS_OF, STRIKE_EXCLUDED, FEATURE_END,
                                         fixtures, register)
-from fleetcraft.plans.oracle_views import initcap, round_mean, with_views
+from fleetcraft.plans.oracle_views import initcap, money_mean, money_sum, round_mean, with_views
 
 _causes = ", ".join(f"'{c}'" for c in RECHARGE_CAUSES)
 _excluded = ", ".join(f"'{c}'" for c in STRIKE_EXCLUDED)
 
 
 @register("recharges_per_driver", with_views(["billing"], f"""
-    SELECT driver_id, count(id) AS recharges, avg(quantity / 100.0) AS avg_recharge,
-           count(DISTINCT day) AS days_with_recharges, sum(quantity / 100.0) AS total_recharges
+    SELECT driver_id, count(id) AS recharges, {money_mean('quantity / 100.0')} AS avg_recharge,
+           count(DISTINCT day) AS days_with_recharges, {money_sum('quantity / 100.0')} AS total_recharges
     FROM billing
     WHERE {EVENTS_30.sql('day')} AND billing_cause IN ({_causes})
     GROUP BY driver_id"""))
@@ -37,7 +37,7 @@ def order_stats_per_driver(spark, sf):
 
 @register("wallet_stats", with_views(["daily_wallet"], f"""
     SELECT driver_id, CAST(sum(CASE WHEN wallet < 0 THEN 1 ELSE 0 END) AS BIGINT) AS days_negative,
-           avg(wallet) AS avg_wallet, min(wallet) AS min_wallet
+           {money_mean('wallet')} AS avg_wallet, min(wallet) AS min_wallet
     FROM daily_wallet
     WHERE {EVENTS_30.sql('date_data - 1')}
     GROUP BY driver_id"""))

@@ -13,7 +13,7 @@ from fleetcraft.plans.catalogue import (ELIGIBILITY, EVENTS_15, EVENTS_30, FEATU
                                         RECHARGE_CAUSES, REGIONS, RULES_ACTIVE, RULES_ALTERNATE, RUN_DATE,
                                         SENIORITY_AS_OF, STRIKE_EXCLUDED, CODES, NEW_DRIVER_AS_OF,
                                         fixtures, register)
-from fleetcraft.plans.oracle_views import initcap, round_mean, with_views
+from fleetcraft.plans.oracle_views import initcap, money_mean, money_sum, round_mean, with_views
 from fleetcraft.plans.queries_driver import FACTS_SQL, SUPPLY_DAILY_SQL, UTR_SQL
 from fleetcraft.sources import tables
 
@@ -169,7 +169,7 @@ WORKER_CTES = [
         FROM segmentation GROUP BY driver_id"""),
     ("wwal", f"""
         SELECT driver_id, CAST(sum(CASE WHEN wallet < 0 THEN 1 ELSE 0 END) AS BIGINT) AS days_negative,
-               avg(wallet) AS avg_wallet, min(wallet) AS min_wallet
+               {money_mean('wallet')} AS avg_wallet, min(wallet) AS min_wallet
         FROM daily_wallet WHERE {EVENTS_30.sql('date_data - 1')} GROUP BY driver_id"""),
     ("wstk", f"""
         SELECT driver_id, count(DISTINCT strike_id) AS strikes FROM strikes
@@ -181,8 +181,8 @@ WORKER_CTES = [
         FROM deliveries WHERE last_status = '{CODES.completed}' AND date_partition <= DATE '{SENIORITY_AS_OF}'
         GROUP BY driver_id"""),
     ("wrch", f"""
-        SELECT driver_id, count(id) AS recharges, avg(quantity / 100.0) AS avg_recharge,
-               count(DISTINCT day) AS days_with_recharges, sum(quantity / 100.0) AS total_recharges
+        SELECT driver_id, count(id) AS recharges, {money_mean('quantity / 100.0')} AS avg_recharge,
+               count(DISTINCT day) AS days_with_recharges, {money_sum('quantity / 100.0')} AS total_recharges
         FROM billing WHERE {EVENTS_30.sql('day')} AND billing_cause IN ({_causes}) GROUP BY driver_id"""),
     ("wonl", f"""
         SELECT driver_id, sum(interval_executed_seconds / 3600) AS online_hours,
