@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping
+from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -55,14 +55,6 @@ def region_name(c: str | Column) -> Column:
     return F.initcap(F.trim(col(c)))
 
 
-def label_map(c: str | Column, mapping: Mapping) -> Column:
-    """Code -> label lookup as a literal map (E10); unknown codes give NULL."""
-    pairs = []
-    for k, v in mapping.items():
-        pairs += [F.lit(k), F.lit(v)]
-    return F.element_at(F.create_map(*pairs), col(c))
-
-
 def zero_fill(df: DataFrame, columns: Iterable[str]) -> DataFrame:
     """NULL -> 0 on a subset (D7, X10), keeping each column's type."""
     cols = set(columns)

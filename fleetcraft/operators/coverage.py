@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetcraft.functions.columns import flag, ratio, region_name, round_mean
+from fleetcraft.functions.columns import flag, ratio, round_mean
 from fleetcraft.functions.joins import with_one_row
 from fleetcraft.functions.period import Period, window_filter
 from fleetcraft.operators.features import CASH_PAYMENT
@@ -111,8 +111,3 @@ def rule_distribution(rules: DataFrame, digits: int = 2) -> DataFrame:
                  F.count("driver_id").alias("drivers"),
                  round_mean("setting_1", digits).alias("setting_1_perc_drivers"),
                  round_mean("final_setting", digits).alias("perc_drivers_def")))
-
-
-def regions_as_labels(regions: Sequence[str]) -> list:
-    """Region list in the canonical (initcap) form used by the feature mart."""
-    return [region_name(F.lit(r)) for r in regions]

@@ -69,11 +69,14 @@ def fit_embedding(scaled: DataFrame, features: Sequence[str] = SEGMENT_FEATURES,
     return pipe.fit(scaled)
 
 
-def embed(model: PipelineModel, scaled: DataFrame, keep: Sequence[str]) -> DataFrame:
+def embed(model: PipelineModel | None, scaled: DataFrame, keep: Sequence[str]) -> DataFrame:
     """Apply a fitted embedding; output columns ``keep`` + ``c1, c2``.
 
     Rows with a NULL feature are dropped (the reference drops NaN rows before
-    reducing)."""
+    reducing). ``model=None`` (a group too small to fit a projection) maps
+    every row to the origin."""
+    if model is None:
+        return scaled.select(*keep, *[F.lit(0.0).alias(c) for c in DIMS])
     arr = vector_to_array(F.col("__pca"))
     return model.transform(scaled).select(*keep, *[arr[i].alias(c) for i, c in enumerate(DIMS)])
 
@@ -112,7 +115,7 @@ def fit_kmeans(points: DataFrame, k: int, dims: Sequence[str] = DIMS, restarts:
     """
     if k == 1:
         row = points.agg(*[F.avg(d).alias(d) for d in dims]).first()
-        center = tuple(float(row[d]) for d in dims)
+        center = tuple(float(row[d] or 0.0) for d in dims)
         return Clusterer(None, [center], inertia_k1(points, dims), seed)
     vecs = _persisted(points, dims)
     try:
@@ -245,9 +248,11 @@ def fit_segments(prepared: DataFrame, k: int, registry: DataFrame | None = None,
     reg = prepare.bounded_registry(reg)
     transform = prepare.transform_minmax if scaler == "minmax" else prepare.transform_standard
     scaled = transform(prepared, reg, features).na.drop(subset=list(features))
-    emb = fit_embedding(scaled, features)
+    rows = scaled.count()
+    emb = fit_embedding(scaled, features) if rows >= 2 else None
     points = embed(emb, scaled, [key, "logistic_region"]).persist(StorageLevel.MEMORY_AND_DISK)
-    clusterer = fit_kmeans(points, k, restarts=restarts)
+    # A subset smaller than k cannot hold k clusters: one per row at most.
+    clusterer = fit_kmeans(points, max(1, min(k, rows)), restarts=restarts)
     model = SegmentModel(reg, emb, clusterer, prefix, scaler)
     return model, label_rows(points, clusterer, prefix)
 

@@ -12,7 +12,9 @@ SF = "/root/testdata/sf0.001"
 FAST = ["recharges_per_driver", "order_stats_per_driver", "wallet_stats", "strikes_windowed", "seniority",
         "route_completion", "new_drivers", "delivery_kpis", "main_region_ties", "supply_daily_means", "utr",
         "wallet_non_negative_share", "rules_active", "order_coverage", "region_coverage", "final_segments",
-        "geo_repair", "feature_row", "describe", "silhouette_squared"]
+        "geo_repair", "feature_row", "describe", "silhouette_squared", "rules_alternate",
+        "region_coverage_labelled", "selected_by_region", "quality_report", "scale_registry_new_regions",
+        "correlation_lower", "box_numbers", "inertia", "sql_selected", "dedup_first"]
 
 
 @pytest.fixture(scope="module")

@@ -91,3 +91,10 @@ def test_final_segments_suffix_and_null_segment(spark):
     out = {r.driver_id: (r.segmentation_def, r.segment_nb)
            for r in elig.final_segments(seg, rules, dt.date(2024, 1, 31)).collect()}
     assert out == {1: (None, None), 2: ("Top", "TopPrueba")}
+
+
+def test_read_with_options_and_constant_filter(spark):
+    path = tables.scratch_path(spark, "test-options")
+    spark.createDataFrame([(1, "co"), (2, "br")], "driver_id long, tenant string").write.parquet(path)
+    df = tables.load_with_options(spark, path, "parquet", {"mergeSchema": "false"}, where='tenant = "co"')
+    assert [r.driver_id for r in df.collect()] == [1]
