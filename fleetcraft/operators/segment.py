@@ -107,27 +107,43 @@ def _persisted(points: DataFrame, dims: Sequence[str]) -> DataFrame:
     return _vec(points, dims).select("features").persist(StorageLevel.MEMORY_AND_DISK)
 
 
-def fit_kmeans(points: DataFrame, k: int, dims: Sequence[str] = DIMS, restarts: int = RESTARTS,
-               seed: int = SEED, max_iter: int = MAX_ITER, parallel: int = 8) -> Clusterer:
-    """Best of ``restarts`` seeded ``KMeans`` fits by training cost.
+def fit_kmeans_many(points: DataFrame, ks: Sequence[int], dims: Sequence[str] = DIMS,
+                    restarts: int = RESTARTS, seed: int = SEED, max_iter: int = MAX_ITER,
+                    parallel: int = 16) -> dict[int, Clusterer]:
+    """C3 for several k at once: every (k, seed) fit is a Spark ML ``KMeans``
+    job over one cached vector set, submitted to a shared pool so the
+    cluster stays busy; per k the lowest training cost wins (ties: lowest seed).
 
     k = 1 has a closed form (the mean); Spark's KMeans needs k >= 2.
     """
-    if k == 1:
+    out: dict[int, Clusterer] = {}
+    if 1 in ks:
         row = points.agg(*[F.avg(d).alias(d) for d in dims]).first()
         center = tuple(float(row[d] or 0.0) for d in dims)
-        return Clusterer(None, [center], inertia_k1(points, dims), seed)
+        out[1] = Clusterer(None, [center], inertia_k1(points, dims), seed)
+    jobs = [(k, seed + i) for k in ks if k >= 2 for i in range(restarts)]
+    if not jobs:
+        return out
     vecs = _persisted(points, dims)
     try:
-        def one(s: int):
+        def one(job):
+            k, s = job
             m = KMeans(k=k, seed=s, maxIter=max_iter, tol=1e-4, featuresCol="features").fit(vecs)
-            return m.summary.trainingCost, s, m
+            return k, m.summary.trainingCost, s, m
         with ThreadPoolExecutor(max_workers=max(1, parallel)) as pool:
-            fits = list(pool.map(one, [seed + i for i in range(restarts)]))
+            fits = list(pool.map(one, jobs))
     finally:
         vecs.unpersist()
-    cost, s, model = min(fits, key=lambda t: (round(t[0], 9), t[1]))
-    return Clusterer(model, _canonical(model.clusterCenters()), float(cost), s)
+    for k in {k for k, _ in jobs}:
+        _, cost, s, model = min((f for f in fits if f[0] == k), key=lambda t: (round(t[1], 9), t[2]))
+        out[k] = Clusterer(model, _canonical(model.clusterCenters()), float(cost), s)
+    return out
+
+
+def fit_kmeans(points: DataFrame, k: int, dims: Sequence[str] = DIMS, restarts: int = RESTARTS,
+               seed: int = SEED, max_iter: int = MAX_ITER, parallel: int = 16) -> Clusterer:
+    """Best of ``restarts`` seeded ``KMeans`` fits by training cost."""
+    return fit_kmeans_many(points, [k], dims, restarts, seed, max_iter, parallel)[k]
 
 
 def inertia_k1(points: DataFrame, dims: Sequence[str] = DIMS) -> float:
@@ -139,7 +155,8 @@ def inertia_k1(points: DataFrame, dims: Sequence[str] = DIMS) -> float:
 def elbow(points: DataFrame, ks: Sequence[int] = range(1, 10), dims: Sequence[str] = DIMS,
           restarts: int = RESTARTS, seed: int = SEED) -> DataFrame:
     """Inertia of the best fit for each k (non-increasing in k up to fit noise)."""
-    rows = [(int(k), fit_kmeans(points, k, dims, restarts, seed).cost) for k in ks]
+    fits = fit_kmeans_many(points, list(ks), dims, restarts, seed)
+    rows = [(int(k), fits[k].cost) for k in ks]
     return points.sparkSession.createDataFrame(rows, "k int, inertia double")
 
 
@@ -270,8 +287,9 @@ def silhouette_by_k(points: DataFrame, ks: Sequence[int] = (2, 3, 4, 5), dims: S
                     restarts: int = RESTARTS, seed: int = SEED) -> DataFrame:
     """C6 sweep: mean squared-distance silhouette of the best fit for each k."""
     out = []
+    fits = fit_kmeans_many(points, list(ks), dims, restarts, seed)
     for k in ks:
-        fit = fit_kmeans(points, k, dims, restarts, seed)
+        fit = fits[k]
         mean = silhouette_squared(assign(points, fit.centers, dims), dims).agg(F.avg("silhouette")).first()[0]
         out.append((int(k), float(mean), fit.cost))
     return points.sparkSession.createDataFrame(out, "k int, silhouette double, inertia double")

@@ -3,7 +3,6 @@ table, SQL checks, quality and geo (K9-K10, R8-R16, A18, S9, Q1-Q5, G1-G4)."""
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
 
 from fleetcraft.operators import coverage as cov
 from fleetcraft.operators import eligibility as elig
