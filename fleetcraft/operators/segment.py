@@ -49,6 +49,7 @@ MAX_ITER = 300
 PRIORITY = (("AA", 1), ("BC", 2), ("BA", 3), ("BD", 4), ("BB", 5), ("AB", 6))
 
 DIMS = ("c1", "c2")
+MAX_CLUSTERS = 1000   # per-cluster sums are brought to the driver; k is small by design
 
 
 def _vec(df: DataFrame, columns: Sequence[str], out: str = "features") -> DataFrame:
@@ -196,7 +197,9 @@ def silhouette_squared(assigned: DataFrame, dims: Sequence[str] = DIMS, out: str
     stats_rows = (assigned.groupBy(out)
                   .agg(F.count(F.lit(1)).alias("n"), *[F.sum(d).alias(f"s_{d}") for d in dims],
                        F.sum(norm2).alias("s2"))
-                  .orderBy(out).limit(1000).collect())
+                  .limit(MAX_CLUSTERS + 1).collect())
+    if len(stats_rows) > MAX_CLUSTERS:
+        raise ValueError(f"silhouette_squared supports at most {MAX_CLUSTERS} clusters")
     stats = {r[out]: r for r in stats_rows}
     mean_d = {}
     for cid, r in stats.items():
