@@ -190,7 +190,10 @@ def new_drivers(worker_registration: DataFrame, workers: DataFrame, deliveries:
              .select("driver_uuid", region_name("logistic_region").alias("logistic_region"),
                      age.alias("antiquity"))
              .where(F.col("antiquity") <= max_age_days))
+    # Only the young drivers' history is needed: a semi-join keeps the
+    # all-history distinct count from shuffling every driver's deliveries.
     orders = (deliveries.where(upto("date_partition", as_of))
+              .join(young.select("driver_uuid"), "driver_uuid", "left_semi")
               .groupBy("driver_uuid").agg(F.count_distinct("order_uuid").alias("orders")))
     return (young.join(orders, "driver_uuid", "left")
             .select("driver_uuid", "logistic_region",
