@@ -33,7 +33,7 @@ NATION_COUNT = 25
 
 # Checked small sides (dimension tables) per (session, directory): the size
 # check and local copy are made once, not once per query.
-_SMALL: dict[tuple[int, str, str], DataFrame] = {}
+_SMALL: dict[tuple[str, int, str, str], DataFrame] = {}
 
 
 class Fixtures:
@@ -45,7 +45,7 @@ class Fixtures:
         self._memo: dict[str, DataFrame] = {}
 
     def _small(self, name: str, build) -> DataFrame:
-        key = (id(self.spark), self.base_dir, name)
+        key = (self.spark.sparkContext.applicationId, id(self.spark), self.base_dir, name)
         if key not in _SMALL:
             _SMALL[key] = small_side(build())
         return _SMALL[key]
