@@ -86,5 +86,5 @@ def fixtures(spark: SparkSession, sf_dir: str) -> Fixtures:
 
 # Query modules register themselves on import.
 from fleetcraft.plans import queries_driver  # noqa: E402,F401
-from fleetcraft.plans import queries_pipeline  # noqa: E402,F401
+from fleetcraft.plans import queries_mart  # noqa: E402,F401
 from fleetcraft.plans import queries_segment  # noqa: E402,F401

@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from fleetcraft.operators import prepare, profile, segment
 from fleetcraft.plans.catalogue import CODES, REGIONS, fixtures, register
-from fleetcraft.plans.queries_pipeline import FEATURE_CTES, FEATURE_ROW_SQL, FEATURE_VIEWS, features_table
+from fleetcraft.plans.queries_mart import FEATURE_CTES, FEATURE_ROW_SQL, FEATURE_VIEWS, features_table
 from fleetcraft.plans.oracle_views import with_views
 from fleetcraft.sources import tables
 
