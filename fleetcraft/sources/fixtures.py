@@ -64,7 +64,7 @@ class Fixtures:
         return self._small("nation", lambda: self._raw("nation", "n_nationkey", "n_name"))
 
     def workers(self) -> DataFrame:
-        """id -> uuid map of the worker master table (CF:67)."""
+        """id -> uuid map of the worker master table."""
         return self._raw("customer", "c_custkey", "c_name").select(
             F.col("c_custkey").alias("driver_id"), F.col("c_name").alias("driver_uuid"))
 
