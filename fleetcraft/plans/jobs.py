@@ -65,7 +65,8 @@ def eligibility_job(t, params: elig.EligibilityParams, rule_set: elig.RuleSet, r
     quality.gate(quality.quality_report(final, "driver_segments_final", unique_key="driver_id"))
     final_path = os.path.join(out_dir, "driver_segments_final")
     tables.overwrite_table(final, final_path)
-    base = cov.order_base(t.wallet_orders(), params.windows.orders)
+    # One (driver, region) aggregate of the window feeds both reports: stored once.
+    base = tables.materialise(cov.order_base(t.wallet_orders(), params.windows.orders), "order-base")
     return EligibilityResult(
         workers=workers, rules=rules, final=spark.read.parquet(final_path),
         order_coverage=cov.order_coverage(base, rules),
