@@ -137,6 +137,35 @@ def box_numbers(spark, sf):
     return profile.box_numbers(features_table(spark, sf), FEATS)
 
 
+def _outliers_replaced(spark, sf):
+    data = features_table(spark, sf)
+    data = data.select(*[c for c in data.columns if c not in segment.DROPPED_FEATURES])
+    return prepare.replace_outliers(data, OUTL, mode="std3")
+
+
+@register("describe_after_outliers", _seg_sql("\nUNION ALL\n".join(
+    f"""SELECT '{c}' AS column_name, count({c}) AS count, avg({c}::DOUBLE) AS mean, stddev_samp({c}::DOUBLE) AS std,
+               min({c}::DOUBLE) AS min, quantile_disc({c}::DOUBLE, 0.25) AS p25,
+               quantile_disc({c}::DOUBLE, 0.5) AS p50, quantile_disc({c}::DOUBLE, 0.75) AS p75,
+               max({c}::DOUBLE) AS max FROM outl""" for c in FEATS)))
+def describe_after_outliers(spark, sf):
+    """D2 after D5, as the exploratory analysis compares both."""
+    return profile.describe(_outliers_replaced(spark, sf), FEATS)
+
+
+@register("box_numbers_after_outliers", _seg_sql("\nUNION ALL\n".join(
+    f"""SELECT '{c}' AS column_name, q[1] AS q1, q[2] AS median, q[3] AS q3, q[3] - q[1] AS iqr,
+               min(CASE WHEN x >= q[1] - 1.5 * (q[3] - q[1]) THEN x END) AS whisker_low,
+               max(CASE WHEN x <= q[3] + 1.5 * (q[3] - q[1]) THEN x END) AS whisker_high,
+               count_if(x < q[1] - 1.5 * (q[3] - q[1]) OR x > q[3] + 1.5 * (q[3] - q[1])) AS outliers
+        FROM (SELECT {c}::DOUBLE AS x FROM outl)
+        CROSS JOIN (SELECT quantile_disc({c}::DOUBLE, [0.25, 0.5, 0.75]) AS q FROM outl)
+        GROUP BY q""" for c in FEATS)))
+def box_numbers_after_outliers(spark, sf):
+    """D3 after D5."""
+    return profile.box_numbers(_outliers_replaced(spark, sf), FEATS)
+
+
 @register("skew", _feat_sql("\nUNION ALL\n".join(
     f"SELECT '{c}' AS column_name, skewness({c}::DOUBLE) AS skew FROM features" for c in FEATS)))
 def skew(spark, sf):
@@ -170,9 +199,7 @@ def segment_means_transposed(spark, sf):
 
 @register("outliers_std3", _seg_sql("SELECT * FROM outl"))
 def outliers_std3(spark, sf):
-    data = features_table(spark, sf)
-    data = data.select(*[c for c in data.columns if c not in segment.DROPPED_FEATURES])
-    return prepare.replace_outliers(data, OUTL, mode="std3")
+    return _outliers_replaced(spark, sf)
 
 
 @register("drop_above_threshold", _feat_sql(
