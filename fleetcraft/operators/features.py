@@ -7,9 +7,10 @@ Scale notes
 * All aggregations are algebraic (count/sum/avg/min/max/min_by), so Spark runs
   a partial aggregate before the shuffle: a driver that owns a third of all
   rows still sends one partial row per map task, not its raw rows.
-* Distinct counts are either planned by Spark's expand/two-phase aggregate or
-  rewritten as a two-level ``groupBy`` whose first level is keyed by
-  (driver, value), which spreads a hot driver over many tasks.
+* Distinct counts run as two-level aggregates whose first level is keyed by
+  (driver, value) - Spark's own rewrite for one distinct column, or an
+  explicit two-level ``groupBy`` (wallet share) - which spreads a hot driver
+  over many tasks.
 * Window functions only run on pre-aggregated (driver, region) rows.
 """
 
@@ -60,9 +61,9 @@ def recharges(billing: DataFrame, period: Period | None, causes: Sequence[str] =
               amount_scale: float = AMOUNT_SCALE, key: str = "driver_id") -> DataFrame:
     """Recharge count, mean and total amount, and distinct recharge days.
 
-    Spark plans the distinct count next to the plain aggregates with one
-    expand + two partial aggregates; the first shuffle is keyed by
-    (driver, day), so a hot driver is spread over many tasks.
+    With a single distinct column Spark aggregates by (driver, day) first
+    (partial counts and sums, shuffled by (driver, day)) and then per driver,
+    so a hot driver is spread over many tasks before the last merge.
     """
     q = F.col("quantity") / F.lit(amount_scale)
     return (billing.where(window_filter(period, "day") & F.col("billing_cause").isin(list(causes)))
