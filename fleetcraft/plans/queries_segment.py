@@ -118,8 +118,8 @@ def null_counts(spark, sf):
 
 @register("describe", _feat_sql("\nUNION ALL\n".join(
     f"""SELECT '{c}' AS column_name, count({c}) AS count, avg({c}::DOUBLE) AS mean, stddev_samp({c}::DOUBLE) AS std,
-               min({c}::DOUBLE) AS min, quantile_disc({c}::DOUBLE, 0.25) AS p25,
-               quantile_disc({c}::DOUBLE, 0.5) AS p50, quantile_disc({c}::DOUBLE, 0.75) AS p75,
+               min({c}::DOUBLE) AS min, quantile_cont({c}::DOUBLE, 0.25) AS p25,
+               quantile_cont({c}::DOUBLE, 0.5) AS p50, quantile_cont({c}::DOUBLE, 0.75) AS p75,
                max({c}::DOUBLE) AS max FROM features""" for c in PROFILE_COLUMNS)))
 def describe(spark, sf):
     return profile.describe(features_table(spark, sf), PROFILE_COLUMNS)
@@ -131,7 +131,7 @@ def describe(spark, sf):
                max(CASE WHEN x <= q[3] + 1.5 * (q[3] - q[1]) THEN x END) AS whisker_high,
                count_if(x < q[1] - 1.5 * (q[3] - q[1]) OR x > q[3] + 1.5 * (q[3] - q[1])) AS outliers
         FROM (SELECT {c}::DOUBLE AS x FROM features)
-        CROSS JOIN (SELECT quantile_disc({c}::DOUBLE, [0.25, 0.5, 0.75]) AS q FROM features)
+        CROSS JOIN (SELECT quantile_cont({c}::DOUBLE, [0.25, 0.5, 0.75]) AS q FROM features)
         GROUP BY q""" for c in FEATS)))
 def box_numbers(spark, sf):
     return profile.box_numbers(features_table(spark, sf), FEATS)
@@ -145,8 +145,8 @@ def _outliers_replaced(spark, sf):
 
 @register("describe_after_outliers", _seg_sql("\nUNION ALL\n".join(
     f"""SELECT '{c}' AS column_name, count({c}) AS count, avg({c}::DOUBLE) AS mean, stddev_samp({c}::DOUBLE) AS std,
-               min({c}::DOUBLE) AS min, quantile_disc({c}::DOUBLE, 0.25) AS p25,
-               quantile_disc({c}::DOUBLE, 0.5) AS p50, quantile_disc({c}::DOUBLE, 0.75) AS p75,
+               min({c}::DOUBLE) AS min, quantile_cont({c}::DOUBLE, 0.25) AS p25,
+               quantile_cont({c}::DOUBLE, 0.5) AS p50, quantile_cont({c}::DOUBLE, 0.75) AS p75,
                max({c}::DOUBLE) AS max FROM outl""" for c in FEATS)))
 def describe_after_outliers(spark, sf):
     """D2 after D5, as the exploratory analysis compares both."""
@@ -159,7 +159,7 @@ def describe_after_outliers(spark, sf):
                max(CASE WHEN x <= q[3] + 1.5 * (q[3] - q[1]) THEN x END) AS whisker_high,
                count_if(x < q[1] - 1.5 * (q[3] - q[1]) OR x > q[3] + 1.5 * (q[3] - q[1])) AS outliers
         FROM (SELECT {c}::DOUBLE AS x FROM outl)
-        CROSS JOIN (SELECT quantile_disc({c}::DOUBLE, [0.25, 0.5, 0.75]) AS q FROM outl)
+        CROSS JOIN (SELECT quantile_cont({c}::DOUBLE, [0.25, 0.5, 0.75]) AS q FROM outl)
         GROUP BY q""" for c in FEATS)))
 def box_numbers_after_outliers(spark, sf):
     """D3 after D5."""
