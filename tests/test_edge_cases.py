@@ -167,3 +167,18 @@ def test_period_shift_matches_reference_window():
     p = Period.ending("2024-01-30", 15)
     assert (p.start, p.end, p.days) == (dt.date(2024, 1, 16), dt.date(2024, 1, 30), 15)
     assert math.isclose(Period.before("2024-01-31", 30).days, 30)
+
+
+def test_exact_quantiles_match_pandas_with_coarse_sketch(spark):
+    import random
+
+    import pandas as pd
+    rnd = random.Random(11)
+    vals = [round(rnd.gauss(0, 10), 1) if rnd.random() > 0.1 else None for _ in range(5000)]
+    ties = [rnd.choice([1.0, 2.0, 2.0, 3.0]) for _ in range(5000)]
+    df = spark.createDataFrame(list(zip(vals, ties)), "a double, b double")
+    got = profile.exact_quantiles(df, ["a", "b"], (0.1, 0.25, 0.5, 0.75, 0.9), accuracy=50)
+    for c, col in (("a", vals), ("b", ties)):
+        s = pd.Series([v for v in col if v is not None])
+        for g, q in zip(got[c], (0.1, 0.25, 0.5, 0.75, 0.9)):
+            assert g == pytest.approx(s.quantile(q), abs=1e-9)
