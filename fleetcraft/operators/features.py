@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetcraft.functions.columns import flag, money_mean, money_sum, ratio, region_name, round_mean, with_default
+from fleetcraft.functions.joins import bounded_local
 from fleetcraft.functions.period import Period, upto, window_filter
 
 # Fixed values of the reference (codes, thresholds).
@@ -191,11 +192,16 @@ def new_drivers(worker_registration: DataFrame, workers: DataFrame, deliveries:
              .select("driver_uuid", region_name("logistic_region").alias("logistic_region"),
                      age.alias("antiquity"))
              .where(F.col("antiquity") <= max_age_days))
-    # Only the young drivers' history is needed: a semi-join keeps the
-    # all-history distinct count from shuffling every driver's deliveries.
-    orders = (deliveries.where(upto("date_partition", as_of))
-              .join(young.select("driver_uuid"), "driver_uuid", "left_semi")
-              .groupBy("driver_uuid").agg(F.count_distinct("order_uuid").alias("orders")))
+    history = deliveries.where(upto("date_partition", as_of))
+    # Only the young drivers' history is needed. When they pass the size
+    # check they are computed once, kept as a local relation and broadcast to
+    # filter the history map-side (no shuffle of all history); otherwise the
+    # partial distinct count over the whole history does the work.
+    local = bounded_local(young)
+    if local is not None:
+        young = local
+        history = history.join(F.broadcast(young.select("driver_uuid").distinct()), "driver_uuid", "left_semi")
+    orders = history.groupBy("driver_uuid").agg(F.count_distinct("order_uuid").alias("orders"))
     return (young.join(orders, "driver_uuid", "left")
             .select("driver_uuid", "logistic_region",
                     F.coalesce("orders", F.lit(0).cast("long")).alias("orders"), "antiquity")
