@@ -117,11 +117,17 @@ def strikes_windowed(strikes: DataFrame, period: Period | None,
 
 def strikes_history(strikes: DataFrame, workers: DataFrame, end: dt.date,
                     excluded: Sequence[str] = STRIKE_EXCLUDED_HISTORY) -> DataFrame:
-    """R4 (feature-mart form): all strikes up to ``end``, keyed by driver uuid."""
+    """R4 (feature-mart form): all strikes up to ``end``, keyed by driver uuid.
+
+    A strike id belongs to one driver (it keys the strikes table), so the
+    distinct count is taken per driver id first and only one row per driver
+    goes through the id -> uuid map; counts of ids sharing a uuid add up.
+    """
     s = (strikes.where(upto("created_date", end))
          .where(~F.col("strike_classification").isin(list(excluded))))
-    return (s.join(id_map(workers), "driver_id", "left")
-            .groupBy("driver_uuid").agg(F.count_distinct("strike_id").alias("strikes")))
+    per_id = s.groupBy("driver_id").agg(F.count_distinct("strike_id").alias("strikes"))
+    return (per_id.join(id_map(workers), "driver_id", "left")
+            .groupBy("driver_uuid").agg(F.sum("strikes").alias("strikes")))
 
 
 def seniority(deliveries: DataFrame, as_of: dt.date, codes: DeliveryCodes = DeliveryCodes()) -> DataFrame:
