@@ -315,13 +315,19 @@ def priority_table(spark) -> DataFrame:
 # ---------------------------------------------------------------------------
 
 def feature_importance(labelled: DataFrame, features: Sequence[str] = SEGMENT_FEATURES,
-                       label: str = "segmentation", seed: int = SEED, trees: int = 100, top: int = 12) -> DataFrame:
+                       label: str = "segmentation", seed: int = SEED, trees: int = 100, top: int = 12,
+                       key: str = "driver_uuid") -> DataFrame:
     """Random-forest importance of each feature for predicting the segment.
 
-    Rows are put into a fixed partitioning first so the same seed gives the
-    same forest on the same data.
+    Rows are hash-partitioned by the driver key and sorted within partitions
+    first, so the same seed gives the same forest on the same data while the
+    rows stay spread over all tasks (partitioning by the label would put a
+    whole segment in one task).
     """
-    data = labelled.select(label, *features).na.drop().repartition(4, label).sortWithinPartitions(*features)
+    conf = labelled.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")
+    parts = int(conf) if str(conf).isdigit() else 200
+    data = (labelled.select(key, label, *features).na.drop()
+            .repartition(parts, key).sortWithinPartitions(key))
     idx = StringIndexer(inputCol=label, outputCol="__label", stringOrderType="alphabetAsc").fit(data)
     vec = _vec(idx.transform(data), features)
     rf = RandomForestClassifier(labelCol="__label", featuresCol="features", numTrees=trees, seed=seed).fit(vec)
