@@ -76,8 +76,10 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float
     rounds = 0
     counts = df.agg(*[F.count(F.col(c)).alias(f"n{i}") for i, c in enumerate(cols)]).first()
     while pending:
-        lows = {(i, j): max(0.0, probs[j] - margin) for i, j in pending}
-        highs = {(i, j): min(1.0, probs[j] + margin) for i, j in pending}
+        # The bracket must also reach the neighbouring rank: at least 2/n wide.
+        width = {i: margin + 2.0 / max(1, counts[f"n{i}"]) for i, _ in pending}
+        lows = {(i, j): max(0.0, probs[j] - width[i]) for i, j in pending}
+        highs = {(i, j): min(1.0, probs[j] + width[i]) for i, j in pending}
         bracket_row = df.agg(*[
             F.percentile_approx(F.col(cols[i]).cast("double"), [lows[i, j], highs[i, j]], accuracy).alias(f"b{i}_{j}")
             for i, j in pending]).first()

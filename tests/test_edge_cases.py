@@ -182,3 +182,13 @@ def test_exact_quantiles_match_pandas_with_coarse_sketch(spark):
         s = pd.Series([v for v in col if v is not None])
         for g, q in zip(got[c], (0.1, 0.25, 0.5, 0.75, 0.9)):
             assert g == pytest.approx(s.quantile(q), abs=1e-9)
+
+
+@pytest.mark.parametrize("n", [2, 3, 5, 53, 597])
+def test_exact_quantiles_small_tables_interpolate(spark, n):
+    import pandas as pd
+    vals = [float((i * 37) % 101) for i in range(n)]
+    df = spark.createDataFrame([(v,) for v in vals], "x double")
+    got = profile.exact_quantiles(df, ["x"], (0.25, 0.5, 0.75))["x"]
+    exp = [pd.Series(vals).quantile(q) for q in (0.25, 0.5, 0.75)]
+    assert got == pytest.approx(exp, abs=1e-9)
