@@ -419,7 +419,8 @@ def quality_report(spark, sf):
 
 @register("quality_features", feature_sql("\nUNION ALL\n".join(
     [f"""SELECT 'is_never_null' AS "check", '{c}' AS "column", count_if({c} IS NULL) = 0 AS passed,
-               count_if({c} IS NULL) AS observed, 'CRITICAL' AS level, 'features' AS dataset FROM features"""
+               CAST(count_if({c} IS NULL) AS BIGINT) AS observed, 'CRITICAL' AS level, 'features' AS dataset
+        FROM features"""
      for c in QUALITY_NEVER_NULL]
     + ["""SELECT 'has_num_rows_greater_than', NULL, count(*) > 1000, count(*), 'CRITICAL', 'features'
           FROM features"""])))

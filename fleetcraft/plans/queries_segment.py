@@ -110,7 +110,7 @@ def missing_percent(spark, sf):
 
 
 @register("null_counts", _feat_sql("SELECT " + ", ".join(
-    f"count_if({c} IS NULL) AS {c}" for c in PROFILE_COLUMNS + ("driver_uuid", "logistic_region"))
+    f"CAST(count_if({c} IS NULL) AS BIGINT) AS {c}" for c in PROFILE_COLUMNS + ("driver_uuid", "logistic_region"))
     + " FROM features"))
 def null_counts(spark, sf):
     return profile.null_counts(features_table(spark, sf).select(*PROFILE_COLUMNS, "driver_uuid", "logistic_region"))
@@ -129,7 +129,7 @@ def describe(spark, sf):
     f"""SELECT '{c}' AS column_name, q[1] AS q1, q[2] AS median, q[3] AS q3, q[3] - q[1] AS iqr,
                min(CASE WHEN x >= q[1] - 1.5 * (q[3] - q[1]) THEN x END) AS whisker_low,
                max(CASE WHEN x <= q[3] + 1.5 * (q[3] - q[1]) THEN x END) AS whisker_high,
-               count_if(x < q[1] - 1.5 * (q[3] - q[1]) OR x > q[3] + 1.5 * (q[3] - q[1])) AS outliers
+               CAST(count_if(x < q[1] - 1.5 * (q[3] - q[1]) OR x > q[3] + 1.5 * (q[3] - q[1])) AS BIGINT) AS outliers
         FROM (SELECT {c}::DOUBLE AS x FROM features)
         CROSS JOIN (SELECT quantile_cont({c}::DOUBLE, [0.25, 0.5, 0.75]) AS q FROM features)
         GROUP BY q""" for c in FEATS)))
@@ -157,7 +157,7 @@ def describe_after_outliers(spark, sf):
     f"""SELECT '{c}' AS column_name, q[1] AS q1, q[2] AS median, q[3] AS q3, q[3] - q[1] AS iqr,
                min(CASE WHEN x >= q[1] - 1.5 * (q[3] - q[1]) THEN x END) AS whisker_low,
                max(CASE WHEN x <= q[3] + 1.5 * (q[3] - q[1]) THEN x END) AS whisker_high,
-               count_if(x < q[1] - 1.5 * (q[3] - q[1]) OR x > q[3] + 1.5 * (q[3] - q[1])) AS outliers
+               CAST(count_if(x < q[1] - 1.5 * (q[3] - q[1]) OR x > q[3] + 1.5 * (q[3] - q[1])) AS BIGINT) AS outliers
         FROM (SELECT {c}::DOUBLE AS x FROM outl)
         CROSS JOIN (SELECT quantile_cont({c}::DOUBLE, [0.25, 0.5, 0.75]) AS q FROM outl)
         GROUP BY q""" for c in FEATS)))
@@ -209,7 +209,8 @@ def drop_above_threshold(spark, sf):
 
 
 @register("count_above_threshold", _feat_sql(
-    f"SELECT count_if({DROP_COLUMN} >= {DROP_THRESHOLD}) AS rows_above, count(*) AS rows FROM features"))
+    f"SELECT CAST(count_if({DROP_COLUMN} >= {DROP_THRESHOLD}) AS BIGINT) AS rows_above, count(*) AS rows "
+    f"FROM features"))
 def count_above_threshold(spark, sf):
     return prepare.count_above(features_table(spark, sf), DROP_COLUMN, DROP_THRESHOLD)
 
