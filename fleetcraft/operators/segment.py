@@ -271,8 +271,11 @@ def fit_segments(prepared: DataFrame, k: int, registry: DataFrame | None = None,
     rows = scaled.count()
     emb = fit_embedding(scaled, features) if rows >= 2 else None
     points = embed(emb, scaled, [key, "logistic_region"]).persist(StorageLevel.MEMORY_AND_DISK)
-    # A subset smaller than k cannot hold k clusters: one per row at most.
-    clusterer = fit_kmeans(points, max(1, min(k, rows)), restarts=restarts)
+    try:
+        # A subset smaller than k cannot hold k clusters: one per row at most.
+        clusterer = fit_kmeans(points, max(1, min(k, rows)), restarts=restarts)
+    finally:
+        points.unpersist()   # the labelled rows below re-derive cheaply from the stored input
     model = SegmentModel(reg, emb, clusterer, prefix, scaler)
     return model, label_rows(points, clusterer, prefix)
 
