@@ -67,3 +67,11 @@ def read_bytes(path: str) -> bytes:
     """A small local file (a tokenizer's vocabulary), read on the driver and shipped to tasks."""
     with open(path, "rb") as f:
         return f.read()
+
+
+def file_system(uri: str):
+    """The pyarrow file system of a folder or file, and its path there."""
+    from pyarrow import fs
+    if uri.startswith("file:/") and not uri.startswith("file://"):
+        uri = "file://" + uri[len("file:"):]
+    return fs.FileSystem.from_uri(uri)

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetcraft.llm import simhash
+from fleetcraft.llm import quality_rules, sentencepiece, simhash, token_shards
 from fleetcraft.sources.tables import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -27,3 +28,23 @@ def query(name: str, sql: str | None = None):
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(load(spark, sf_dir, "documents", ["doc_id", "text"]), shingle=3, radius=3)
     return found.select("doc_id", simhash.fingerprint_hex(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+@query("op9_quality_rules")
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents", ["doc_id", "text", "lang", "source"])
+    return quality_rules.judge(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines",
+                                            "n_repeat_words", "base_failed", "kept")
+
+
+@query("op8_token_output")
+def op8_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = token_shards.write_shards(load(spark, sf_dir, "documents", ["doc_id", "text"]),
+                                         public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+    return token_shards.read_digests(manifest)
+
+
+@query("op4_sentencepiece")
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents", ["doc_id", "text"])
+    return sentencepiece.round_trip(docs, public_tokenizers.path("piece_bpe_32k.model"))
