@@ -37,15 +37,18 @@ def utf8(column) -> F.Column:
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit("")).cast("binary")
 
 
-def map_bytes(df: DataFrame, column: str, keep: list[str], fields: T.StructType,
-              make: Callable[[], Callable[[bytes], tuple]], out_rows: int = OUT_ROWS) -> DataFrame:
-    """One output row per input row: ``keep`` columns plus what a function says of one text.
-
-    ``make`` is called once per task (to build caches) and returns the function
-    from UTF-8 bytes to a tuple of ``fields``. Output batches hold at most
-    ``out_rows`` rows, so a task's memory follows the texts it is working on.
+def map_texts(df: DataFrame, column: str, keep: list[str], fields: T.StructType,
+              make: Callable[[], Callable[[list[bytes]], list[tuple]]], out_rows: int = OUT_ROWS) -> DataFrame:
+    """One output row per input row: ``keep`` columns plus what a function says of the texts.
+
+    ``make`` is called once per task (to build caches) and returns a function
+    from a list of UTF-8 texts (null as empty) to a list of tuples of
+    ``fields``. It is given at most ``out_rows`` texts at a time, so a task's
+    memory follows the texts it is working on.
     """
-    source = df.select(*[F.col(c) for c in keep], utf8(column).alias("__utf8"))
+    apart = column not in keep
+    source = df.select(*keep, utf8(column).alias("__utf8")) if apart else df.select(*keep)
+    at = len(keep) if apart else keep.index(column)
     schema = T.StructType([source.schema[c] for c in keep] + list(fields))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -54,7 +57,7 @@ def map_bytes(df: DataFrame, column: str, keep: list[str], fields: T.StructType,
         for batch in batches:
             for start in range(0, batch.num_rows, out_rows):
                 part = batch.slice(start, out_rows)
-                rows = [fn(v.as_py()) for v in part.column(len(keep))]
+                rows = fn([v or b"" for v in part.column(at).cast(pa.binary()).to_pylist()])
                 new = [pa.array([r[i] for r in rows], type=arrow.field(len(keep) + i).type)
                        for i in range(len(fields))]
                 kept = [part.column(i).cast(arrow.field(i).type) for i in range(len(keep))]
@@ -63,6 +66,16 @@ def map_bytes(df: DataFrame, column: str, keep: list[str], fields: T.StructType,
     return source.mapInArrow(run, schema)
 
 
+def map_bytes(df: DataFrame, column: str, keep: list[str], fields: T.StructType,
+              make: Callable[[], Callable[[bytes], tuple]], out_rows: int = OUT_ROWS) -> DataFrame:
+    """As map_texts() with a function of one text."""
+    def make_list():
+        one = make()
+        return lambda texts: [one(t) for t in texts]
+
+    return map_texts(df, column, keep, fields, make_list, out_rows)
+
+
 def read_bytes(path: str) -> bytes:
     """A small local file (a tokenizer's vocabulary), read on the driver and shipped to tasks."""
     with open(path, "rb") as f:
@@ -75,3 +88,11 @@ def file_system(uri: str):
     if uri.startswith("file:/") and not uri.startswith("file://"):
         uri = "file://" + uri[len("file:"):]
     return fs.FileSystem.from_uri(uri)
+
+
+def worker_cache(key) -> dict:
+    """A dict that lives as long as the Python worker, for what several of its tasks can use."""
+    import sys
+    import types
+    home = sys.modules.setdefault("fleetcraft_worker_cache", types.ModuleType("fleetcraft_worker_cache"))
+    return home.__dict__.setdefault("kept", {}).setdefault(key, {})

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetcraft.llm import quality_rules, sentencepiece, simhash, token_shards
+from fleetcraft.llm import quality_rules, sentencepiece, simhash, token_shards, toxicity
 from fleetcraft.sources.tables import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -48,3 +48,17 @@ def op8_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents", ["doc_id", "text"])
     return sentencepiece.round_trip(docs, public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def fold(column: str, of: int):
+    """Remainder of the crc32 of an id written as text."""
+    return F.crc32(F.col(column).cast("string").cast("binary")) % of
+
+
+@query("op1_toxicity")
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents", ["doc_id", "text"])
+    labels = load(spark, sf_dir, "labels", ["doc_id", "toxic"]).where(fold("doc_id", 5) != 0)
+    scored = toxicity.score(docs, toxicity.fit(docs, labels), ["doc_id"])
+    return scored.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score",
+                         (F.col("score") >= 0.5).cast("int").alias("predicted"))

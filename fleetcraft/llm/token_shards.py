@@ -25,6 +25,8 @@ other columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
+import json
 import os
 import struct
 import zlib
@@ -37,15 +39,17 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fleetcraft.llm.common import file_system, read_bytes, shared_path, utf8
+from fleetcraft.llm.common import file_system, read_bytes, shared_path, utf8, worker_cache
 from fleetcraft.llm.mph import PerfectHash
 
 MAGIC, VERSION = b"FCTOKIDX", 1
 HEADER = "<8s7q"
 #: A shard ends at so many ids, or so many documents.
 SHARD_IDS, SHARD_DOCS = 32_000_000, 200_000
-#: Different white-space-free stretches of text kept by a task; the cache starts anew beyond it.
-CACHE = 400_000
+#: Different white-space-free stretches of text kept by a Python worker; the cache starts anew beyond it.
+CACHE = 800_000
+#: Marks that end words; only those that the tokenizer parts from a letter before them are cut off.
+_MARKS = ".,!?;:#*$%&|"
 
 MANIFEST = "part int, seq int, path string, n_docs long, n_ids long, first_id long, last_id long"
 
@@ -54,30 +58,56 @@ class WordEncoder:
     """Encodes with the tokenizers library, each different stretch between white space once.
 
     The tokenizer must replace white space before it splits, and split there;
-    then stretches are encoded alone as they are within a text.
+    then stretches are encoded alone as they are within a text. Where it also
+    lower-cases, and cuts between a letter and the marks that follow, stretches
+    are looked up in that form; both are read or probed from the tokenizer.
     """
 
     def __init__(self, blob: bytes):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
-        self.tokenizer = Tokenizer.from_str(blob.decode())
-        self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.cache: dict[bytes, bytes] = {}
-
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        """The ids of each text as raw little-endian integers."""
-        cache, dtype = self.cache, self.dtype
-        split = [t.split() for t in texts]
-        new = list({w for words in split for w in words if w not in cache})
-        if len(cache) + len(new) > CACHE:
-            cache.clear()
-            new = list({w for words in split for w in words})
+        self.tokenizer = t = Tokenizer.from_str(blob.decode())
+        self.dtype = np.dtype("<u2" if t.get_vocab_size() <= 1 << 16 else "<u4")
+        rules = json.loads(blob).get("normalizer") or {}
+        self.lower = any(n.get("type") == "Lowercase" for n in [rules, *rules.get("normalizers", [])])
+        #: strings that the library looks for as they are written
+        self.special = [a.content.encode() for a in t.get_added_tokens_decoder().values()]
+        self.marks = "".join(m for m in _MARKS if t.pre_tokenizer is not None and all(
+            [p for p, _ in t.pre_tokenizer.pre_tokenize_str(f"ab{tail}")] == ["ab", tail]
+            for tail in (m, m + m, m + "."))).encode()
+        # kept by the Python worker for the tasks that follow in it
+        self.cache: dict[bytes, bytes] = worker_cache(("token ids", hashlib.sha256(blob).digest()))
+
+    def _encode_new(self, new: list[bytes]) -> None:
+        cache = self.cache
         for start in range(0, len(new), 4096):
             some = new[start:start + 4096]
             encoded = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in some],
                                                        add_special_tokens=False)
-            cache.update((w, np.array(e.ids, dtype=dtype).tobytes()) for w, e in zip(some, encoded))
-        return [b"".join(map(cache.__getitem__, words)) for words in split]
+            cache.update((w, np.array(e.ids, dtype=self.dtype).tobytes()) for w, e in zip(some, encoded))
+
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        """The ids of each text as raw little-endian integers."""
+        if len(self.cache) > CACHE:
+            self.cache.clear()
+        cache, plain = self.cache, []
+        for t in texts:
+            low = t.lower() if self.lower else t
+            plain.append(t if any(s.lower() in low for s in self.special) else low)
+        split = [t.split() for t in plain]
+        found = [list(map(cache.get, words)) for words in split]
+        missing = {w for words, got in zip(split, found) if None in got for w, e in zip(words, got) if e is None}
+        if missing:
+            halves = {}
+            for w in missing:
+                core = w.rstrip(self.marks)
+                if core and core != w and core[-1:].isalpha() and b"<|" not in w:
+                    halves[w] = (core, w[len(core):])
+            self._encode_new(list({p for w in missing for p in halves.get(w, (w,)) if p not in cache}))
+            for w, (core, tail) in halves.items():
+                cache[w] = cache[core] + cache[tail]
+            found = [list(map(cache.__getitem__, words)) if None in got else got for words, got in zip(split, found)]
+        return [b"".join(got) for got in found]
 
 
 class ShardWriter:
