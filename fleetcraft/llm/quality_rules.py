@@ -44,6 +44,8 @@ LIMIT_Z = 4.753424
 FLOORS = {"v_length": 0.10, "v_symbol": 0.05, "v_upper": 0.08, "v_digit": 0.10, "v_mark": 0.08, "v_lines": 0.15,
           "v_repeat": 0.15}
 NAMES = list(FLOORS)
+#: Parts that the rows of a group are dealt to when they meet its estimate.
+SALTS = 32
 _UPPER = bytes(range(ord("A"), ord("Z") + 1))
 _DIGITS = b"0123456789"
 _SYMBOLS = b"#*$%&|<>"
@@ -132,6 +134,13 @@ def _groups(rows: DataFrame) -> DataFrame:
     return rows.join(keys, ["__lang", "__source"]).drop("__lang", "__source")
 
 
+def _with_group(rows: DataFrame, groups: DataFrame, how: str = "inner") -> DataFrame:
+    """Join rows to one row per group ``g``; a group's rows go to ``SALTS`` tasks, and each gets the group's row."""
+    salted = rows.withColumn("__salt", F.pmod(F.xxhash64(*NAMES), F.lit(SALTS)).cast("int"))
+    copies = groups.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return salted.join(copies, ["g", "__salt"], how).drop("__salt")
+
+
 def _pairs() -> list[tuple[int, int]]:
     return [(i, j) for i in range(len(NAMES)) for j in range(i, len(NAMES))]
 
@@ -185,14 +194,14 @@ def estimates(rows: DataFrame, steps: int = STEPS, share: float = SHARE) -> Data
         start.append((1 / (width * width) if i == j else F.lit(0.0)).alias(f"w_{i}_{j}"))
     params = store(spread.select("g", "n", *start), "mcd-start")
     for _ in range(steps):
-        ranked = rows.join(params, "g").select("g", "n", *NAMES, _distance().alias("d2"))
+        ranked = _with_group(rows, params).select("g", "n", *NAMES, _distance().alias("d2"))
         cut = ranked.groupBy("g").agg(F.percentile_approx("d2", share, 1000).alias("cut"))
-        near = ranked.join(cut, "g").where("d2 <= cut")
+        near = _with_group(ranked, cut).where("d2 <= cut")
         moments = near.groupBy("g").agg(F.first("n").alias("n"), *[F.avg(c).alias(f"m_{i}") for i, c in enumerate(NAMES)],
                                         *[F.avg(F.col(NAMES[i]) * F.col(NAMES[j])).alias(f"c_{i}_{j}")
                                           for i, j in _pairs()])
         params = store(_inverted(moments), "mcd-step")
-    middle = (rows.join(params, "g").select("g", _distance().alias("d2"))
+    middle = (_with_group(rows, params).select("g", _distance().alias("d2"))
               .groupBy("g").agg(F.percentile_approx("d2", 0.5, 1000).alias("middle")))
     factor = F.greatest(F.lit(1.0), F.col("middle") / chi_square(len(NAMES), 0.0))
     return store(params.join(middle, "g").withColumn("factor", factor).drop("middle", "n"), "mcd")
@@ -208,6 +217,6 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", steps
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
     distance = F.when(F.col("n_words") > 0, _distance() / F.col("factor"))
     limit = chi_square(len(NAMES), limit_z)
-    return rows.join(params, "g", "left").select(
+    return _with_group(rows, params, "left").select(
         F.col(id_col).alias("doc_id"), *_COUNTS, failed.alias("base_failed"), distance.alias("distance"),
         (~failed & (F.coalesce(distance, F.lit(0.0)) <= limit)).alias("kept"))

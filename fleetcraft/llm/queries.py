@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetcraft.llm import quality_rules, sentencepiece, simhash, token_shards, toxicity
+from fleetcraft.llm import decontaminate, line_dedup, quality_rules, sentencepiece, simhash, token_shards, toxicity
 from fleetcraft.sources.tables import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -62,3 +62,36 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = toxicity.score(docs, toxicity.fit(docs, labels), ["doc_id"])
     return scored.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score",
                          (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query("op2_line_dedup", """
+    WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+    l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line,
+                 generate_subscripts(string_split(text, chr(10)), 1) AS ln FROM d),
+    c AS (SELECT doc_id, ln, line, len(regexp_extract_all(line, '[^\\x20\\x09-\\x0D]+')) AS w FROM l),
+    n AS (SELECT doc_id, ln, w, regexp_replace(line, '^[\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+$', '', 'g') AS line,
+                 row_number() OVER (PARTITION BY doc_id ORDER BY ln) AS k,
+                 sum(w) OVER (PARTITION BY doc_id ORDER BY ln) AS upto FROM c WHERE w > 0),
+    p AS (SELECT a.doc_id, a.k AS s, b.k AS e FROM n a JOIN n b
+          ON a.doc_id = b.doc_id AND b.k >= a.k AND b.upto - a.upto + a.w >= 50),
+    win AS (SELECT doc_id, s, min(e) AS e FROM p GROUP BY doc_id, s
+            UNION SELECT doc_id, max(s), e FROM p GROUP BY doc_id, e),
+    t AS (SELECT win.doc_id, s, e, string_agg(line, chr(10) ORDER BY k) AS run
+          FROM win JOIN n ON n.doc_id = win.doc_id AND n.k BETWEEN s AND e GROUP BY win.doc_id, s, e),
+    r AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY doc_id, s) AS nth FROM t),
+    gone AS (SELECT DISTINCT n.doc_id, n.ln FROM r JOIN n ON n.doc_id = r.doc_id AND n.k BETWEEN r.s AND r.e
+             WHERE r.nth > 1),
+    x AS (SELECT c.doc_id, count(*) FILTER (c.w > 0) AS n_lines, count(gone.ln) AS n_removed,
+                 string_agg(c.line, chr(10) ORDER BY c.ln) FILTER (gone.ln IS NULL) AS rest
+          FROM c LEFT JOIN gone ON gone.doc_id = c.doc_id AND gone.ln = c.ln GROUP BY c.doc_id)
+    SELECT doc_id, n_lines, n_removed,
+           CASE WHEN n_removed > 0 AND n_removed = n_lines THEN '' ELSE rest END AS text FROM x""")
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(load(spark, sf_dir, "documents", ["doc_id", "text"])).select(
+        "doc_id", "n_lines", "n_removed", F.coalesce("text", F.lit("")).alias("text"))
+
+
+@query("op3_decontamination")
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.overlaps(load(spark, sf_dir, "documents", ["doc_id", "text"]),
+                                  load(spark, sf_dir, "benchmark", ["item_id", "text"]))
