@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetcraft.llm import decontaminate, line_dedup, quality_rules, sentencepiece, simhash, token_shards, toxicity
+from fleetcraft.llm import decontaminate, line_dedup, quality_rules, sentencepiece, simhash, token_shards, toxicity, warc
 from fleetcraft.sources.tables import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -95,3 +95,15 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.overlaps(load(spark, sf_dir, "documents", ["doc_id", "text"]),
                                   load(spark, sf_dir, "benchmark", ["item_id", "text"]))
+
+
+@query("op10_warc", """
+    WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest
+               FROM pages),
+    g AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first_id FROM p)
+    SELECT page_id, payload_bytes, payload_digest,
+           CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN 'revisit' ELSE 'response' END AS record_type,
+           CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN first_id END AS refers_to
+    FROM g""")
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.read_digests(warc.write_archives(load(spark, sf_dir, "pages", ["page_id", "url", "html"])))

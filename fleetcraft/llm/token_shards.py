@@ -117,7 +117,7 @@ class ShardWriter:
         self.fs, path = file_system(folder)
         self.fs.create_dir(path, recursive=True)
         self.stem, self.uri, self.width = f"{path}/{name}", f"{folder}/{name}", width
-        self.out = self.fs.open_output_stream(f"{self.stem}.bin")
+        self.out = self.fs.open_output_stream(f"{self.stem}.bin", compression=None)
         self.ids: list[int | None] = []
         self.ends = [0]
 
@@ -138,7 +138,7 @@ class ShardWriter:
         parts = [struct.pack(HEADER, MAGIC, VERSION, self.width, len(self.ids), nulls, len(unique), len(table.sizes),
                              len(table.words)),
                  table.sizes, table.words, table.marks, rows, repeats, keys, np.array(self.ends, dtype=np.int64)]
-        with self.fs.open_output_stream(f"{self.stem}.idx") as out:
+        with self.fs.open_output_stream(f"{self.stem}.idx", compression=None) as out:
             for part in parts:
                 out.write(part if isinstance(part, bytes) else part.tobytes())
         known = self.ids[nulls:]
@@ -191,7 +191,7 @@ class Shard:
         by_row: list[int | None] = [None] * (len(self.ends) - 1)
         for key, row, count in zip(unique.tolist(), first.tolist(), counts.tolist()):
             by_row[row:row + count] = [key] * count
-        with self.fs.open_input_stream(f"{self.stem}.bin", buffer_size=1 << 20) as f:
+        with self.fs.open_input_stream(f"{self.stem}.bin", compression=None, buffer_size=1 << 20) as f:
             for row, key in enumerate(by_row):
                 n = int(self.ends[row + 1] - self.ends[row])
                 yield key, int(self.ends[row]), np.frombuffer(f.read(n * self.width), dtype=self.dtype)
