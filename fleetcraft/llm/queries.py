@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetcraft.llm import decontaminate, line_dedup, quality_rules, sentencepiece, simhash, token_shards, toxicity, warc
+from fleetcraft.llm import decontaminate, line_dedup, pii, quality_rules, sentencepiece, simhash, token_shards, toxicity, warc
 from fleetcraft.sources.tables import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -107,3 +107,9 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM g""")
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_digests(warc.write_archives(load(spark, sf_dir, "pages", ["page_id", "url", "html"])))
+
+
+@query("op5_pii")
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_personal(load(spark, sf_dir, "documents", ["doc_id", "text"]))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")
