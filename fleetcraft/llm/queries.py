@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetcraft.llm import decontaminate, line_dedup, pii, quality_rules, sentencepiece, simhash, token_shards, toxicity, warc
+from fleetcraft.llm import decontaminate, line_dedup, pii, quality_classifier, quality_rules, sentencepiece, simhash, token_shards, toxicity, warc
 from fleetcraft.sources.tables import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -113,3 +113,13 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_personal(load(spark, sf_dir, "documents", ["doc_id", "text"]))
     return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")
+
+
+@query("op6_quality_classifier")
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents", ["doc_id", "text"])
+    labels = load(spark, sf_dir, "labels", ["doc_id", "quality"]).where(fold("doc_id", 4) != 2)
+    table = quality_classifier.word_vectors(docs)
+    scored = quality_classifier.score(docs, table, quality_classifier.fit(docs, labels, table), ["doc_id"])
+    return scored.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "score",
+                         (F.col("score") >= 0.7).cast("int").alias("predicted"))

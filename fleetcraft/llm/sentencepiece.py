@@ -369,7 +369,7 @@ def _decode_broken(model: Model, ids: list[int]) -> str:
     return "".join(out)
 
 
-def _mapped(docs: DataFrame, model_path: str, id_col: str, text_col: str, fields: T.StructType,
+def _mapped(docs: DataFrame, model_path: str, keep: list[str], text_col: str, fields: T.StructType,
             derive: Callable[[Model, list, list, np.ndarray], tuple]) -> DataFrame:
     blob = docs.sparkSession.sparkContext.broadcast(read_bytes(model_path))
 
@@ -377,14 +377,14 @@ def _mapped(docs: DataFrame, model_path: str, id_col: str, text_col: str, fields
         encoder = Encoder(Model(blob.value))
         return lambda source: derive(encoder.model, *encoder.encode(source))
 
-    return map_bytes(docs, text_col, [id_col], fields, make, out_rows=64)
+    return map_bytes(docs, text_col, keep, fields, make, out_rows=64)
 
 
 def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, ids, ends``: the ids of each text; id k spans source bytes ends[k-1] (or 0) to ends[k]."""
     fields = T.StructType([T.StructField("ids", T.ArrayType(T.IntegerType(), False)),
                            T.StructField("ends", T.ArrayType(T.IntegerType(), False))])
-    return _mapped(docs, model_path, id_col, text_col, fields, lambda model, entries, ids, ends: (
+    return _mapped(docs, model_path, [id_col], text_col, fields, lambda model, entries, ids, ends: (
         ids, ends.astype(np.int32)))
 
 
@@ -418,4 +418,4 @@ def round_trip(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_co
                 hashlib.sha256(decode(model, ids).encode()).hexdigest(),
                 hashlib.sha256(ends.astype("<i4").tobytes()).hexdigest())
 
-    return _mapped(docs, model_path, id_col, text_col, fields, derive)
+    return _mapped(docs, model_path, keep or [id_col], text_col, fields, derive)

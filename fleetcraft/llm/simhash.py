@@ -64,15 +64,16 @@ def covering_masks(radius: int) -> list[int]:
     return [sum(1 << i for i in range(BITS) if (vectors[i] & v).bit_count() % 2) for v in range(1, n + 1)]
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
-    """``(doc_id, fp)``: fp is the fingerprint's 64 bits as a signed long."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3,
+                 keep: tuple[str, ...] = ()) -> DataFrame:
+    """``doc_id``, columns to keep and ``fp``: the fingerprint's 64 bits as a signed long."""
     def make():
         def one(text: bytes) -> tuple:
             fp = fingerprint(text, shingle)
             return (fp - (1 << 64) if fp >> 63 else fp,)
         return one
 
-    out = map_bytes(docs, text_col, [id_col], T.StructType([T.StructField("fp", T.LongType())]), make)
+    out = map_bytes(docs, text_col, [id_col, *keep], T.StructType([T.StructField("fp", T.LongType())]), make)
     return out.withColumnRenamed(id_col, "doc_id")
 
 
@@ -146,16 +147,16 @@ def links(nodes: DataFrame, radius: int = 3, chunk: int = CHUNK) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3,
-                    radius: int = 3, chunk: int = CHUNK) -> DataFrame:
-    """``doc_id, fp, component_id``: the smallest id reachable over links of ``radius`` bits or fewer."""
-    fps = store(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
+                    radius: int = 3, chunk: int = CHUNK, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``doc_id, fp, component_id`` and columns to keep; the smallest id reachable over links of ``radius`` bits."""
+    fps = store(fingerprints(docs, id_col, text_col, shingle, keep), "fingerprints")
     nodes = store(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")), "nodes")
     roots = components(links(nodes.select("fp"), radius, chunk))
     placed = nodes.join(roots, nodes["fp"] == roots["node"], "left").select(
         "fp", "rep", F.coalesce("root", "fp").alias("root"))
     named = placed.groupBy("root").agg(F.min("rep").alias("component_id"))
     by_fp = placed.join(named, "root").select("fp", "component_id")
-    return fps.join(by_fp, "fp", "left").select("doc_id", "fp", "component_id")
+    return fps.join(by_fp, "fp", "left").select("doc_id", "fp", "component_id", *keep)
 
 
 def fingerprint_hex(fp: F.Column) -> F.Column:
