@@ -28,12 +28,12 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from fleetcraft.llm.common import map_bytes, read_bytes
+from fleetcraft.llm.common import map_texts, read_bytes, worker_cache
 
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
-#: Different words, and cuts of words, kept by a task; a cache starts anew beyond it.
-CACHE = 200_000
+#: Different cuts of text kept by a Python worker; the cache starts anew beyond it.
+CACHE = 600_000
 #: A cut of more characters is merged with a heap and not kept.
 SHORT = 64
 
@@ -97,6 +97,7 @@ class Model:
     """A BPE model file: pieces, scores and normalisation rules."""
 
     def __init__(self, blob: bytes):
+        self.digest = hashlib.sha256(blob).digest()
         self.pieces: list[str] = []
         self.kinds: list[int] = []
         scores: list[float] = []
@@ -137,12 +138,16 @@ class Model:
         self.is_byte = np.array([k == BYTE for k in self.kinds])
         self.inside = np.array([k == BYTE and 0x80 <= r[0] < 0xC0 for r, k in zip(self.raw, self.kinds)])
         inner = [p.lstrip(SPACE) for p in self.ids]
-        self.words = None if any(SPACE in p for p in inner) else re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
-        odd = "".join(sorted({c for p in inner for c in p if c.isalnum() and not c.isalpha() and not c.isdecimal()}))
-        letter = rf"[^\W\d_{re.escape(odd)}]"
-        mixed = re.compile(rf"{letter}(?!{letter}|$)|(?<!^)(?<!{letter}){letter}")
-        self.cuts = None if any(mixed.search(p) for p in inner) else re.compile(
-            rf"{SPACE}*{letter}+|{SPACE}*(?:(?!{letter})[^{SPACE}])+|{SPACE}+")
+        if any(SPACE in p for p in inner):
+            self.cuts = None
+        else:
+            odd = re.escape("".join(sorted({c for p in inner for c in p if c.isalnum() and not c.isalpha()
+                                            and not c.isdecimal()})))
+            letter, other = rf"[^\W\d_{odd}]", rf"(?:(?!{SPACE})[\W\d_{odd}])"
+            mixed = re.compile(rf"{letter}{other}|{other}{letter}")
+            words = rf"{SPACE}+[^{SPACE}]*|[^{SPACE}]+"
+            self.cuts = re.compile(words if any(mixed.search(p) for p in inner)
+                                   else rf"{SPACE}*{letter}+|{SPACE}*{other}+|{SPACE}+")
 
     # normalisation -------------------------------------------------------------------------------------------
 
@@ -218,15 +223,19 @@ class Model:
         if len(parts) > SHORT:
             return self._merge_long(parts)
         none = len(rank)
-        pairs = [rank.get(a + b, none) for a, b in zip(parts, parts[1:])]
-        while pairs and (best := min(pairs)) < none:
+        get = rank.get
+        pairs = [get(a + b, none) for a, b in zip(parts, parts[1:])]
+        while pairs:
+            best = min(pairs)
+            if best == none:
+                break
             i = pairs.index(best)
-            parts[i:i + 2] = [parts[i] + parts[i + 1]]
+            new = parts[i] = parts[i] + parts.pop(i + 1)
             del pairs[i]
             if i:
-                pairs[i - 1] = rank.get(parts[i - 1] + parts[i], none)
+                pairs[i - 1] = get(parts[i - 1] + new, none)
             if i < len(pairs):
-                pairs[i] = rank.get(parts[i] + parts[i + 1], none)
+                pairs[i] = get(new + parts[i + 1], none)
         return parts
 
     def _merge_long(self, parts: list[str]) -> list[str]:
@@ -260,66 +269,138 @@ class Model:
         return tuple(ids), ",".join(map(str, ids))
 
 
+class Merger:
+    """Merges many short cuts side by side, a row of symbols each; the same result as Model.merge()."""
+
+    def __init__(self, model: Model):
+        self.model, n = model, len(model.pieces)
+        single = sorted({c for p in model.ids for c in p})
+        symbols = dict(model.ids)
+        for c in single:
+            symbols.setdefault(c, n + len(symbols))
+        #: symbol of a character; characters outside the vocabulary share one that merges with nothing
+        self.none = n + len(symbols) + len(single)
+        self.of_char = np.full(0x110000, self.none, dtype=np.int64)
+        for c in single:
+            self.of_char[ord(c)] = symbols[c]
+        self.base = self.none + 1
+        pairs = sorted((symbols[p[:k]] * self.base + symbols[p[k:]], model.rank[p], i)
+                       for p, i in model.ids.items() for k in range(1, len(p))
+                       if p[:k] in symbols and p[k:] in symbols)
+        self.keys, self.ranks, self.joined = (np.array(x, dtype=np.int64) for x in zip(*pairs))
+        self.last = len(model.rank)
+        self.ids = list(range(n))
+        self.names = [str(i) for i in range(n)]
+
+    def look(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rank of each pair (``last`` if it joins to nothing) and the piece it joins to."""
+        key = left * self.base + right
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        hit = self.keys[at] == key
+        return np.where(hit, self.ranks[at], self.last), self.joined[at]
+
+    def merge(self, cuts: list[str]) -> list[tuple[tuple[int, ...], str]]:
+        """As Model.merged_ids() of each cut, which may have ``SHORT`` characters at most."""
+        sizes = np.fromiter(map(len, cuts), dtype=np.int64, count=len(cuts))
+        order = np.argsort(sizes, kind="stable")
+        out: list = [None] * len(cuts)
+        for start in range(0, len(order), 4096):
+            rows = order[start:start + 4096]
+            for row, entry in zip(rows.tolist(), self._merge_rows([cuts[r] for r in rows.tolist()], sizes[rows])):
+                out[row] = entry
+        return out
+
+    def _merge_rows(self, cuts: list[str], sizes: np.ndarray) -> list[tuple[tuple[int, ...], str]]:
+        n, width = len(cuts), int(sizes.max()) + 1
+        inside = np.arange(width) < sizes[:, None]
+        chars = np.frombuffer("".join(cuts).encode("utf-32-le"), dtype=np.uint32)
+        symbol = np.full((n, width), self.none, dtype=np.int64)
+        symbol[inside] = self.of_char[chars]
+        rank = np.full((n, width), self.last, dtype=np.int64)
+        joined = np.zeros((n, width), dtype=np.int64)
+        rank[:, :-1], joined[:, :-1] = self.look(symbol[:, :-1], symbol[:, 1:])
+        after = np.tile(np.arange(1, width + 1), (n, 1))
+        before = np.tile(np.arange(-1, width - 1), (n, 1))
+        at = np.arange(n)
+        while len(at):
+            j = rank[at].argmin(axis=1)
+            going = rank[at, j] < self.last
+            at, j = at[going], j[going]
+            k = after[at, j]
+            symbol[at, j] = joined[at, j]
+            inside[at, k] = False
+            rank[at, k] = self.last
+            right = after[at, k]
+            after[at, j] = right
+            some = right < width
+            before[at[some], right[some]] = j[some]
+            rank[at[~some], j[~some]] = self.last
+            a, b, c = at[some], j[some], right[some]
+            rank[a, b], joined[a, b] = self.look(symbol[a, b], symbol[a, c])
+            left = before[at, j]
+            some = left >= 0
+            a, b, c = at[some], left[some], j[some]
+            rank[a, b], joined[a, b] = self.look(symbol[a, b], symbol[a, c])
+        plain = ~((symbol >= len(self.ids)) & inside).any(axis=1)
+        inside[~plain] = False
+        flat = symbol[inside].tolist()
+        ids, names = list(map(self.ids.__getitem__, flat)), list(map(self.names.__getitem__, flat))
+        ends = np.cumsum(inside.sum(axis=1)).tolist()
+        out, start = [], 0
+        for cut, end, ok in zip(cuts, ends, plain.tolist()):
+            # characters outside the vocabulary are spelled in bytes
+            out.append((tuple(ids[start:end]), ",".join(names[start:end])) if ok else self.model.merged_ids(cut))
+            start = end
+        return out
+
+
 class Encoder:
-    """Encodes texts with bounded caches of words and of the cuts inside words; one per task."""
+    """Encodes texts with a bounded cache of cuts."""
 
     def __init__(self, model: Model):
-        self.model, self.words, self.parts = model, {}, {}
-
-    def word(self, word: str) -> tuple[tuple[int, ...], str]:
-        """Ids of one word, from those of its cuts."""
-        model, parts = self.model, self.parts
-        cuts = model.cuts.findall(word) if model.cuts else [word]
-        found = []
-        for cut in cuts:
-            e = parts.get(cut)
-            if e is None:
-                e = model.merged_ids(cut)
-                if len(cut) <= SHORT:
-                    if len(parts) >= CACHE:
-                        parts.clear()
-                    parts[cut] = e
-            found.append(e)
-        if len(found) == 1:
-            return found[0]
-        return tuple(chain.from_iterable([e[0] for e in found])), ",".join([e[1] for e in found])
-
-    def entries(self, text: str) -> list[tuple[tuple[int, ...], str]]:
-        """Ids of the words of a normalised text, in order."""
-        if not text:
-            return []
-        if self.model.words is None:
-            return [self.model.merged_ids(text)]
-        words, cache = self.model.words.findall(text), self.words
-        out = list(map(cache.get, words))
-        if None in out:
-            for k, e in enumerate(out):
-                if e is None:
-                    word = words[k]
-                    e = out[k] = cache.get(word) or self.word(word)
-                    if len(word) <= SHORT:
-                        if len(cache) >= CACHE:
-                            cache.clear()
-                        cache[word] = e
+        # kept by the Python worker for the tasks that follow in it
+        self.model, self.cache = model, worker_cache(("piece cuts", model.digest))
+        held = worker_cache(("piece merger", model.digest))
+        if "merger" not in held:
+            held["merger"] = Merger(model)
+        self.merger: Merger = held["merger"]
+
+    def entries(self, texts: list[str]) -> list[list[tuple[tuple[int, ...], str]]]:
+        """Of each normalised text, the ids of its cuts, in order."""
+        model, cache = self.model, self.cache
+        if model.cuts is None:
+            return [[model.merged_ids(t)] if t else [] for t in texts]
+        if len(cache) > CACHE:
+            cache.clear()
+        cuts = [model.cuts.findall(t) for t in texts]
+        out = [list(map(cache.get, some)) for some in cuts]
+        missing = {c for some, got in zip(cuts, out) if None in got for c, e in zip(some, got) if e is None}
+        if missing:
+            short = [c for c in missing if len(c) <= SHORT]
+            cache.update(zip(short, self.merger.merge(short)))
+            long = {c: model.merged_ids(c) for c in missing if len(c) > SHORT}
+            out = [[cache.get(c) or long[c] for c in some] if None in got else got for some, got in zip(cuts, out)]
         return out
 
-    def encode(self, source: bytes) -> tuple[list[tuple[tuple[int, ...], str]], list[int], np.ndarray]:
-        """The entries of a text, its ids, and the source byte where each id ends."""
+    def encode(self, sources: list[bytes]) -> list[tuple[list[tuple[tuple[int, ...], str]], list[int], np.ndarray]]:
+        """Of each text its entries, its ids, and the source byte where each id ends."""
         model = self.model
-        text, starts = model.normalise(source)
-        entries = self.entries(text)
-        ids = list(chain.from_iterable([e[0] for e in entries]))
-        at = np.array(ids, dtype=np.int64)
-        if starts is None:
-            ends = np.cumsum(model.sizes[at])
-            if model.dummy_prefix:
-                ends -= 1
-        else:
-            # a character spelled in bytes counts at its last byte
-            chars = model.chars[at]
-            chars[:-1][model.is_byte[at[:-1]] & model.inside[at[1:]]] = 0
-            ends = np.asarray(starts, dtype=np.int64)[np.cumsum(chars)]
-        return entries, ids, ends
+        normal = [model.normalise(s) for s in sources]
+        done = []
+        for (_, starts), entries in zip(normal, self.entries([t for t, _ in normal])):
+            ids = list(chain.from_iterable([e[0] for e in entries]))
+            at = np.array(ids, dtype=np.int64)
+            if starts is None:
+                ends = np.cumsum(model.sizes[at])
+                if model.dummy_prefix:
+                    ends -= 1
+            else:
+                # a character spelled in bytes counts at its last byte
+                chars = model.chars[at]
+                chars[:-1][model.is_byte[at[:-1]] & model.inside[at[1:]]] = 0
+                ends = np.asarray(starts, dtype=np.int64)[np.cumsum(chars)]
+            done.append((entries, ids, ends))
+        return done
 
 
 def decode(model: Model, ids: list[int]) -> str:
@@ -375,9 +456,9 @@ def _mapped(docs: DataFrame, model_path: str, keep: list[str], text_col: str, fi
 
     def make():
         encoder = Encoder(Model(blob.value))
-        return lambda source: derive(encoder.model, *encoder.encode(source))
+        return lambda sources: [derive(encoder.model, *found) for found in encoder.encode(sources)]
 
-    return map_bytes(docs, text_col, keep, fields, make, out_rows=64)
+    return map_texts(docs, text_col, keep, fields, make, out_rows=128)
 
 
 def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
