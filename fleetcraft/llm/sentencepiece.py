@@ -374,12 +374,15 @@ class Encoder:
             cache.clear()
         cuts = [model.cuts.findall(t) for t in texts]
         out = [list(map(cache.get, some)) for some in cuts]
-        missing = {c for some, got in zip(cuts, out) if None in got for c, e in zip(some, got) if e is None}
+        gaps = [[k for k, e in enumerate(got) if e is None] for got in out]
+        missing = {some[k] for some, at in zip(cuts, gaps) for k in at}
         if missing:
             short = [c for c in missing if len(c) <= SHORT]
             cache.update(zip(short, self.merger.merge(short)))
             long = {c: model.merged_ids(c) for c in missing if len(c) > SHORT}
-            out = [[cache.get(c) or long[c] for c in some] if None in got else got for some, got in zip(cuts, out)]
+            for some, got, at in zip(cuts, out, gaps):
+                for k in at:
+                    got[k] = cache.get(some[k]) or long[some[k]]
         return out
 
     def encode(self, sources: list[bytes]) -> list[tuple[list[tuple[tuple[int, ...], str]], list[int], np.ndarray]]:

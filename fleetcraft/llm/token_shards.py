@@ -75,16 +75,37 @@ class WordEncoder:
         self.marks = "".join(m for m in _MARKS if t.pre_tokenizer is not None and all(
             [p for p, _ in t.pre_tokenizer.pre_tokenize_str(f"ab{tail}")] == ["ab", tail]
             for tail in (m, m + m, m + "."))).encode()
+        #: whether an id ends a run of letters, where the vocabulary marks word ends
+        suffix, self.last = (json.loads(blob).get("model") or {}).get("end_of_word_suffix"), None
+        if suffix and self.marks:
+            self.last = np.zeros(t.get_vocab_size(), dtype=bool)
+            self.last[[i for token, i in t.get_vocab().items() if token.endswith(suffix)]] = True
         # kept by the Python worker for the tasks that follow in it
         self.cache: dict[bytes, bytes] = worker_cache(("token ids", hashlib.sha256(blob).digest()))
 
     def _encode_new(self, new: list[bytes]) -> None:
-        cache = self.cache
-        for start in range(0, len(new), 4096):
-            some = new[start:start + 4096]
-            encoded = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in some],
+        """Encode stretches that are not known yet; runs of letters many at a time, told apart by their last tokens."""
+        cache, width = self.cache, self.dtype.itemsize
+        texts = [w.decode("utf-8", "replace") for w in new]
+        letters = [k for k, t in enumerate(texts) if self.last is not None and t.isalpha()]
+        for start in range(0, len(letters), 200 * 64):
+            groups = [letters[i:i + 200] for i in range(start, min(start + 200 * 64, len(letters)), 200)]
+            encoded = self.tokenizer.encode_batch_fast([" ".join(texts[k] for k in g) for g in groups],
                                                        add_special_tokens=False)
-            cache.update((w, np.array(e.ids, dtype=self.dtype).tobytes()) for w, e in zip(some, encoded))
+            for g, e in zip(groups, encoded):
+                ids = np.array(e.ids, dtype=self.dtype)
+                ends = np.flatnonzero(self.last[ids]) + 1
+                if len(ends) != len(g):
+                    continue
+                raw, at = ids.tobytes(), 0
+                for k, end in zip(g, (ends * width).tolist()):
+                    cache[new[k]] = raw[at:end]
+                    at = end
+        rest = [k for k, w in enumerate(new) if w not in cache]
+        for start in range(0, len(rest), 4096):
+            some = rest[start:start + 4096]
+            encoded = self.tokenizer.encode_batch_fast([texts[k] for k in some], add_special_tokens=False)
+            cache.update((new[k], np.array(e.ids, dtype=self.dtype).tobytes()) for k, e in zip(some, encoded))
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each text as raw little-endian integers."""
@@ -96,7 +117,8 @@ class WordEncoder:
             plain.append(t if any(s.lower() in low for s in self.special) else low)
         split = [t.split() for t in plain]
         found = [list(map(cache.get, words)) for words in split]
-        missing = {w for words, got in zip(split, found) if None in got for w, e in zip(words, got) if e is None}
+        gaps = [[k for k, e in enumerate(got) if e is None] for got in found]
+        missing = {words[k] for words, some in zip(split, gaps) for k in some}
         if missing:
             halves = {}
             for w in missing:
@@ -106,7 +128,9 @@ class WordEncoder:
             self._encode_new(list({p for w in missing for p in halves.get(w, (w,)) if p not in cache}))
             for w, (core, tail) in halves.items():
                 cache[w] = cache[core] + cache[tail]
-            found = [list(map(cache.__getitem__, words)) if None in got else got for words, got in zip(split, found)]
+            for words, got, some in zip(split, found, gaps):
+                for k in some:
+                    got[k] = cache[words[k]]
         return [b"".join(got) for got in found]
 
 
