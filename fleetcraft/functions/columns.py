@@ -64,13 +64,7 @@ def zero_fill(df: DataFrame, columns: Iterable[str]) -> DataFrame:
     ])
 
 
-def round_all(df: DataFrame, digits: int = 4, exclude: Iterable[str] = ()) -> DataFrame:
-    """Round every floating column (report formatting)."""
-    skip = set(exclude)
-    out = []
-    for f in df.schema.fields:
-        if f.dataType.typeName() in ("double", "float") and f.name not in skip:
-            out.append(F.round(F.col(f.name), digits).alias(f.name))
-        else:
-            out.append(F.col(f.name))
-    return df.select(*out)
+def number(c: str) -> Column:
+    """A column as double, NaN as NULL: a missing number is NULL everywhere."""
+    return F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double"))
+

@@ -24,7 +24,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetcraft.functions.columns import flag, money_mean, money_sum, ratio, region_name, round_mean, with_default
-from fleetcraft.functions.joins import bounded_local
 from fleetcraft.functions.period import Period, upto, window_filter
 
 # Fixed values of the reference (codes, thresholds).
@@ -79,15 +78,23 @@ def order_stats(wallet_orders: DataFrame, period: Period | None, cash: str = CAS
     """R2 (+A9): share of orders taken with a negative wallet, share of cash
     orders, order count, and the region of the driver's earliest order.
 
-    The earliest order's region uses ``min_by`` over (timestamp, order number):
-    deterministic, and a partial aggregate instead of a global sort (B5).
+    Orders are reduced to (driver, region) rows first, each with its earliest
+    order as one decimal key (microseconds, then order number), so raw orders
+    meet hash aggregates only; the region is picked among those few rows (B5).
+    Orders without a timestamp come last.
     """
     o = wallet_orders.where(window_filter(period, "date_partition"))
-    return (o.groupBy("driver_id")
-            .agg(F.avg(flag(F.col("wallet_before_order") < 0)).alias("perc_negative_orders"),
-                 F.avg(flag(F.col("payment_type") == cash)).alias("perc_cash_orders"),
-                 F.count("order_number").alias("orders"),
-                 F.min_by("logistic_region", F.struct("date_timestamp", "order_number"))
+    micros = F.unix_micros(F.col("date_timestamp").cast("timestamp")).cast("decimal(19,0)")
+    key = (micros * F.lit(10 ** 18).cast("decimal(19,0)") + F.col("order_number")).cast("decimal(38,0)")
+    per_region = (o.groupBy("driver_id", "logistic_region")
+                  .agg(F.count(F.lit(1)).alias("__rows"), F.sum(flag(F.col("wallet_before_order") < 0)).alias("__neg"),
+                       F.sum(flag(F.col("payment_type") == cash)).alias("__cash"),
+                       F.count("order_number").alias("orders"), F.min(key).alias("__first")))
+    return (per_region.groupBy("driver_id")
+            .agg(ratio(F.sum("__neg"), F.sum("__rows")).alias("perc_negative_orders"),
+                 ratio(F.sum("__cash"), F.sum("__rows")).alias("perc_cash_orders"),
+                 F.sum("orders").alias("orders"),
+                 F.min_by("logistic_region", F.coalesce("__first", F.lit("9" * 38).cast("decimal(38,0)")))
                   .alias("logistic_region")))
 
 
@@ -199,14 +206,8 @@ def new_drivers(worker_registration: DataFrame, workers: DataFrame, deliveries:
                      age.alias("antiquity"))
              .where(F.col("antiquity") <= max_age_days))
     history = deliveries.where(upto("date_partition", as_of))
-    # Only the young drivers' history is needed. When they pass the size
-    # check they are computed once, kept as a local relation and broadcast to
-    # filter the history map-side (no shuffle of all history); otherwise the
-    # partial distinct count over the whole history does the work.
-    local = bounded_local(young)
-    if local is not None:
-        young = local
-        history = history.join(F.broadcast(young.select("driver_uuid").distinct()), "driver_uuid", "left_semi")
+    # Only the young drivers' history is counted.
+    history = history.join(young.select("driver_uuid").distinct(), "driver_uuid", "left_semi")
     orders = history.groupBy("driver_uuid").agg(F.count_distinct("order_uuid").alias("orders"))
     return (young.join(orders, "driver_uuid", "left")
             .select("driver_uuid", "logistic_region",
@@ -298,6 +299,13 @@ def supply_daily(supply: DataFrame, period: Period | None, key: str = "driver_uu
                  F.count(F.when(secs > 0, F.lit(1))).alias("positive_intervals")))
 
 
+def daily_by_uuid(daily: DataFrame, workers: DataFrame) -> DataFrame:
+    """Driver-days keyed by driver id -> keyed by uuid: the id map meets days, not raw intervals."""
+    sums = [c for c in daily.columns if c not in ("driver_id", "date_partition")]
+    return (daily.join(id_map(workers), "driver_id", "left").groupBy("driver_uuid", "date_partition")
+            .agg(*[F.sum(c).alias(c) for c in sums]))
+
+
 def supply_means(daily: DataFrame, key: str = "driver_uuid") -> DataFrame:
     """K5: days connected and mean daily critical, special and total hours."""
     return (daily.groupBy(key)

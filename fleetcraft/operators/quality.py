@@ -41,7 +41,7 @@ def quality_report(df: DataFrame, dataset: str, unique_key: str | None = None,
 
 def gate(report: DataFrame) -> DataFrame:
     """Raise when any check failed (the reference stops the job); else return the report."""
-    failed = report.where(~F.col("passed")).limit(100).collect()
+    failed = report.where(~F.col("passed")).collect()
     if failed:
         raise RuntimeError("data quality validation failed: " +
                            "; ".join(f"{r['check']}({r['column']}) observed={r['observed']}" for r in failed))

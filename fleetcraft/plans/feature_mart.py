@@ -69,7 +69,7 @@ def joined_features(t, p: FeatureParams, store: bool = False) -> DataFrame:
     facts = feat.delivery_facts(t.deliveries(), w.deliveries, p.codes)
     if store:
         facts = materialise(facts, "delivery-facts")
-    daily = feat.supply_daily(t.supply_intervals(with_uuid=True), w.supply)
+    daily = feat.daily_by_uuid(feat.supply_daily(t.supply_intervals(), w.supply, "driver_id"), t.workers())
     base = feat.main_region(facts, p.ties)
     parts = [
         feat.delivery_kpis(facts),

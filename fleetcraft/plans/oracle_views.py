@@ -28,29 +28,33 @@ VIEWS: dict[str, str] = {
         SELECT o.o_custkey AS driver_id, c.c_name AS driver_uuid, l.l_orderkey AS order_uuid,
                l.l_orderkey * 10 + l.l_linenumber AS order_delivery_uuid,
                l.l_orderkey AS order_number, o.o_orderstatus AS last_status,
-               CAST(o.o_orderdate AS DATE) AS date_partition, upper(n.n_name) AS logistic_region,
+               DATE '2023-12-20' + CAST(l.l_orderkey % 45 AS INTEGER) AS date_partition,
+               upper(n.n_name) AS logistic_region,
                CAST(date_diff('day', CAST(o.o_orderdate AS DATE), CAST(l.l_shipdate AS DATE)) AS DOUBLE)
                    AS delay,
                l.l_discount AS driver_consumer_evaluation, l.l_quantity AS real_delivery_time,
                25.0 AS expected_delivery_time,
                CASE WHEN l.l_linestatus = 'F' THEN 'true' ELSE 'false' END AS late_driver_flag,
-               l.l_tax * 3600 AS time_to_destination, l.l_quantity AS distance_route
+               CASE WHEN o.o_custkey % 7 = 0 THEN 0.0 ELSE l.l_tax * 3600 END AS time_to_destination, l.l_quantity AS distance_route
         FROM lineitem l
         JOIN orders o ON l.l_orderkey = o.o_orderkey
         LEFT JOIN customer c ON o.o_custkey = c.c_custkey
         LEFT JOIN supplier s ON l.l_suppkey = s.s_suppkey
-        LEFT JOIN nation n ON s.s_nationkey = n.n_nationkey""",
+        LEFT JOIN nation n ON n.n_nationkey =
+            CASE WHEN l.l_linenumber % 2 = 0 THEN s.s_nationkey ELSE o.o_custkey % 25 END""",
     "routes": """
-        SELECT o.o_custkey AS driver_id, CAST(l.l_shipdate AS DATE) AS date_partition,
+        SELECT o.o_custkey AS driver_id, DATE '2023-12-20' + CAST(l.l_orderkey % 45 AS INTEGER) AS date_partition,
                nullif(l.l_returnflag, 'N') AS cancel_rejection_type
         FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey""",
     "worker_registration": """
         SELECT f.o_custkey AS worker_id,
                CASE WHEN f.o_custkey % 4 = 0 THEN 'INACTIVE' ELSE 'ACTIVE' END AS worker_state,
-               f.first_ts AS registration_timestamp, f.first_ts AS registration_approval_timestamp,
-               a.logistic_region
-        FROM (SELECT o_custkey, min(o_orderdate) AS first_ts FROM orders GROUP BY o_custkey) f
-        LEFT JOIN accounts a ON f.o_custkey = a.driver_id""",
+               CAST(DATE '2023-12-20' + CAST(f.o_custkey % 60 AS INTEGER) AS TIMESTAMP) AS registration_timestamp,
+               CAST(DATE '2023-12-20' + CAST(f.o_custkey % 60 AS INTEGER) AS TIMESTAMP)
+                   AS registration_approval_timestamp,
+               n.n_name AS logistic_region
+        FROM (SELECT DISTINCT o_custkey FROM orders) f
+        LEFT JOIN nation n ON CAST(f.o_custkey % 25 AS INTEGER) = n.n_nationkey""",
     "billing": """
         SELECT e.user_id AS driver_id, c.c_name AS driver_uuid, CAST(e.ts AS DATE) AS day,
                e.event_type AS billing_cause, e.value * 100 AS quantity, e.event_id AS id
@@ -83,9 +87,7 @@ VIEWS: dict[str, str] = {
 }
 
 # Views that other views read.
-DEPENDS: dict[str, tuple[str, ...]] = {
-    "worker_registration": ("accounts",),
-}
+DEPENDS: dict[str, tuple[str, ...]] = {}
 
 
 def initcap(expr: str) -> str:

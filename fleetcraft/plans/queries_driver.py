@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from fleetcraft.operators import features as feat
-from fleetcraft.plans.catalogue import (CODES, EVENTS_15, EVENTS_30, NEW_DRIVER_AS_OF, ORDERS_WINDOW,
+from fleetcraft.plans.settings import (CODES, EVENTS_15, EVENTS_30, NEW_DRIVER_AS_OF, ORDERS_WINDOW,
                                         RECHARGE_CAUSES, SENIORITY_AS_OF, STRIKE_EXCLUDED, FEATURE_END,
                                         fixtures, register)
 from fleetcraft.plans.oracle_views import initcap, money_mean, money_sum, round_mean, with_views
@@ -96,9 +96,9 @@ _ROUTE_SHARES = """
                CAST(sum(CASE WHEN coalesce(cancel_rejection_type, 'completed') = 'completed' THEN 1 ELSE 0 END)
                     AS BIGINT) AS completed_routes,
                count(coalesce(cancel_rejection_type, 'completed')) AS total_routes
-        FROM routes GROUP BY driver_id""")]))
+        FROM routes WHERE """ + EVENTS_30.sql("date_partition") + " GROUP BY driver_id")]))
 def route_completion(spark, sf):
-    return feat.route_completion(fixtures(spark, sf).routes(), None)
+    return feat.route_completion(fixtures(spark, sf).routes(), EVENTS_30)
 
 
 @register("route_completion_by_uuid", with_views(["routes", "workers"], _ROUTE_SHARES.format(key="driver_uuid"),
@@ -107,10 +107,11 @@ def route_completion(spark, sf):
                CAST(sum(CASE WHEN coalesce(r.cancel_rejection_type, 'completed') = 'completed' THEN 1 ELSE 0 END)
                     AS BIGINT) AS completed_routes,
                count(coalesce(r.cancel_rejection_type, 'completed')) AS total_routes
-        FROM routes r LEFT JOIN workers w ON r.driver_id = w.driver_id GROUP BY w.driver_uuid""")]))
+        FROM routes r LEFT JOIN workers w ON r.driver_id = w.driver_id
+        WHERE """ + EVENTS_30.sql("r.date_partition") + " GROUP BY w.driver_uuid")]))
 def route_completion_by_uuid(spark, sf):
     t = fixtures(spark, sf)
-    return feat.route_completion_by_uuid(t.routes(), t.workers(), None)
+    return feat.route_completion_by_uuid(t.routes(), t.workers(), EVENTS_30)
 
 
 @register("new_drivers", with_views(["worker_registration", "workers", "deliveries"], """
@@ -139,11 +140,15 @@ FACTS_SQL = f"""
            time_to_destination / 3600 AS time_to_destination_hours,
            distance_route / nullif(time_to_destination / 3600, 0) AS speed
     FROM deliveries
-    WHERE last_status <> '{CODES.cancelled}' AND driver_uuid IS NOT NULL"""
+    WHERE last_status <> '{CODES.cancelled}' AND driver_uuid IS NOT NULL AND {EVENTS_15.sql('date_partition')}"""
+
+
+def _daily(t):
+    return feat.daily_by_uuid(feat.supply_daily(t.supply_intervals(), EVENTS_15, "driver_id"), t.workers())
 
 
 def _facts(spark, sf):
-    return feat.delivery_facts(fixtures(spark, sf).deliveries(), None, CODES)
+    return feat.delivery_facts(fixtures(spark, sf).deliveries(), EVENTS_15, CODES)
 
 
 @register("delivery_kpis", with_views(["deliveries"], f"""
@@ -216,7 +221,7 @@ SUPPLY_MEANS_SQL = """
                                            extra=[("daily", SUPPLY_DAILY_SQL)]))
 def supply_daily_means(spark, sf):
     t = fixtures(spark, sf)
-    return feat.supply_means(feat.supply_daily(t.supply_intervals(with_uuid=True), EVENTS_15))
+    return feat.supply_means(_daily(t))
 
 
 UTR_SQL = """
@@ -232,7 +237,7 @@ UTR_SQL = """
                             extra=[("daily", SUPPLY_DAILY_SQL), ("facts", FACTS_SQL)]))
 def utr(spark, sf):
     t = fixtures(spark, sf)
-    return feat.utr(feat.supply_daily(t.supply_intervals(with_uuid=True), EVENTS_15), _facts(spark, sf))
+    return feat.utr(_daily(t), _facts(spark, sf))
 
 
 @register("recharge_features", with_views(["billing"], f"""

@@ -8,7 +8,7 @@ from fleetcraft.operators import coverage as cov
 from fleetcraft.operators import eligibility as elig
 from fleetcraft.operators import geo, quality
 from fleetcraft.plans import feature_mart
-from fleetcraft.plans.catalogue import (ELIGIBILITY, EVENTS_15, EVENTS_30, FEATURE_END, FEATURES, ORDERS_WINDOW,
+from fleetcraft.plans.settings import (ELIGIBILITY, EVENTS_15, EVENTS_30, FEATURE_END, FEATURES, ORDERS_WINDOW,
                                         RECHARGE_CAUSES, REGIONS, RULES_ACTIVE, RULES_ALTERNATE, RUN_DATE,
                                         SENIORITY_AS_OF, STRIKE_EXCLUDED, CODES, NEW_DRIVER_AS_OF,
                                         fixtures, register)
@@ -48,11 +48,12 @@ FEATURE_CTES = [
                {round_mean('driver_consumer_evaluation', 4)} AS consumer_evaluation,
                {round_mean('is_ontime', 4)} AS sla
         FROM facts GROUP BY driver_uuid"""),
-    ("froutes", """
+    ("froutes", f"""
         SELECT w.driver_uuid,
                sum(CASE WHEN coalesce(r.cancel_rejection_type, 'completed') = 'completed' THEN 1 ELSE 0 END)::DOUBLE
                  / nullif(count(*), 0) AS prop_completed_routes
-        FROM routes r LEFT JOIN workers w ON r.driver_id = w.driver_id GROUP BY w.driver_uuid"""),
+        FROM routes r LEFT JOIN workers w ON r.driver_id = w.driver_id
+        WHERE {EVENTS_30.sql('r.date_partition')} GROUP BY w.driver_uuid"""),
     ("daily", SUPPLY_DAILY_SQL),
     ("fsupply", """
         SELECT driver_uuid, count(date_partition) AS days_connected,
@@ -187,13 +188,13 @@ WORKER_CTES = [
         SELECT driver_id, sum(interval_executed_seconds / 3600) AS online_hours,
                sum(interval_worked_seconds / 3600) AS working_hours
         FROM supply_intervals WHERE {EVENTS_30.sql('date_partition')} GROUP BY driver_id"""),
-    ("wrte", """
+    ("wrte", f"""
         SELECT driver_id,
                sum(CASE WHEN coalesce(cancel_rejection_type, 'completed') = 'completed' THEN 1 ELSE 0 END)::DOUBLE / nullif(count(*), 0)
                    AS prop_completed_routes,
                1.0 - sum(CASE WHEN coalesce(cancel_rejection_type, 'completed') = 'completed' THEN 1 ELSE 0 END)::DOUBLE / nullif(count(*), 0)
                    AS prop_declined_orders
-        FROM routes GROUP BY driver_id"""),
+        FROM routes WHERE {EVENTS_30.sql('date_partition')} GROUP BY driver_id"""),
     ("workers_row", """
         SELECT b.driver_id, b.perc_negative_orders, b.perc_cash_orders, b.orders, b.logistic_region,
                a.driver_uuid, g.segmentation_def, w.days_negative, w.avg_wallet, w.min_wallet,
@@ -437,7 +438,7 @@ def quality_features(spark, sf):
     GROUP BY driver_uuid HAVING count(*) > 1""", extra=FEATURE_CTES[:2]))
 def duplicate_keys(spark, sf):
     from fleetcraft.operators import features as feat
-    ties = feat.main_region(feat.delivery_facts(fixtures(spark, sf).deliveries(), None, CODES), ties="all")
+    ties = feat.main_region(feat.delivery_facts(fixtures(spark, sf).deliveries(), EVENTS_15, CODES), ties="all")
     return quality.duplicate_keys(ties, "driver_uuid")
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fleetcraft.operators import prepare, profile, segment
-from fleetcraft.plans.catalogue import CODES, REGIONS, fixtures, register
+from fleetcraft.plans.settings import CODES, EVENTS_15, REGIONS, fixtures, register
 from fleetcraft.plans.queries_mart import FEATURE_CTES, FEATURE_ROW_SQL, FEATURE_VIEWS, features_table
 from fleetcraft.plans.oracle_views import with_views
 from fleetcraft.sources import tables
@@ -223,7 +223,7 @@ def count_above_threshold(spark, sf):
                 FROM region_counts) WHERE rk = 1)) WHERE rn = 1""", extra=FEATURE_CTES[:2]))
 def dedup_first(spark, sf):
     from fleetcraft.operators import features as feat
-    ties = feat.main_region(feat.delivery_facts(fixtures(spark, sf).deliveries(), None, CODES), ties="all")
+    ties = feat.main_region(feat.delivery_facts(fixtures(spark, sf).deliveries(), EVENTS_15, CODES), ties="all")
     return prepare.dedup_first(ties, "driver_uuid", ["logistic_region"])
 
 

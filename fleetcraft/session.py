@@ -31,10 +31,9 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
-        # Broadcast only what was measured: no planning-time guesses from file
-        # sizes (a filtered or joined fact table can be mistaken for small);
-        # AQE still converts a join once a side's *runtime* size is known.
-        .config("spark.sql.autoBroadcastJoinThreshold", "-1")
+        # Broadcast at planning time only what its files show to be tiny; AQE
+        # converts a join once a side's *runtime* size is known.
+        .config("spark.sql.autoBroadcastJoinThreshold", str(2 * 1024 * 1024))
         .config("spark.sql.adaptive.autoBroadcastJoinThreshold", str(32 * 1024 * 1024))
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
@@ -55,6 +54,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     current = sc.getCheckpointDir() or sc.getConf().get(CHECKPOINT_CONF, None)
     if not current:
+        if not sc.master.startswith("local"):
+            raise ValueError(f"{CHECKPOINT_CONF} must name a folder that all executors share")
         current = tempfile.mkdtemp(prefix="fleetcraft-ckpt-", dir="/tmp")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(current)

@@ -7,8 +7,8 @@ below (a driver is a customer). The same rules exist as DuckDB SQL in
 ``fleetcraft.plans.oracle_views`` so each query has an independent oracle.
 
 Scale notes: the big inputs (lineitem, orders, events) are only ever joined on
-their own keys; small dimensions (nation, supplier->region) go through
-``small_side``, which broadcasts only after a row-count check.
+their own keys. The nation dimension is reduced to one row per known key, so its
+size is bounded by construction and it may be broadcast.
 """
 
 from __future__ import annotations
@@ -19,7 +19,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fleetcraft.functions.joins import small_side
 from fleetcraft.sources.tables import load
 
 # Fixed values of the fixture mapping (see FIXTURES.md section 3).
@@ -29,11 +28,13 @@ CASH_PRIORITY = "1-URGENT"
 WALLET_OFFSET = 250_000.0
 EXPECTED_DELIVERY_TIME = 25.0
 NATION_COUNT = 25
+# Deliveries and routes are spread over these days, so that they meet the events.
+FIRST_DAY, DAYS = dt.date(2023, 12, 20), 45
 
 
-# Checked small sides (dimension tables) per (session, directory): the size
-# check and local copy are made once, not once per query.
-_SMALL: dict[tuple[str, int, str, str], DataFrame] = {}
+def shifted_day(key: str):
+    """The day of an order key: ``DAYS`` days from ``FIRST_DAY`` on."""
+    return F.date_add(F.lit(FIRST_DAY), (F.col(key) % DAYS).cast("int"))
 
 
 class Fixtures:
@@ -44,12 +45,6 @@ class Fixtures:
         self.base_dir = base_dir
         self._memo: dict[str, DataFrame] = {}
 
-    def _small(self, name: str, build) -> DataFrame:
-        key = (self.spark.sparkContext.applicationId, id(self.spark), self.base_dir, name)
-        if key not in _SMALL:
-            _SMALL[key] = small_side(build())
-        return _SMALL[key]
-
     def _raw(self, name: str, *columns: str) -> DataFrame:
         return load(self.spark, self.base_dir, name, list(columns) or None)
 
@@ -60,8 +55,9 @@ class Fixtures:
 
     # -- dimensions ---------------------------------------------------------
     def nation(self) -> DataFrame:
-        """Nation dimension (25 rows), size-checked once and broadcast."""
-        return self._small("nation", lambda: self._raw("nation", "n_nationkey", "n_name"))
+        """Nation dimension: one row for each of the ``NATION_COUNT`` known keys at most, so it is broadcast."""
+        n = self._raw("nation", "n_nationkey", "n_name").where(F.col("n_nationkey").between(0, NATION_COUNT - 1))
+        return F.broadcast(n.groupBy("n_nationkey").agg(F.min("n_name").alias("n_name")))
 
     def workers(self) -> DataFrame:
         """id -> uuid map of the worker master table."""
@@ -105,13 +101,9 @@ class Fixtures:
                             F.col("n_name").alias("logistic_region")))
         return self._once("wallet_orders", build)
 
-    def _supplier_region(self) -> DataFrame:
-        """supplier -> region; broadcast only while the size check passes, else a shuffle join."""
-        def build():
-            s = self._raw("supplier", "s_suppkey", "s_nationkey")
-            return (s.join(self.nation(), s.s_nationkey == F.col("n_nationkey"), "left")
-                    .select("s_suppkey", F.upper("n_name").alias("logistic_region")))
-        return self._small("supplier_region", build)
+    def _supplier_nation(self) -> DataFrame:
+        """supplier -> nation key."""
+        return self._raw("supplier", "s_suppkey", "s_nationkey")
 
     def deliveries(self, with_uuid: bool = True) -> DataFrame:
         """Deliveries; ``with_uuid=False`` skips the uuid lookup (a shuffle of
@@ -125,7 +117,12 @@ class Fixtures:
             li = self._raw("lineitem", "l_orderkey", "l_suppkey", "l_linenumber", "l_quantity",
                            "l_discount", "l_tax", "l_linestatus", "l_shipdate")
             d = li.join(oc, li.l_orderkey == oc.o_orderkey, "inner")
-            d = d.join(self._supplier_region(), d.l_suppkey == F.col("s_suppkey"), "left")
+            d = d.join(self._supplier_nation(), d.l_suppkey == F.col("s_suppkey"), "left")
+            # every other delivery is in the driver's own region, the rest where the supplier is
+            d = d.withColumn("_nk", F.when(F.col("l_linenumber") % 2 == 0, F.col("s_nationkey"))
+                             .otherwise(F.col("o_custkey") % NATION_COUNT).cast("int"))
+            n = self.nation().select(F.col("n_nationkey"), F.upper("n_name").alias("logistic_region"))
+            d = d.join(n, F.col("_nk") == F.col("n_nationkey"), "left")
             return d.select(
                 F.col("o_custkey").alias("driver_id"),
                 F.col("driver_uuid"),
@@ -133,7 +130,7 @@ class Fixtures:
                 (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("order_delivery_uuid"),
                 F.col("l_orderkey").alias("order_number"),
                 F.col("o_orderstatus").alias("last_status"),
-                F.to_date("o_orderdate").alias("date_partition"),
+                shifted_day("l_orderkey").alias("date_partition"),
                 F.col("logistic_region"),
                 F.datediff(F.to_date("l_shipdate"), F.to_date("o_orderdate")).cast("double").alias("delay"),
                 F.col("l_discount").alias("driver_consumer_evaluation"),
@@ -141,7 +138,9 @@ class Fixtures:
                 F.lit(EXPECTED_DELIVERY_TIME).alias("expected_delivery_time"),
                 F.when(F.col("l_linestatus") == "F", F.lit("true")).otherwise(F.lit("false"))
                  .alias("late_driver_flag"),
-                (F.col("l_tax") * 3600).alias("time_to_destination"),
+                # some drivers have no travel time at all, so no speed
+                F.when(F.col("o_custkey") % 7 == 0, F.lit(0.0)).otherwise(F.col("l_tax") * 3600)
+                 .alias("time_to_destination"),
                 F.col("l_quantity").alias("distance_route"),
             )
         return self._once(f"deliveries-{with_uuid}", build)
@@ -149,24 +148,26 @@ class Fixtures:
     def routes(self) -> DataFrame:
         def build():
             o = self._raw("orders", "o_orderkey", "o_custkey")
-            li = self._raw("lineitem", "l_orderkey", "l_returnflag", "l_shipdate")
+            li = self._raw("lineitem", "l_orderkey", "l_returnflag")
             return (li.join(o, li.l_orderkey == o.o_orderkey, "inner")
                     .select(F.col("o_custkey").alias("driver_id"),
-                            F.to_date("l_shipdate").alias("date_partition"),
+                            shifted_day("l_orderkey").alias("date_partition"),
                             F.nullif(F.col("l_returnflag"), F.lit("N")).alias("cancel_rejection_type")))
         return self._once("routes", build)
 
     def worker_registration(self) -> DataFrame:
+        """Drivers with orders; approved over some 60 days, in their own region."""
         def build():
-            first = (self._raw("orders", "o_custkey", "o_orderdate")
-                     .groupBy("o_custkey").agg(F.min("o_orderdate").alias("first_ts")))
-            return (first.join(self.accounts(), first.o_custkey == F.col("driver_id"), "left")
+            d = self._raw("orders", "o_custkey").distinct()
+            n = self.nation()
+            approved = F.date_add(F.lit(FIRST_DAY), (F.col("o_custkey") % 60).cast("int")).cast("timestamp_ntz")
+            return (d.join(n, (F.col("o_custkey") % NATION_COUNT).cast("int") == F.col("n_nationkey"), "left")
                     .select(F.col("o_custkey").alias("worker_id"),
                             F.when(F.col("o_custkey") % 4 == 0, F.lit("INACTIVE"))
                              .otherwise(F.lit("ACTIVE")).alias("worker_state"),
-                            F.col("first_ts").alias("registration_timestamp"),
-                            F.col("first_ts").alias("registration_approval_timestamp"),
-                            F.col("logistic_region")))
+                            approved.alias("registration_timestamp"),
+                            approved.alias("registration_approval_timestamp"),
+                            F.col("n_name").alias("logistic_region")))
         return self._once("worker_registration", build)
 
     # -- event-based facts --------------------------------------------------
