@@ -96,7 +96,7 @@ def count_words(text: str) -> tuple[list[str], list[int]]:
     return list(c), list(c.values())
 
 
-def _descend(value_and_slope, x: np.ndarray, steps: int, seen, memory: int = 8) -> None:
+def _descend(value_and_slope, x: np.ndarray, steps: int, seen, memory: int = 5) -> None:
     """Limited-memory quasi-Newton descent with halving line search; ``seen`` gets every accepted point."""
     value, slope = value_and_slope(x)
     moves: list[tuple[np.ndarray, np.ndarray, float]] = []
@@ -133,11 +133,11 @@ def _descend(value_and_slope, x: np.ndarray, steps: int, seen, memory: int = 8)
 
 
 def train(bags: list[tuple[list[str], list[int]]], labels: np.ndarray, prior: float, buckets: int = 1 << 19,
-          dim: int = 4, steps: int = 80, decay: float = 1e-3, patience: int = 25, least: int = 5, power: float = -0.25, seed: int = 7) -> Folded:
+          dim: int = 2, steps: int = 80, decay: float = 1e-3, patience: int = 25, least: int = 5, power: float = -0.25, seed: int = 7) -> Folded:
     """Fit on word counts of texts. ``prior`` is class 1's share among all labelled texts, sampled or not.
 
     Table and layer descend together on the whole sample; every tenth text is
-    held back to choose the best step.
+    held back to choose the best step. ``bags`` is emptied once it is read.
     """
     labels = np.asarray(labels, dtype=np.int64)
     if not len(labels) or labels.min() == labels.max():
@@ -153,7 +153,8 @@ def train(bags: list[tuple[list[str], list[int]]], labels: np.ndarray, prior: fl
                 word_at.append(index[w])
                 doc_at.append(d)
                 weight.append(c / total)
-    word_at, doc_at, weight = np.array(word_at), np.array(doc_at), np.array(weight)
+    word_at, doc_at, weight = np.array(word_at, np.int32), np.array(doc_at, np.int32), np.array(weight)
+    bags.clear()
     rows, owner = subwords(list(index), buckets)
     used, rows = np.unique(rows, return_inverse=True)
     share = 1.0 / np.bincount(owner, minlength=len(index))

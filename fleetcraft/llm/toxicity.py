@@ -25,7 +25,7 @@ from fleetcraft.llm import subword
 from fleetcraft.llm.common import map_bytes, map_texts
 
 #: Labelled texts of each class that are learnt from, at most.
-PER_CLASS = 2500
+PER_CLASS = 2000
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, per_class: int, id_col: str = "doc_id",
@@ -55,7 +55,9 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", per_class:
     bags = map_bytes(sample, "text", ["doc_id", "label"], fields,
                      lambda: lambda t: subword.count_words(t.decode("utf-8", "replace")))
     rows = sorted(bags.withColumn("h", F.xxhash64("doc_id")).collect(), key=lambda r: (r["h"], r["doc_id"]))
-    return subword.train([(r["words"], r["counts"]) for r in rows], np.array([r["label"] for r in rows]), prior)
+    bags, truth = [(r["words"], r["counts"]) for r in rows], np.array([r["label"] for r in rows])
+    del rows
+    return subword.train(bags, truth, prior)
 
 
 def score(docs: DataFrame, model: subword.Folded, keep: list[str], text_col: str = "text",
