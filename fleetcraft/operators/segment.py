@@ -28,11 +28,10 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark import StorageLevel
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import Pipeline
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.feature import PCA, Normalizer, StringIndexer, VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -63,26 +62,37 @@ def _vec(df: DataFrame, columns: Sequence[str], out: str = "features") -> DataFr
 # embedding
 # ---------------------------------------------------------------------------
 
-def fit_embedding(scaled: DataFrame, features: Sequence[str] = SEGMENT_FEATURES, dims: int = 2) -> PipelineModel:
-    """Fit L2 normalisation + PCA on the scaled features."""
+def fit_embedding(scaled: DataFrame, features: Sequence[str] = SEGMENT_FEATURES, dims: int = 2) -> list[list[float]]:
+    """Fit L2 normalisation + PCA on the scaled features; returns the loadings, a row per component.
+
+    A component's sign is arbitrary: its largest loading is made positive, so
+    repeated fits agree.
+    """
     pipe = Pipeline(stages=[
         VectorAssembler(inputCols=list(features), outputCol="__raw", handleInvalid="skip"),
         Normalizer(inputCol="__raw", outputCol="__unit", p=2.0),
         PCA(k=dims, inputCol="__unit", outputCol="__pca"),
     ])
-    return pipe.fit(scaled)
+    loadings = pipe.fit(scaled).stages[-1].pc.toArray().T.tolist()
+    return [[-v for v in row] if max(row, key=abs) < 0 else row for row in loadings]
 
 
-def embed(model: PipelineModel, scaled: DataFrame, keep: Sequence[str]) -> DataFrame:
+def embed(loadings: Sequence[Sequence[float]], scaled: DataFrame, keep: Sequence[str],
+          features: Sequence[str] = SEGMENT_FEATURES) -> DataFrame:
     """Apply a fitted embedding; output columns ``keep`` + ``c1, c2``.
 
     Rows with a NULL feature are dropped (the reference drops NaN rows before
-    reducing)."""
-    # the sign of a component is arbitrary: its largest loading is made positive
-    loadings = model.stages[-1].pc.toArray()
-    signs = [-1.0 if max(col, key=abs) < 0 else 1.0 for col in loadings.T.tolist()]
-    arr = vector_to_array(F.col("__pca"))
-    return model.transform(scaled).select(*keep, *[(arr[i] * signs[i]).alias(c) for i, c in enumerate(DIMS)])
+    reducing); a row of zeros stays at the origin. The loadings are literals,
+    so this is a projection inside whole-stage codegen."""
+    x = [F.col(f).cast("double") for f in features]
+    norm = F.sqrt(sum((v * v for v in x[1:]), x[0] * x[0]))
+
+    def component(row: Sequence[float]) -> Column:
+        dot = sum((v * F.lit(float(w)) for v, w in zip(x[1:], row[1:])), x[0] * F.lit(float(row[0])))
+        return F.when(norm == 0, F.lit(0.0)).otherwise(F.try_divide(dot, norm))
+
+    return (scaled.na.drop(subset=list(features))
+            .select(*keep, *[component(row).alias(c) for row, c in zip(loadings, DIMS)]))
 
 
 # ---------------------------------------------------------------------------
@@ -248,7 +258,7 @@ class SegmentModel:
     """Everything needed to score a new load without refitting."""
 
     scaler: DataFrame            # per-region registry (min/max or mean/std)
-    embedding: PipelineModel
+    embedding: list[list[float]]   # loadings
     clusterer: Clusterer
     prefix: str = ""
     kind: str = "minmax"
@@ -271,7 +281,7 @@ def fit_segments(prepared: DataFrame, k: int, registry: DataFrame | None = None,
     if rows < max(2, k):
         raise ValueError(f"{rows} complete rows cannot make {k} segments {prefix!r}: choose a smaller k or more rows")
     emb = fit_embedding(scaled, features)
-    points = embed(emb, scaled, [key, "logistic_region"]).persist(StorageLevel.MEMORY_AND_DISK)
+    points = embed(emb, scaled, [key, "logistic_region"], features).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         clusterer = fit_kmeans(points, k, restarts=restarts)
     finally:
@@ -281,34 +291,35 @@ def fit_segments(prepared: DataFrame, k: int, registry: DataFrame | None = None,
 
 
 def score(model: SegmentModel, prepared: DataFrame, features: Sequence[str] = SEGMENT_FEATURES,
-          key: str = "driver_uuid", column: str = "segmentation") -> DataFrame:
+          key: str = "driver_uuid", column: str = "segmentation", registry: DataFrame | None = None) -> DataFrame:
     """Apply stored scaler, projection and centres to a fresh load.
 
     Regions that the fit did not know get their parameters from the load itself
-    (D13), so every complete row is scored.
+    (D13), so every complete row is scored. A part of a load is scored with the
+    ``registry`` extended by the whole load.
     """
     transform = prepare.transform_minmax if model.kind == "minmax" else prepare.transform_standard
-    registry = prepare.update_registry(model.scaler, prepared, features, kind=model.kind)
+    if registry is None:
+        registry = prepare.update_registry(model.scaler, prepared, features, kind=model.kind)
     scaled = transform(prepared, registry, features).na.drop(subset=list(features))
-    points = embed(model.embedding, scaled, [key, "logistic_region"])
+    points = embed(model.embedding, scaled, [key, "logistic_region"], features)
     return label_rows(points, model.clusterer, model.prefix, column)
 
 
 def save_model(model: SegmentModel, path: str) -> None:
     """Store registry, projection and centres so that another session can score."""
     model.scaler.write.mode("overwrite").parquet(f"{path}/scaler")
-    model.embedding.write().overwrite().save(f"{path}/embedding")
     c = model.clusterer
-    row = (json.dumps(c.centers), float(c.cost), int(c.seed), model.prefix, model.kind)
+    row = (json.dumps(model.embedding), json.dumps(c.centers), float(c.cost), int(c.seed), model.prefix, model.kind)
     model.scaler.sparkSession.createDataFrame(
-        [row], "centers string, cost double, seed int, prefix string, kind string"
+        [row], "loadings string, centers string, cost double, seed int, prefix string, kind string"
     ).write.mode("overwrite").parquet(f"{path}/clusters")
 
 
 def load_model(spark, path: str) -> SegmentModel:
     row = spark.read.parquet(f"{path}/clusters").first()
     centers = [tuple(c) for c in json.loads(row["centers"])]
-    return SegmentModel(spark.read.parquet(f"{path}/scaler"), PipelineModel.load(f"{path}/embedding"),
+    return SegmentModel(spark.read.parquet(f"{path}/scaler"), json.loads(row["loadings"]),
                         Clusterer(None, centers, row["cost"], row["seed"]), row["prefix"], row["kind"])
 
 

@@ -112,11 +112,14 @@ def segmentation_job(features: DataFrame, out_dir: str, top_k: int = 2,
 def score_job(features: DataFrame, models: dict) -> DataFrame:
     """Second pass of the final notebook: label a fresh load with stored models."""
     fresh = tables.materialise(prepare_segment_input(features), "fresh-input")
-    top = segment.score(models[""], fresh)
+    registry = tables.materialise(prepare.update_registry(models[""].scaler, fresh, segment.SEGMENT_FEATURES,
+                                                          kind=models[""].kind), "scaler-registry")
+    top = tables.materialise(segment.score(models[""], fresh, registry=registry), "top-segments")
     labelled = fresh.join(top.select("driver_uuid", "segmentation"), "driver_uuid")
-    parts = [segment.score(models[p], labelled.where(F.col("segmentation") == p), column="subsegmentation")
-             .select("driver_uuid", "subsegmentation") for p in models if p]
-    subs = parts[0]
-    for p in parts[1:]:
-        subs = subs.unionByName(p)
-    return labelled.join(subs, "driver_uuid")
+    # a parent without stored subsegments keeps its drivers, with no subsegment
+    subs = None
+    for p in (p for p in models if p):
+        part = segment.score(models[p], labelled.where(F.col("segmentation") == p), column="subsegmentation",
+                             registry=registry).select("driver_uuid", "subsegmentation")
+        subs = part if subs is None else subs.unionByName(part)
+    return labelled.join(subs, "driver_uuid", "left") if subs is not None else labelled

@@ -316,6 +316,111 @@ def silhouette_summary(spark, sf):
         segment.silhouette_squared(segment.assign(fixed_points(spark, sf), FIXED_CENTERS)))
 
 
+@register("inertia_k1", _seg_sql("SELECT count(*) * (var_pop(c1) + var_pop(c2)) AS inertia FROM pts"))
+def inertia_k1(spark, sf):
+    """C5 at k = 1: the closed form that the elbow starts from."""
+    return spark.createDataFrame([(segment.inertia_k1(fixed_points(spark, sf)),)], "inertia double")
+
+
+# ---------------------------------------------------------------------------
+# Stored models: scoring is checked apart from fitting
+# ---------------------------------------------------------------------------
+
+# Loadings and centres as a fit stores them, fixed here so that SQL can apply them.
+STORED_LOADINGS = ((0.5, 0.25, 0.125, 0.5, 0.375, 0.25), (0.25, -0.5, 0.375, -0.125, 0.5, -0.25))
+STORED_CENTERS = {"": ((0.25, -0.25), (0.75, 0.125)), "A": ((0.25, -0.5), (0.5, 0.0)),
+                  "B": ((0.5, 0.0), (0.625, 0.25), (0.75, -0.125), (0.875, 0.125))}
+
+
+def stored_models(spark, sf, data=None) -> dict:
+    """The three stored models; their registry knows the first regions only."""
+    known = (seg_input(spark, sf) if data is None else data).where(F.col("logistic_region").isin(*FIRST_REGIONS))
+    registry = prepare.update_registry(None, known, FEATS)
+    return {p: segment.SegmentModel(registry, [list(r) for r in STORED_LOADINGS],
+                                    segment.Clusterer(None, [tuple(c) for c in centers], 0.0, segment.SEED), p)
+            for p, centers in STORED_CENTERS.items()}
+
+
+def _nearest_sql(prefix: str) -> str:
+    dist = [f"((c1 - {x}) * (c1 - {x}) + (c2 - {y}) * (c2 - {y}))" for x, y in STORED_CENTERS[prefix]]
+    names = segment.letters(len(dist), prefix)
+    cases = " ".join(f"WHEN {d} = least({', '.join(dist)}) THEN '{n}'" for d, n in zip(dist, names))
+    return f"CASE {cases} END"
+
+
+_NORM = "sqrt(" + " + ".join(f"{c} * {c}" for c in FEATS) + ")"
+STORED_CTES = [("stored_pts", "SELECT driver_uuid, logistic_region, " + ", ".join(
+    f"CASE WHEN {_NORM} = 0 THEN 0.0 ELSE (" + " + ".join(f"{c} * {w}::DOUBLE" for c, w in zip(FEATS, row))
+    + f") / {_NORM} END AS {d}" for row, d in zip(STORED_LOADINGS, segment.DIMS)) + " FROM scaled"),
+    ("stored_top", f"SELECT *, {_nearest_sql('')} AS segmentation FROM stored_pts"),
+    ("stored_sub", f"""SELECT *, CASE segmentation WHEN 'A' THEN {_nearest_sql('A')}
+        ELSE {_nearest_sql('B')} END AS subsegmentation FROM stored_top""")]
+
+
+@register("embed_stored", _seg_sql("SELECT * FROM stored_pts", STORED_CTES))
+def embed_stored(spark, sf):
+    return segment.embed(STORED_LOADINGS, scaled_input(spark, sf), ["driver_uuid", "logistic_region"], FEATS)
+
+
+@register("score_stored_model", _seg_sql("SELECT * FROM stored_top", STORED_CTES))
+def score_stored_model(spark, sf):
+    """C9 on a load most of whose regions the stored registry does not know: every driver is scored."""
+    data = seg_input_stored(spark, sf)
+    return segment.score(stored_models(spark, sf, data)[""], data)
+
+
+@register("model_roundtrip", _seg_sql("SELECT * FROM stored_top", STORED_CTES))
+def model_roundtrip(spark, sf):
+    """The same after the model was written to storage and read again."""
+    data = seg_input_stored(spark, sf)
+    path = tables.scratch_path(spark, "segment-model")
+    segment.save_model(stored_models(spark, sf, data)[""], path)
+    return segment.score(segment.load_model(spark, path), data)
+
+
+def _score_job(spark, sf):
+    from fleetcraft.plans import jobs
+    return jobs.score_job(features_table(spark, sf), stored_models(spark, sf))
+
+
+@register("score_job_stored", _seg_sql("""
+    SELECT seg.*, t.segmentation, t.subsegmentation FROM seg JOIN stored_sub t USING (driver_uuid)""".replace(
+    "seg.*", "driver_uuid, seg.logistic_region, seg.date_partition, " + ", ".join(f"seg.{c}" for c in FEATS)),
+    STORED_CTES))
+def score_job_stored(spark, sf):
+    """C8 + C9: both levels of a fresh load through the job itself."""
+    return _score_job(spark, sf)
+
+
+@register("priority_stored", _seg_sql(f"""
+    SELECT t.driver_uuid, t.subsegmentation, p.priority FROM stored_sub t
+    LEFT JOIN (VALUES {', '.join(f"('{n}', {k})" for n, k in segment.PRIORITY)}) p(name, priority)
+    ON t.subsegmentation = p.name""", STORED_CTES))
+def priority_stored(spark, sf):
+    segs = _score_job(spark, sf)
+    return segs.join(segment.priority_table(spark), "subsegmentation", "left").select(
+        "driver_uuid", "subsegmentation", "priority")
+
+
+@register("subsegment_sizes_stored", _seg_sql(
+    "SELECT subsegmentation, count(*) AS count FROM stored_sub GROUP BY subsegmentation", STORED_CTES))
+def subsegment_sizes_stored(spark, sf):
+    return profile.value_counts(_score_job(spark, sf), "subsegmentation")
+
+
+_NAN_SQL = "SELECT CASE WHEN qty_recharge % 2 = 0 THEN NULL ELSE avg_recharge::DOUBLE END AS x FROM features"
+
+
+@register("describe_with_nan", _feat_sql("""
+    SELECT 'x' AS column_name, count(x) AS count, avg(x) AS mean, stddev_samp(x) AS std, min(x) AS min,
+           quantile_cont(x, 0.25) AS p25, quantile_cont(x, 0.5) AS p50, quantile_cont(x, 0.75) AS p75, max(x) AS max
+    FROM nans""", [("nans", _NAN_SQL)]))
+def describe_with_nan(spark, sf):
+    """NaN counts as missing in every number of a profile."""
+    x = F.when(F.col("qty_recharge") % 2 == 0, F.lit(float("nan"))).otherwise(F.col("avg_recharge").cast("double"))
+    return profile.describe(features_table(spark, sf).select(x.alias("x")), ["x"])
+
+
 # ---------------------------------------------------------------------------
 # Fitted models (rows-only checks): embedding, k-means, hierarchy, scoring
 # ---------------------------------------------------------------------------
@@ -351,7 +456,7 @@ def cluster_centers(spark, sf):
     return segment.cluster_centers(model.clusterer, spark)
 
 
-def hierarchical(spark, sf, sub_k=(("A", 2), ("B", 4)), sub_scaler="minmax"):
+def hierarchical(spark, sf, sub_k=(("A", 2), ("B", 4)), sub_scaler="minmax", data=None):
     """C8 (final sizes): top level k=2, then A -> 2 and B -> 4 subsegments.
 
     The subsegments reuse the top-level scaler registry (all regions are
@@ -359,7 +464,7 @@ def hierarchical(spark, sf, sub_k=(("A", 2), ("B", 4)), sub_scaler="minmax"):
     ``sub_scaler="standard"`` is the exploratory variant (fresh standard
     scaling per subset).
     """
-    data = seg_input_stored(spark, sf)
+    data = seg_input_stored(spark, sf) if data is None else data
     model, top = segment.fit_segments(data, k=2)
     labelled = data.join(top.select("driver_uuid", "segmentation"), "driver_uuid")
     parts, models = [], {"": model}
@@ -395,14 +500,11 @@ def silhouette_k2_5(spark, sf):
 
 @register("score_new_load")
 def score_new_load(spark, sf):
-    """Fit on one load, then score a fresh load with the stored models."""
-    _, models = hierarchical(spark, sf)
-    fresh = seg_input_stored(spark, sf)
-    top = segment.score(models[""], fresh)
-    labelled = fresh.join(top.select("driver_uuid", "segmentation"), "driver_uuid")
-    parts = [segment.score(models[p], labelled.where(F.col("segmentation") == p), column="subsegmentation")
-             .select("driver_uuid", "subsegmentation") for p in ("A", "B")]
-    return labelled.join(parts[0].unionByName(parts[1]), "driver_uuid")
+    """Fit on all regions but one, then score a load that holds that region too."""
+    from fleetcraft.plans import jobs
+    data = seg_input_stored(spark, sf)
+    _, models = hierarchical(spark, sf, data=data.where(F.col("logistic_region") != REGION_LABELS[-1]))
+    return jobs.score_job(features_table(spark, sf), models)
 
 
 SUBSEGMENTS = ("AA", "AB", "BA", "BB", "BC", "BD")
