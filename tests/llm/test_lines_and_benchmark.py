@@ -25,8 +25,6 @@ def plain_dedup(rows, least=50):
                     place = (i, a)
                     runs.append((i, text, key, place, [k for k, _, _ in lines[a:b + 1]]))
                     first[key] = min(first.get(key, place), place)
-                    if n >= 2 * least + 40:
-                        break
     gone = {}
     for i, text, key, place, lines in runs:
         if place > first[key]:
