@@ -52,7 +52,7 @@ def shape(token: str) -> str:
 class Slots:
     """Word and shape slots of a text's tokens, each different token hashed once; one per task."""
 
-    def __init__(self, cache: int = 400_000):
+    def __init__(self, cache: int = 200_000):
         self.cache, self.limit = {}, cache
 
     def of(self, text: str) -> np.ndarray:

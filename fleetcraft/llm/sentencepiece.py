@@ -33,7 +33,7 @@ from fleetcraft.llm.common import map_texts, read_bytes, worker_cache
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: Different cuts of text kept by a Python worker; the cache starts anew beyond it.
-CACHE = 600_000
+CACHE = 200_000
 #: A cut of more characters is merged with a heap and not kept.
 SHORT = 64
 

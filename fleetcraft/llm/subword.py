@@ -74,7 +74,7 @@ class Folded:
 class Scorer:
     """Scores texts with a bounded cache of word scores; one per task."""
 
-    def __init__(self, model: Folded, cache: int = 400_000):
+    def __init__(self, model: Folded, cache: int = 200_000):
         self.model, self.limit, self.cache = model, cache, {}
 
     def logits(self, texts: list[str]) -> list[float]:
