@@ -132,35 +132,35 @@ def _descend(value_and_slope, x: np.ndarray, steps: int, seen, memory: int = 5)
             return
 
 
-def train(bags: list[tuple[list[str], list[int]]], labels: np.ndarray, prior: float, buckets: int = 1 << 19,
-          dim: int = 2, steps: int = 80, decay: float = 1e-3, patience: int = 25, least: int = 5, power: float = -0.25, seed: int = 7) -> Folded:
-    """Fit on word counts of texts. ``prior`` is class 1's share among all labelled texts, sampled or not.
-
-    Table and layer descend together on the whole sample; every tenth text is
-    held back to choose the best step. ``bags`` is emptied once it is read.
+def train(words: list[str], word_at: np.ndarray, doc_at: np.ndarray, counts: np.ndarray, labels: np.ndarray,
+          prior: float, buckets: int = 1 << 19, dim: int = 2, steps: int = 80, decay: float = 1e-3,
+          patience: int = 25, least: int = 5, power: float = -0.25, seed: int = 7) -> Folded:
+    """Fit on word counts: text ``doc_at[k]`` holds ``words[word_at[k]]`` ``counts[k]`` times, each pair once.
+
+    ``prior`` is class 1's share among all labelled texts, sampled or not. Table
+    and layer descend together on the whole sample; every tenth text is held
+    back to choose the best step.
     """
     labels = np.asarray(labels, dtype=np.int64)
     if not len(labels) or labels.min() == labels.max():
         share = float(np.clip(prior, 1e-3, 1 - 1e-3))
         return Folded(np.zeros(buckets), float(np.log(share / (1 - share))))
-    texts = Counter(w for words, _ in bags for w in words)
-    index = {w: k for k, w in enumerate(w for w, n in texts.items() if n >= least)}
-    word_at, doc_at, weight = [], [], []
-    for d, (words, counts) in enumerate(bags):
-        total = sum(counts) or 1
-        for w, c in zip(words, counts):
-            if w in index:
-                word_at.append(index[w])
-                doc_at.append(d)
-                weight.append(c / total)
-    word_at, doc_at, weight = np.array(word_at, np.int32), np.array(doc_at, np.int32), np.array(weight)
-    bags.clear()
-    rows, owner = subwords(list(index), buckets)
+    weight = counts / np.bincount(doc_at, weights=counts, minlength=len(labels))[doc_at]
+    texts = np.bincount(word_at, minlength=len(words))
+    known = np.flatnonzero(texts >= least)
+    if not len(known):
+        known = np.arange(len(words))
+    place = np.full(len(words), -1)
+    place[known] = np.arange(len(known))
+    kept = place[word_at] >= 0
+    word_at, doc_at, weight = place[word_at[kept]], doc_at[kept], weight[kept]
+    index, texts = [words[k] for k in known], texts[known]
+    rows, owner = subwords(index, buckets)
     used, rows = np.unique(rows, return_inverse=True)
     share = 1.0 / np.bincount(owner, minlength=len(index))
     n_docs, n_words, n_rows = len(labels), len(index), len(used)
     # rows of many texts move a little less: they would else drown those of tens
-    spread = np.bincount(rows, weights=np.array([texts[w] for w in index], dtype=float)[owner], minlength=n_rows)
+    spread = np.bincount(rows, weights=texts.astype(float)[owner], minlength=n_rows)
     spread = ((spread / least) ** power)[:, None]
     held = np.arange(n_docs) % 10 == 9
     onehot = np.eye(2)[labels]

@@ -54,10 +54,12 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", per_class:
                            T.StructField("counts", T.ArrayType(T.IntegerType()))])
     bags = map_bytes(sample, "text", ["doc_id", "label"], fields,
                      lambda: lambda t: subword.count_words(t.decode("utf-8", "replace")))
-    rows = sorted(bags.withColumn("h", F.xxhash64("doc_id")).collect(), key=lambda r: (r["h"], r["doc_id"]))
-    bags, truth = [(r["words"], r["counts"]) for r in rows], np.array([r["label"] for r in rows])
-    del rows
-    return subword.train(bags, truth, prior)
+    rows = bags.withColumn("h", F.xxhash64("doc_id")).orderBy("h", "doc_id").toArrow()
+    lists, counts = rows.column("words").combine_chunks(), rows.column("counts").combine_chunks()
+    words = lists.flatten().dictionary_encode()
+    doc_at = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy(zero_copy_only=False))
+    return subword.train(words.dictionary.to_pylist(), words.indices.to_numpy(), doc_at,
+                         counts.flatten().to_numpy().astype(float), rows.column("label").to_numpy(), prior)
 
 
 def score(docs: DataFrame, model: subword.Folded, keep: list[str], text_col: str = "text",
