@@ -7,8 +7,11 @@ import __spark_entry__ as entry
 SF = "/root/testdata/sf0.001"
 
 
-def _q(spark, name):
-    return entry.queries()[name](spark, SF)
+SEGMENT_SF = "/root/testdata/sf0.01"   # the smallest with enough drivers for six subsegments
+
+
+def _q(spark, name, sf=SF):
+    return entry.queries()[name](spark, sf)
 
 
 def test_one_row_per_driver_after_folds(spark):
@@ -26,12 +29,12 @@ def test_final_selection_is_subset_of_setting(spark):
 
 
 def test_subsegments_partition_their_parent(spark):
-    h = _q(spark, "hierarchical_segments").cache()
+    h = _q(spark, "hierarchical_segments", SEGMENT_SF).cache()
     n = h.count()
     assert n == h.select("driver_uuid").distinct().count()
     bad = h.where(~F.col("subsegmentation").startswith(F.col("segmentation"))).count()
     assert bad == 0
-    sizes = {r.subsegmentation: r["count"] for r in _q(spark, "subsegment_sizes").collect()}
+    sizes = {r.subsegmentation: r["count"] for r in _q(spark, "subsegment_sizes", SEGMENT_SF).collect()}
     assert sum(sizes.values()) == n
 
 

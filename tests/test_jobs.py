@@ -1,11 +1,12 @@
-"""End-to-end jobs on the smallest fixture."""
+"""End-to-end jobs on the smallest fixtures that hold them."""
 
 from fleetcraft.plans import jobs
-from fleetcraft.plans.catalogue import ELIGIBILITY, FEATURES, REGIONS, RULES_ACTIVE, RUN_DATE
+from fleetcraft.plans.settings import ELIGIBILITY, FEATURES, REGIONS, RULES_ACTIVE, RUN_DATE
 from fleetcraft.sources import tables
 from fleetcraft.sources.fixtures import Fixtures
 
 SF = "/root/testdata/sf0.001"
+SEGMENT_SF = "/root/testdata/sf0.01"   # the smallest with enough drivers for six subsegments
 
 
 def test_eligibility_job(spark):
@@ -18,7 +19,7 @@ def test_eligibility_job(spark):
 
 def test_feature_and_segmentation_jobs(spark):
     out = tables.scratch_path(spark, "test-features")
-    t = Fixtures(spark, SF)
+    t = Fixtures(spark, SEGMENT_SF)
     features, report = jobs.feature_mart_job(t, FEATURES, out)
     n = features.count()
     assert report.count() == len(jobs.FEATURE_CHECKS)
