@@ -3,10 +3,13 @@
 Fixed masks look at some of the positions of a token window and ignore the
 others, so a substituted token leaves some mask's hash unchanged. Hashes of all
 benchmark windows form an index; every window of every text is looked up in it.
-Around each hit the benchmark item is laid over the text at that offset, and
-the best-scoring aligned stretch (+1 per equal token, ``PENALTY`` per
-substitution) is verified: it must hold ``least`` equal tokens (or all of a
-shorter item) and be equal in at least four of five positions.
+Around each hit the benchmark item is laid over the text at that offset. The
+text holds the item if any aligned stretch there has ``least`` equal tokens (or
+all of a shorter item) and is equal in at least four of five positions, that
+is, its sum of +1 per equal token and ``PENALTY`` per substitution is not
+negative. The longest such stretch has the most equal tokens (one with more
+could be lengthened past it), so it decides, cut to its first and last equal
+token. Passages that leave no mask's hash unchanged are not found.
 
 The benchmark is the stated query set. It is read in blocks of at most
 ``BLOCK_TOKENS`` tokens; the index of one block is broadcast (its size is
@@ -90,18 +93,18 @@ class Index:
         self.families.append((offsets, h[order], at[order]))
 
     def verify(self, ids: np.ndarray, item: int, at: int, least: int) -> tuple[int, int, int] | None:
-        """Start in the text, aligned and equal tokens of the best stretch at this offset, if it is long enough."""
+        """Start in the text, aligned and equal tokens of the longest stretch equal in four of five, if it holds enough."""
         size, start = int(self.sizes[item]), int(self.starts[item])
         low, high = max(0, -at), min(size, len(ids) - at)
         equal = ids[at + low:at + high] == self.ids[start + low:start + high]
         sums = np.concatenate([[0], np.cumsum(np.where(equal, 1, PENALTY))])
-        rise = sums - np.minimum.accumulate(sums)
-        end = int(rise.argmax())
-        begin = int(sums[:end + 1].argmin())
-        n_equal = int(equal[begin:end].sum())
-        if n_equal < min(least, size):
+        # for each end the first begin whose prefix sum is not above the end's
+        begins = np.searchsorted(-np.minimum.accumulate(sums), -sums, "left")
+        end = int((np.arange(len(sums)) - begins).argmax())
+        held = np.flatnonzero(equal[begins[end]:end]) + int(begins[end])
+        if len(held) < max(1, min(least, size)):
             return None
-        return at + low + begin, end - begin, n_equal
+        return at + low + int(held[0]), int(held[-1] - held[0]) + 1, len(held)
 
     def search(self, texts: list[list[str]], least: int) -> list[tuple[int, int, int, int, int, int]]:
         """(text number, item id, text token, aligned, equal, item tokens): the best stretch per text and item."""

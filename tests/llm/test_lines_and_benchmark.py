@@ -145,3 +145,37 @@ def test_benchmark_edge_cases(spark):
     assert decontaminate.overlaps(docs_frame(spark), none).count() == 0
     assert decontaminate.overlaps(empty_docs(spark), bench).count() == 0
     assert decontaminate.overlaps(docs_frame(spark), bench).count() == 0
+
+
+def holds(equal, least):
+    """Whether some stretch has ``least`` equal positions and is equal in four of five."""
+    return any(sum(equal[a:b]) >= least and 5 * sum(equal[a:b]) >= 4 * (b - a)
+               for a in range(len(equal)) for b in range(a + 1, len(equal) + 1))
+
+
+def test_any_stretch_that_meets_the_check_is_accepted():
+    rnd = random.Random(12)
+    for size in (9, 13, 15, 16, 17, 20, 24, 40):
+        words = [f"b{k}" for k in range(size)]
+        index = decontaminate.Index([(1, words)])
+        for _ in range(300):
+            swapped = set(rnd.sample(range(size), rnd.randint(0, size // 3)))
+            text = ["x"] * 3 + [f"s{k}" if k in swapped else w for k, w in enumerate(words)] + ["y"] * rnd.randint(0, 9)
+            equal = [k not in swapped for k in range(size)]
+            ids = np.array([index.vocabulary.get(t, 0) for t in text])
+            found = index.verify(ids, 0, 3, decontaminate.LEAST)
+            least = min(decontaminate.LEAST, size)
+            assert (found is not None) == holds(equal, least), (size, swapped)
+            if found:
+                start, n_aligned, n_equal = found
+                assert equal[start - 3] and equal[start - 4 + n_aligned]
+                assert n_equal == sum(equal[start - 3:start - 3 + n_aligned]) >= least and 5 * n_equal >= 4 * n_aligned
+                assert not holds(equal, n_equal + 1)
+
+
+def test_a_substitution_near_the_end_of_a_short_item_is_found(spark):
+    words = [f"b{k}" for k in range(16)]
+    docs = [(k, " ".join(w if j != k else "swapped" for j, w in enumerate(words))) for k in range(16)]
+    found = decontaminate.overlaps(spark.createDataFrame(docs, "doc_id long, text string"),
+                                   spark.createDataFrame([(1, " ".join(words))], BENCH)).collect()
+    assert {r["doc_id"]: r["n_equal"] for r in found} == {k: 15 for k in range(16)}
