@@ -7,16 +7,17 @@ found is a protected entity c. A text is read as consecutive blocks of
     disclosure(c, t) = PMI(c, t) / IC(c),
     PMI = log(N n_ct / (n_c n_t)),  IC = log(N / n_c),
 
-which is 1 if the term appears only with the entity. N and n_t count all
-blocks; n_c and n_ct count different blocks, so copies of a passage are one
-observation. A term seen with an entity in ``SUPPORT`` different blocks or more
+which is 1 if the term appears only with the entity. All four count different
+blocks (entities blanked out), so copies of a passage are one observation. A
+term seen with an entity in ``SUPPORT`` different blocks or more
 is generalised where its disclosure reaches ``GENERALISE`` and removed where it
 reaches ``REMOVE``, in every text that holds both in one block.
 
-Entities and their neighbours are rare; only they are grouped and joined. For
-n_t the corpus is read once more through a bit table of fixed size that holds
-the hashes of candidate terms; other words never leave a task. Pairs of hot
-entities combine on the map side, counted in two steps.
+Entities and their neighbours are rare; only they are joined. For N and n_t the
+corpus is read once more through a bit table of fixed size that holds the
+hashes of candidate terms: a row per block, its hash and its candidate terms,
+is grouped by hash, copies combining on the map side; other words never leave a
+task. Pairs of hot entities combine on the map side, counted in two steps.
 
 Defined results: null text is empty and has no spans; null ids keep their row;
 rows with the same id and text are alike; an empty table gives an empty result;
@@ -27,7 +28,6 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -56,6 +56,7 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _TERM = re.compile(r"\w+")
+_PIECE = re.compile(rf"[^\x20\x09-\x0D]++(?:[\x20\x09-\x0D]++[^\x20\x09-\x0D]++){{0,{BLOCK - 1}}}")
 
 
 def luhn(digits: str) -> bool:
@@ -150,37 +151,39 @@ _NEAR = T.ArrayType(T.StructType([T.StructField("entity", T.LongType()), T.Struc
 
 
 def _term_counts(docs: DataFrame, text_col: str, bits: np.ndarray) -> DataFrame:
-    """``term, n_t``: blocks that hold a term, for terms whose bit is set."""
+    """``term, n_t``: different blocks that hold a term, for terms whose bit is set; all blocks hold the term ''."""
     table = docs.sparkSession.sparkContext.broadcast(np.packbits(bits))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted = np.unpackbits(table.value)
         known: dict[str, bool] = {}
         for batch in batches:
-            count: Counter[str] = Counter()
-            for raw in batch.column(0):
-                text = raw.as_py().decode("utf-8", "replace")
-                low = text.lower()
-                words = set(_TERM.findall(low))
-                if len(known) > 300_000:
-                    known.clear()
-                new = [w for w in words if w not in known]
-                known.update((w, len(w) >= LEAST_TERM and bool(wanted[_hash(w) % FILTER_BITS])) for w in new)
-                if not any(map(known.__getitem__, words)):
-                    continue
-                spans = [m.span() for m in _WORD.finditer(text)]
-                # entities are no terms: they are blanked as they are for the pairs
-                blank = _blank(text, base_spans(text))
-                for k in range(0, len(spans), BLOCK):
-                    here = spans[k:k + BLOCK]
-                    piece = blank[here[0][0]:here[-1][1]]
-                    count.update(t for t in terms_of(piece) if known.get(t))
-            if count:
-                yield pa.RecordBatch.from_arrays([pa.array(list(count)), pa.array(list(count.values()), pa.int64())],
-                                                 ["term", "n"])
-
-    counted = docs.select(utf8(text_col).alias("text")).mapInArrow(run, "term string, n long")
-    return counted.groupBy("term").agg(F.sum("n").alias("n_t"))
+            for start in range(0, batch.num_rows, 256):
+                found: dict[int, str] = {}
+                for raw in batch.column(0).slice(start, 256):
+                    text = raw.as_py().decode("utf-8", "replace")
+                    # entities are no terms: they are blanked as they are for the pairs
+                    blank = _blank(text, base_spans(text))
+                    for m in _PIECE.finditer(text):
+                        piece = blank[m.start():m.end()]
+                        block = _hash(piece)
+                        if block in found:
+                            continue
+                        words = set(_TERM.findall(piece.lower()))
+                        if len(known) > 300_000:
+                            known.clear()
+                        for w in words:
+                            if w not in known:
+                                known[w] = len(w) >= LEAST_TERM and bool(wanted[_hash(w) % FILTER_BITS])
+                        found[block] = " ".join(["", *sorted(w for w in words if known[w])])
+                yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.string())],
+                                                 ["block", "terms"])
+
+    # terms are runs of word characters, so none holds a space
+    blocks = (docs.select(utf8(text_col).alias("text")).mapInArrow(run, "block long, terms string")
+              .groupBy("block").agg(F.first("terms").alias("terms")))
+    return (blocks.select(F.explode(F.split("terms", " ")).alias("term")).groupBy("term")
+            .agg(F.count("*").alias("n_t")))
 
 
 def disclosures(described: DataFrame, docs: DataFrame, text_col: str = "text", support: int = SUPPORT) -> DataFrame:
@@ -200,11 +203,11 @@ def disclosures(described: DataFrame, docs: DataFrame, text_col: str = "text", s
     bits = np.zeros(FILTER_BITS, dtype=np.uint8)
     for row in pairs.select("term").distinct().mapInArrow(bit, "bit int").distinct().toLocalIterator():
         bits[row["bit"]] = 1
-    total = described.agg(F.sum("n_blocks")).first()[0] or 0
     if not bits.any():
         return pairs.select("entity", "term", F.lit(0).cast("long").alias("n_c"), F.lit(0).cast("long").alias("n_t"),
                             "n_ct", F.lit(0.0).alias("disclosure"))
     counts = store(_term_counts(docs, text_col, bits), "term-counts")
+    total = counts.where("term = ''").first()["n_t"]
     met = pairs.join(blocks, "entity").join(counts, "term")
     n = F.lit(float(total))
     pmi = F.log(n * F.col("n_ct") / (F.col("n_c") * F.col("n_t")))

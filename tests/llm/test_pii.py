@@ -115,3 +115,28 @@ def test_awkward_rows(spark):
     assert {r["spans"] for r in got.collect()} == {""}
     assert pii.find_personal(empty_docs(spark)).count() == 0
     assert pii.sanitised(docs_frame(spark)).count() == len(awkward_docs())
+
+
+def test_copied_passages_do_not_dilute_a_disclosing_term(spark):
+    rnd = random.Random(11)
+    fill = [f"f{k}" for k in range(300)]
+    texts = [" ".join(["Zorro", "ann@home.example.org", *rnd.choices(fill, k=18)]) for _ in range(3)] * 100
+    texts += [" ".join(rnd.choices(fill, k=20)) for _ in range(700)] + ["", None]
+    docs = spark.createDataFrame([(k, t, "en", "a", 1) for k, t in enumerate(texts)], DOCS).repartition(4)
+    fields = pii.T.StructType([*(pii.T.StructField(f"n_{k}", pii.T.LongType()) for k in pii.BASE),
+                               pii.T.StructField("base", pii.T.StringType()),
+                               pii.T.StructField("base_sha256", pii.T.StringType()),
+                               pii.T.StructField("n_blocks", pii.T.LongType()), pii.T.StructField("near", pii._NEAR)])
+    described = pii.store(pii.map_bytes(docs.select("text"), "text", [], fields, lambda: pii.describe), "test")
+    got = {r["term"]: r for r in pii.disclosures(described, docs).collect()}["zorro"]
+    assert (got["n_c"], got["n_t"], got["n_ct"]) == (3, 3, 3) and abs(got["disclosure"] - 1) < 1e-9
+    assert all("remove:0:5" in r["spans"] for r in pii.find_personal(docs).where("doc_id < 300").collect())
+
+
+def test_pieces_are_blocks_of_words():
+    rnd = random.Random(13)
+    for _ in range(2000):
+        text = "".join(rnd.choice(["a", "b1", " ", "\n", "\t\x0b", "é", "\xa0", "\x1c", "x y z "]) for _ in range(rnd.randint(0, 150)))
+        words = [m.span() for m in pii._WORD.finditer(text)]
+        want = [(words[k][0], words[min(k + pii.BLOCK, len(words)) - 1][1]) for k in range(0, len(words), pii.BLOCK)]
+        assert [m.span() for m in pii._PIECE.finditer(text)] == want
