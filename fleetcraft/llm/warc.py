@@ -10,9 +10,11 @@ commit, lists those that count.
 
 Reading: an archive is cut into byte ranges regardless of records. A task scans
 its range for the gzip magic, decodes the head of each candidate member, accepts
-it if it opens with a WARC version line and a whole header, and owns the
-records whose members start inside the range, reading past its end to finish
-the last one. Ranges hence need no index and no record is read twice or missed.
+it if it opens with a WARC version line and a whole header of any length, and
+owns the records whose members start inside the range, reading past its end to
+finish the last one. Ranges hence need no index and no record is read twice or
+missed: the rows read are stored and their number per archive is held against
+the manifest.
 
 Defined results: null html is an empty payload; null url becomes
 ``urn:unknown``; rows with a null page id never name a group (their group's
@@ -46,7 +48,7 @@ SALTS = 16
 LEVEL = 1
 DATE = "1970-01-01T00:00:00Z"
 MAGIC = b"\x1f\x8b\x08"
-#: Bytes of a candidate member that are looked at for a whole WARC header.
+#: Bytes of a candidate member that are read and decoded at a time until its WARC header is whole.
 HEAD = 64 << 10
 _URN = "urn:x-page:"
 MANIFEST = "path string, n_bytes long, n_records long"
@@ -158,11 +160,24 @@ def parse_header(head: bytes) -> dict[str, str] | None:
 
 def opens_record(window: Window, at: int) -> bool:
     """Whether a gzip member that starts here decodes to a WARC record's header."""
-    try:
-        head = zlib.decompressobj(31).decompress(window.view(at, min(HEAD, window.size - at))[:HEAD], HEAD)
-    except zlib.error:
-        return False
-    return parse_header(head) is not None
+    unpack, head, data = zlib.decompressobj(31), bytearray(), b""
+    while not unpack.eof:
+        if not data:
+            data = window.view(at, max(0, min(HEAD, window.size - at)))[:HEAD]
+            at += len(data)
+            if not data:
+                return False
+        done = len(head)
+        try:
+            head += unpack.decompress(data, HEAD)
+        except zlib.error:
+            return False
+        data = unpack.unconsumed_tail
+        if not head.startswith(b"WARC/1."[:len(head)]):
+            return False
+        if head.find(b"\r\n\r\n", max(0, done - 3)) >= 0:
+            return parse_header(bytes(head)) is not None
+    return False
 
 
 def read_member(window: Window, at: int) -> tuple[bytes, int]:
@@ -217,14 +232,18 @@ def parse_page(head: dict[str, str], block: bytes) -> tuple[int | None, int, str
 
 def scan_archives(manifest: DataFrame, fields: T.StructType,
                   derive: Callable[[dict[str, str], bytes], tuple], split_bytes: int = SPLIT_BYTES) -> DataFrame:
-    """A row of ``fields`` per record; archives are read in byte ranges, one task per range or few."""
+    """A row of ``fields`` per record; archives are read in byte ranges, one task per range or few.
+
+    Raises ValueError if an archive did not give as many records as its manifest row says.
+    """
     ranges = manifest.select("path", "n_bytes", F.explode(F.sequence(
         F.lit(0).cast("long"), F.greatest(F.col("n_bytes") - 1, F.lit(0)), F.lit(split_bytes).cast("long"))).alias("start"))
+    found = T.StructType([*fields, T.StructField("__path", T.StringType())])
     n = manifest.agg(F.sum(F.ceil(F.col("n_bytes") / split_bytes))).first()[0] or 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
-        arrow = to_arrow_schema(fields)
+        arrow = to_arrow_schema(found)
 
         def pack(rows: list[tuple]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), arrow)], schema=arrow)
@@ -235,14 +254,20 @@ def scan_archives(manifest: DataFrame, fields: T.StructType,
                 rows: list[tuple] = []
                 with fs.open_input_file(name) as f:
                     for head, block in records_of_range(f, size, start, start + split_bytes):
-                        rows.append(derive(head, block))
+                        rows.append((*derive(head, block), path))
                         if len(rows) >= 128:
                             yield pack(rows)
                             rows = []
                 if rows:
                     yield pack(rows)
 
-    return ranges.repartition(int(min(n, 10_000))).mapInArrow(run, fields)
+    read = store(ranges.repartition(int(min(n, 10_000))).mapInArrow(run, found), "archive-records")
+    counts = read.groupBy(F.col("__path").alias("path")).agg(F.count("*").alias("n_read"))
+    wrong = (manifest.join(counts, "path", "left").withColumn("n_read", F.coalesce("n_read", F.lit(0)))
+             .where("n_read <> n_records").first())
+    if wrong:
+        raise ValueError(f"{wrong['n_read']} of {wrong['n_records']} records read from {wrong['path']}")
+    return read.drop("__path")
 
 
 _PAGE = [("page_id", T.LongType()), ("payload_bytes", T.LongType()), ("payload_digest", T.StringType()),

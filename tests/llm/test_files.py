@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pytest
 from tokenizers import Tokenizer
 
 from fleetcraft.llm import token_shards, warc
@@ -121,3 +122,20 @@ def test_ranges_split_records_exactly_once_and_skip_false_magic():
 def test_no_pages_no_archive(spark):
     manifest = warc.write_archives(spark.createDataFrame([], "page_id long, url string, html string"))
     assert manifest.count() == 0 and warc.read_digests(manifest).count() == 0
+
+
+def test_pages_with_long_urls_are_read_back(spark):
+    rnd = random.Random(8)
+    rows = [(k, "http://h/?" + "".join(rnd.choices("abcdefghij0123456789%&=", k=n)), f"<p>{k}</p>")
+            for k, n in enumerate((10, 70_000, 200_000, 20, 2_000_000, 30))]
+    manifest = warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    for split in (5000, 1 << 20):
+        assert sorted((tuple(r) for r in warc.read_digests(manifest, split).collect()), key=str) == plain_pages(rows), split
+
+
+def test_missing_records_are_an_error(spark):
+    rows = [(k, f"http://h/{k}", f"<p>{k}</p>") for k in range(5)]
+    manifest = warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    assert warc.read_pages(manifest).count() == 5
+    with pytest.raises(ValueError, match="records read"):
+        warc.read_digests(manifest.selectExpr("path", "n_bytes", "n_records + 1 AS n_records")).count()
