@@ -50,10 +50,11 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark passage."""
-    hits = decontaminate.overlaps(docs, load(spark, sf_dir, "benchmark", ["item_id", "text"]))
-    hits = store(hits.select(F.col("doc_id").alias("__id")).distinct(), "benchmark-hits")
-    return docs.join(hits, docs["doc_id"].eqNullSafe(F.col("__id")), "left_anti").select(*docs.columns)
+    """Documents that hold no benchmark passage; a row goes for its own text alone, whatever its id."""
+    hits = decontaminate.overlaps(docs, load(spark, sf_dir, "benchmark", ["item_id", "text"]), hash_col="__hash")
+    hits = store(hits.select(F.col("doc_id").alias("__id"), "__hash").distinct(), "benchmark-hits")
+    same = docs["doc_id"].eqNullSafe(hits["__id"]) & (F.xxhash64(utf8(docs["text"])) == hits["__hash"])
+    return docs.join(hits, same, "left_anti").select(*docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -161,13 +161,19 @@ def _blocks(benchmark: DataFrame, id_col: str, text_col: str, size: int) -> Iter
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
              item_id_col: str = "item_id", item_text_col: str = "text", least: int = LEAST,
-             block_tokens: int = BLOCK_TOKENS) -> DataFrame:
-    """``doc_id, item_id, doc_token, n_aligned, n_equal, item_tokens``: each text and the items it holds."""
+             block_tokens: int = BLOCK_TOKENS, hash_col: str | None = None) -> DataFrame:
+    """``doc_id, item_id, doc_token, n_aligned, n_equal, item_tokens``: each text and the items it holds.
+
+    With ``hash_col`` the text's xxhash64 stands last under that name.
+    """
     spark: SparkSession = docs.sparkSession
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), utf8(text_col).alias("text"))
-    out = spark.createDataFrame([], RESULT)
-    names = [c.split()[0] for c in RESULT.split(", ")]
-    types = [pa.int64()] * 3 + [pa.int32()] * 3
+    text = utf8(text_col)
+    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"),
+                         *([F.xxhash64(text).alias(hash_col)] if hash_col else []))
+    result = f"{RESULT}, {hash_col} long" if hash_col else RESULT
+    out = spark.createDataFrame([], result)
+    names = [c.split()[0] for c in result.split(", ")]
+    types = [pa.int64()] * 3 + [pa.int32()] * 3 + [pa.int64()] * bool(hash_col)
     for block in _blocks(benchmark, item_id_col, item_text_col, block_tokens):
         # its plain parts: executors need no copy of the package to read them
         shared = spark.sparkContext.broadcast(vars(Index(block)))
@@ -177,11 +183,11 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
             index.__dict__.update(shared.value)
             for batch in batches:
                 for start in range(0, batch.num_rows, 256):
-                    ids, texts = (c.to_pylist() for c in batch.slice(start, 256).columns)
+                    ids, texts, *hashes = (c.to_pylist() for c in batch.slice(start, 256).columns)
                     found = index.search([tokens_of(t.decode("utf-8", "replace")) for t in texts], least)
                     if found:
-                        columns = list(zip(*((ids[f[0]], *f[1:]) for f in found)))
+                        columns = list(zip(*((ids[f[0]], *f[1:], *(h[f[0]] for h in hashes)) for f in found)))
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names)
 
-        out = out.unionByName(source.mapInArrow(run, RESULT))
+        out = out.unionByName(source.mapInArrow(run, result))
     return out

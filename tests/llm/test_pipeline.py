@@ -76,3 +76,15 @@ def test_queries_are_registered():
     assert numbers == list(range(1, 11))
     assert set(ORACLES) == {"op2_line_dedup", "op10_warc"}
     assert line_dedup.MIN_WORDS == 50
+
+
+def test_clean_rows_stay_beside_contaminated_ones_under_their_id(spark):
+    items = spark.read.parquet(f"{SF}/benchmark.parquet").where("size(split(text, ' ')) > 20")
+    passage = items.orderBy("item_id").first()["text"]
+    rows = [(None, f"before {passage} after"), (None, "clean without an id"), (1, passage), (1, "clean under a shared id"),
+            (2, passage), (2, passage), (3, "clean"), (None, None), (4, None)]
+    docs = docs_frame(spark, [(i, t, "en", "a", 1) for i, t in rows], extra=False)
+    got = corpus_pipeline.drop_benchmark(spark, docs, SF)
+    assert got.columns == docs.columns
+    assert sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=str) == \
+        sorted(((i, t) for i, t in rows if passage not in (t or "")), key=str)
