@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetcraft.llm import decontaminate, line_dedup, pii, quality_classifier, quality_rules, sentencepiece, simhash, token_shards, toxicity, warc
+from fleetcraft.llm import (decontaminate, fill_in_middle, line_dedup, pii, quality_classifier, quality_rules, sentencepiece, simhash,
+                            token_shards, toxicity, url_filter, warc, whitening)
 from fleetcraft.sources.tables import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -123,3 +124,37 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = quality_classifier.score(docs, table, quality_classifier.fit(docs, labels, table), ["doc_id"])
     return scored.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "score",
                          (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+@query("op13_fill_in_middle", r"""
+    WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('42:' || doc_id) AS h FROM documents),
+    u AS (SELECT doc_id, t, regexp_extract_all(t, '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS w,
+                 ('0x' || h[1:8])::BIGINT AS h1, ('0x' || h[9:16])::BIGINT AS h2, ('0x' || h[17:24])::BIGINT AS h3,
+                 ('0x' || h[25:32])::BIGINT AS h4 FROM d),
+    c AS (SELECT *, len(w) AS n, least(h1 % (len(w) + 1), h2 % (len(w) + 1)) AS a,
+                 greatest(h1 % (len(w) + 1), h2 % (len(w) + 1)) AS b,
+                 CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 50
+                      THEN 'plain' WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM u),
+    p AS (SELECT doc_id, n, form, t, array_to_string(w[1:a], '') AS pre, array_to_string(w[a + 1:b], '') AS mid,
+                 array_to_string(w[b + 1:n], '') AS suf FROM c)
+    SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(pre) END AS prefix_chars,
+           CASE WHEN form <> 'plain' THEN length(mid) END AS middle_chars,
+           sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid
+                  ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
+           sha256(t) AS restored_sha256
+    FROM p""")
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = fill_in_middle.fill_in_middle(load(spark, sf_dir, "documents", ["doc_id", "text"]))
+    return done.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+                       F.sha2(fill_in_middle.restore().cast("binary"), 256).alias("restored_sha256"))
+
+
+@query("op12_url_filter")
+def op12_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = url_filter.judge(load(spark, sf_dir, "pages", ["page_id", "url"]), url_filter.RULES)
+    return judged.select("page_id", "host", "path", "rule", "verdict", "score")
+
+
+@query("op11_whitening")
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(load(spark, sf_dir, "embeddings", ["vec_id", "embedding"]), components=8)
