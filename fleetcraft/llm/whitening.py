@@ -34,6 +34,8 @@ from fleetcraft.llm.common import store
 SCALE, OFFSET = 1024, 100_000
 #: Beyond this a number is no exact double any more.
 EXACT = 2.0 ** 52
+#: Bytes of one stored block of vectors, and blocks that a task multiplies at a time.
+BLOCK, TOGETHER = 2 ** 16, 32
 #: Vectors besides twice the wanted number in the first block.
 GUARD = 8
 #: Largest residual of a certified component, in units of the largest eigenvalue.
@@ -48,10 +50,11 @@ NOTHING = 1e-13
 
 
 def pack(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """``vec_id``, ``width`` and ``x`` (little-endian 64-bit) of each vector without null or non-finite entries."""
+    """Blocks of the vectors without null or non-finite entries: ``ids``, ``width``, and ``x``, row after row of
+    little-endian 64-bit numbers."""
     source = vectors.select(F.col(id_col).alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"))
-    schema = T.StructType([source.schema["vec_id"], T.StructField("width", T.IntegerType()),
-                           T.StructField("x", T.BinaryType())])
+    schema = T.StructType([T.StructField("ids", T.ArrayType(source.schema["vec_id"].dataType)),
+                           T.StructField("width", T.IntegerType()), T.StructField("x", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         arrow = to_arrow_schema(schema)
@@ -65,17 +68,19 @@ def pack(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
                 x = values[starts[rows][:, None] + np.arange(width)]
                 good = (np.abs(x) < EXACT).all(axis=1)
                 rows, x = rows[good], x[good].astype("<i8")
-                packed = pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(
-                    (np.arange(len(rows) + 1) * 8 * width).astype("<i4")), pa.py_buffer(x.tobytes())])
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)).cast(arrow.field(0).type),
-                                                  pa.array(np.full(len(rows), width, np.int32)), packed], schema=arrow)
+                cuts = np.append(np.arange(0, len(rows), max(1, BLOCK // (8 * max(1, width)))), len(rows))
+                ids = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), batch.column(0).take(pa.array(rows)))
+                blocks = [x[i:j].tobytes() for i, j in zip(cuts, cuts[1:])]
+                yield pa.RecordBatch.from_arrays([ids.cast(arrow.field(0).type), pa.array([width] * len(blocks), pa.int32()),
+                                                  pa.array(blocks, pa.binary())], schema=arrow)
 
     return source.mapInArrow(run, schema)
 
 
-def unpack(column: pa.Array, width: int) -> np.ndarray:
-    """Packed vectors as rows of a matrix of whole numbers."""
-    return np.frombuffer(b"".join(column.to_pylist()), "<i8").reshape(len(column), width)
+def unpack(column: pa.Array, width: int) -> Iterator[np.ndarray]:
+    """Packed blocks as matrices of whole numbers, a few blocks at a time."""
+    for start in range(0, len(column), TOGETHER):
+        yield np.frombuffer(b"".join(column.slice(start, TOGETHER).to_pylist()), "<i8").reshape(-1, width)
 
 
 def _whole(x: np.ndarray) -> np.ndarray:
@@ -99,17 +104,17 @@ class Vectors:
     @classmethod
     def of(cls, vectors: DataFrame, id_col: str, vector_col: str) -> Vectors | None:
         packed = store(pack(vectors, id_col, vector_col), "vectors")
-        common = packed.groupBy("width").count().orderBy(F.desc("count"), F.desc("width")).first()
+        common = (packed.groupBy("width").agg(F.sum(F.size("ids")).alias("n"))
+                  .orderBy(F.desc("n"), F.desc("width")).first())
         if common is None or common["width"] == 0:
             return None
-        width, stored = common["width"], packed.where(F.col("width") == common["width"]).select("vec_id", "x")
+        width, stored = common["width"], packed.where(F.col("width") == common["width"]).select("ids", "x")
         whole = T.DecimalType(38, 0)
         schema = T.StructType([T.StructField("j", T.IntegerType()), T.StructField("s", whole), T.StructField("q", whole)])
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             s, q = [0] * width, [0] * width
-            for batch in batches:
-                x = _whole(unpack(batch.column(0), width))
+            for x in (_whole(x) for batch in batches for x in unpack(batch.column(0), width)):
                 s = [a + int(b) for a, b in zip(s, x.sum(axis=0))]
                 q = [a + int(b) for a, b in zip(q, (x * x).sum(axis=0))]
             from decimal import Decimal
@@ -118,7 +123,7 @@ class Vectors:
 
         total = stored.select("x").mapInArrow(run, schema).groupBy("j").agg(F.sum("s").alias("s"), F.sum("q").alias("q"))
         by = {r["j"]: (int(r["s"]), int(r["q"])) for r in total.collect()}
-        n = common["count"]
+        n = common["n"]
         sums = [by[j][0] for j in range(width)]
         trace = sum(Fraction(by[j][1]) - Fraction(by[j][0] ** 2, n) for j in range(width)) / n
         return cls(stored, n, sums, float(trace))
@@ -135,7 +140,7 @@ class Vectors:
         return of
 
     def added(self, make, rows: int, columns: int) -> np.ndarray:
-        """The sum of a matrix over all batches; ``make`` maps a batch of centred rows to it."""
+        """The sum of a matrix over all blocks; ``make`` maps a block of centred rows to it."""
         names = [f"c{i}" for i in range(columns)]
         schema = T.StructType([T.StructField("j", T.IntegerType())] + [T.StructField(c, T.DoubleType()) for c in names])
         centre, width = self.centred(), self.width
@@ -143,7 +148,8 @@ class Vectors:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total = np.zeros((rows, columns))
             for batch in batches:
-                total += make(centre(unpack(batch.column(0), width)))
+                for x in unpack(batch.column(0), width):
+                    total += make(centre(x))
             yield pa.RecordBatch.from_arrays([pa.array(range(rows), pa.int32()), *[pa.array(total[:, i]) for i in range(columns)]],
                                              schema=to_arrow_schema(schema))
 
@@ -211,8 +217,8 @@ def components_of(times, width: int, wanted: int, seed: int = 17) -> tuple[np.nd
         if error <= FLOOR * math.sqrt(width) or error <= CERTIFIED and error > last / 4:
             return values[:wanted], block[:, :wanted], residuals
         cut = float(values[-1])
-        if size == width or cut - low <= 1e-12 * top:
-            block = np.linalg.qr(product if cut <= 1e-9 * top else block)[0]
+        if size == width or cut <= 1e-12 * top:
+            block = np.linalg.qr(product if cut <= 1e-12 * top else block)[0]
         else:
             if error > last / 10 and size < width:
                 more = min(width, 2 * size) - size
@@ -220,12 +226,13 @@ def components_of(times, width: int, wanted: int, seed: int = 17) -> tuple[np.nd
                 block = np.linalg.qr(block)[0]
                 last = math.inf
                 continue
-            half, middle = (cut - low) / 2, (cut + low) / 2
+            floor = low if cut - low > 0.01 * cut else 0.0
+            half, middle = (cut - floor) / 2, (cut + floor) / 2
             grows = [math.acosh(max(1.0, (float(v) - middle) / half)) for v in values[:wanted]]
             need = math.log(error / FLOOR) / max(grows[-1], 1e-3)
             apart = math.log(STRETCH) / max(grows[0] - grows[-1], 1e-9)
             degree = max(2, math.ceil(min(need, apart, DEGREE)))
-            block = np.linalg.qr(_filter(times, block, low, cut, top, degree))[0]
+            block = np.linalg.qr(_filter(times, block, floor, cut, top, degree))[0]
         last = error
     raise ArithmeticError(f"components not certified: residuals {residuals.tolist()} of {values[0]}")
 
@@ -240,7 +247,8 @@ def whiten(vectors: DataFrame, components: int = 8, id_col: str = "vec_id", vect
     covariance count repeated rows as often as they occur, and rows that share
     an id or lack one are whitened each for itself. ``deviation`` is the exact
     sum over dimensions of (n x - S)^2, null where that exceeds 64 bits;
-    ``deviation_decimal`` has it then too. Components without variance are left
+    ``deviation_decimal`` has it then too. A component's entry of largest size is
+    positive. Components without variance are left
     out, so a table of equal vectors, or of one, gives no rows; there are at
     most as many components as dimensions. An empty table gives an empty table.
     Other columns are not carried.
@@ -258,6 +266,7 @@ def whiten(vectors: DataFrame, components: int = 8, id_col: str = "vec_id", vect
     values, axes, residuals = components_of(data.times, data.width, components)
     real = values > NOTHING * data.trace
     values, axes, residuals = values[real], axes[:, real], residuals[real]
+    axes = axes * np.sign(axes[np.abs(axes).argmax(axis=0), np.arange(axes.shape[1])])
     m = len(values)
     turn = axes / np.sqrt(values)
 
@@ -273,21 +282,23 @@ def whiten(vectors: DataFrame, components: int = 8, id_col: str = "vec_id", vect
         from decimal import Decimal
         arrow = to_arrow_schema(schema)
         for batch in batches:
-            x = unpack(batch.column(1), width)
-            size = len(x)
-            at = np.repeat(np.arange(size), m)
-            apart = n * x.astype(object) - np.array(sums, object) if n * int(np.abs(x).max(initial=0)) >= 2 ** 62 \
-                else x * n - np.array(sums, np.int64)
-            apart = _whole(apart)
-            exact = [int(v) for v in (apart * apart).sum(axis=1)]
-            each = lambda a: np.tile(a, size)
-            yield pa.RecordBatch.from_arrays([
-                batch.column(0).take(pa.array(at)).cast(arrow.field(0).type), pa.array(each(np.arange(1, m + 1)), pa.int32()),
-                pa.array(np.full(size * m, n), pa.int64()),
-                pa.array([v if v < 2 ** 63 else None for v in exact], pa.int64()).take(pa.array(at)),
-                pa.array((centre(x) @ turn).reshape(-1)), pa.array(each(values / trace)),
-                pa.array(np.full(size * m, identity_error)),
-                pa.array([Decimal(v) for v in exact], pa.decimal128(38, 0)).take(pa.array(at)),
-                pa.array(each(values)), pa.array(each(residuals))], schema=arrow)
-
-    return data.stored.select("vec_id", "x").mapInArrow(run, schema)
+            at = 0
+            ids = batch.column(0).flatten()
+            for x in unpack(batch.column(1), width):
+                size = len(x)
+                each = lambda a: np.tile(a, size)
+                fits = n * int(np.abs(x).max(initial=0)) < 2 ** 62
+                apart = _whole(x * n - np.array(sums, np.int64) if fits else n * x.astype(object) - np.array(sums, object))
+                exact = [int(v) for v in (apart * apart).sum(axis=1)]
+                row = pa.array(np.repeat(np.arange(size), m))
+                yield pa.RecordBatch.from_arrays([
+                    ids.slice(at, size).take(row).cast(arrow.field(0).type), pa.array(each(np.arange(1, m + 1)), pa.int32()),
+                    pa.array(np.full(size * m, n), pa.int64()),
+                    pa.array([v if v < 2 ** 63 else None for v in exact], pa.int64()).take(row),
+                    pa.array((centre(x) @ turn).reshape(-1)), pa.array(each(values / trace)),
+                    pa.array(np.full(size * m, identity_error)),
+                    pa.array([Decimal(v) for v in exact], pa.decimal128(38, 0)).take(row),
+                    pa.array(each(values)), pa.array(each(residuals))], schema=arrow)
+                at += size
+
+    return data.stored.mapInArrow(run, schema)
