@@ -70,20 +70,114 @@ def test_quality_classifier_on_the_fixture(spark):
     assert 0.0 < network.temperature < 10
 
 
-def test_context_sums_match_a_plain_count():
-    entries, signs = quality_classifier.index_vectors()
-    slots = quality_classifier.Slots()
-    texts = [slots.of("The cat, the CAT!"), slots.of(""), slots.of("one"), slots.of("a b")]
-    want = np.zeros((quality_classifier.SLOTS, quality_classifier.DIM))
+TOKEN = re.compile(r"\w+|[^\w\s]")
+
+
+def plain_shape(token):
+    forms = ["9" if c.isdigit() else "X" if c.isupper() else "x" if c.isalpha() else c for c in token]
+    return "".join(c for k, c in enumerate(forms) if k == 0 or c != forms[k - 1])
+
+
+def texts_for_tokens():
+    rnd = random.Random(8)
+    parts = ["The", "the", "a1", "A1b2", "_x", "__", "é", "漢字", "😀", "\x00", "’", "...", " ", "\n", "\u3000", "x" * 30, "IX", "٣", "²", "Ǆ", "\x1c"]
+    made = ["".join(rnd.choice(parts) + rnd.choice(["", " "]) for _ in range(rnd.randint(0, 30))) for _ in range(200)]
+    return [*made, "", " ", "one", "a" * 3000, "end.\n", "."]
+
+
+def test_tokens_and_shapes_match_regular_expression(monkeypatch):
+    texts = texts_for_tokens()
+    want = [TOKEN.findall(t) for t in texts]
+    for piece in (quality_classifier.PIECE, 7):
+        monkeypatch.setattr(quality_classifier, "PIECE", piece)
+        hashes, shapes, sizes = quality_classifier.tokens(texts)
+        assert sizes.tolist() == [len(w) for w in want]
+        flat = [t for w in want for t in w]
+        assert len(set(zip(flat, hashes.tolist()))) == len(set(flat)) == len(set(hashes.tolist()))
+        forms = [plain_shape(t) for t in flat]
+        assert len(set(zip(forms, shapes.tolist()))) == len(set(forms)) == len(set(shapes.tolist()))
+
+
+def test_frequent_tokens_are_counted_over_all_texts(spark):
+    texts = ["a b a c", "b a", None, "c c c c d", "a e", ""]
+    docs = spark.createDataFrame([(k, t, "en", "a", 1) for k, t in enumerate(texts)], DOCS).repartition(4)
+    one = lambda t: int(quality_classifier.tokens([t])[0][0])
+    assert set(quality_classifier.frequent_tokens(docs, size=3).tolist()) == {one("a"), one("b"), one("c")}
+
+
+def plain_vectors(texts, vocabulary):
+    """Context sums by loops over neighbours; rows named by place in the table."""
+    q = quality_classifier
+    table = np.zeros((q.SLOTS, q.DIM))
+    place = {int(h): k for k, h in enumerate(vocabulary)}
     for text in texts:
-        for target in text:
-            for source in text:
-                for i in range(len(target)):
-                    for j in (i - 1, i + 1):
-                        if 0 <= j < len(source):
-                            for e, s in zip(entries, signs):
-                                want[target[i], e[source[j]]] += s[source[j]]
-    assert np.allclose(quality_classifier.context_sums(texts, entries, signs), want)
+        hashes, shapes, _ = q.tokens([text])
+        rows = [(place.get(int(h), q.FREQUENT + int(h) % q.TAIL), q.WORDS + int(f) % q.SHAPES) for h, f in zip(hashes, shapes)]
+        for i, mine in enumerate(rows):
+            for j in (i - 1, i + 1):
+                if 0 <= j < len(rows):
+                    for source, n in ((int(hashes[j]), q.TOKEN_ENTRIES), (int(shapes[j]), q.SHAPE_ENTRIES)):
+                        for k in range(n):
+                            bits = source >> (16 + 6 * k) & 63
+                            for row in mine:
+                                table[row, bits >> 1] += 1 - 2 * (bits & 1)
+    return table
+
+
+def test_context_sums_match_a_plain_count():
+    texts = ["The cat, the CAT!", "", "one", "a b", *texts_for_tokens()[:60]]
+    hashes, shapes, sizes = quality_classifier.tokens(texts)
+    vocabulary = np.unique(hashes)[::2]
+    got = quality_classifier.context_sums(hashes, shapes, sizes, vocabulary)
+    assert np.array_equal(got, plain_vectors(texts, vocabulary))
+    alone = [quality_classifier.context_sums(*quality_classifier.tokens([t]), vocabulary) for t in texts]
+    assert np.array_equal(sum(alone), got)
+
+
+def plain_pooled(text, table):
+    q = quality_classifier
+    hashes, shapes, _ = q.tokens([text])
+    place = {int(h): k for k, h in enumerate(table.vocabulary)}
+    out = []
+    for rows in ([place.get(int(h), q.FREQUENT + int(h) % q.TAIL) for h in hashes], [q.WORDS + int(f) % q.SHAPES for f in shapes]):
+        vectors = table.vectors[rows].astype(np.float64)
+        out += [vectors.mean(axis=0), vectors.std(axis=0)] if rows else [np.zeros(q.DIM)] * 2
+    return np.concatenate(out)
+
+
+def test_pooled_vectors_and_scores_match_a_plain_version(spark, monkeypatch):
+    q = quality_classifier
+    texts = [*texts_for_tokens(), "w " * 5000]
+    rows = [(k, t, "en", "a", 1) for k, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, DOCS).repartition(3)
+    table = q.word_vectors(docs)
+    sums = plain_vectors(texts, table.vocabulary)
+    assert np.allclose(table.vectors, q._unit(sums), atol=1e-6)
+    want = np.stack([plain_pooled(t, table) for t in texts])
+    for together in (q.TOGETHER, 5):
+        monkeypatch.setattr(q, "TOGETHER", together)
+        assert np.allclose(q.pooled(texts, table), want, atol=1e-4)
+    rng = np.random.default_rng(3)
+    net = q.Network(rng.normal(size=128), rng.uniform(0.5, 2, 128),
+                    [rng.normal(size=(128, 8)), rng.normal(size=8), rng.normal(size=(8, 2)), rng.normal(size=2)], 1.7)
+    got = {r["doc_id"]: r["score"] for r in q.score(docs, table, net, ["doc_id"]).collect()}
+    w1, b1, w2, b2 = net.weights
+    for k, x in enumerate(want):
+        z = np.tanh((x - net.mean) / net.scale @ w1 + b1) @ w2 + b2
+        p = np.exp(z / 1.7) / np.exp(z / 1.7).sum()
+        assert abs(got[k] - p[1]) < 1e-3
+
+
+def test_network_gradient_lowers_the_loss_it_states():
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(600, 6))
+    labels = (x[:, 0] * x[:, 1] > 0).astype(int)
+    net = quality_classifier.train(x, labels, 0.5, epochs=150)
+    assert ((net.chance(x) >= 0.5) == labels).mean() > 0.9
+    held = np.arange(600) % 5 == 4
+    losses = {t: quality_classifier._loss(net.gap(x[held]), labels[held], np.ones(held.sum()), t)
+              for t in (net.temperature, net.temperature * 1.2, net.temperature / 1.2)}
+    assert min(losses, key=losses.get) == net.temperature
 
 
 def test_quality_classifier_of_awkward_rows(spark):
@@ -94,7 +188,7 @@ def test_quality_classifier_of_awkward_rows(spark):
     out = quality_classifier.score(docs_frame(spark, extra=False), table, network, ["doc_id"]).collect()
     assert len(out) == len(awkward_docs()) and all(0 <= r["score"] <= 1 for r in out)
     none = quality_classifier.word_vectors(empty_docs(spark))
-    assert not none.any()
+    assert not none.vectors.any() and not len(none.vocabulary)
     assert quality_classifier.fit(empty_docs(spark), labels.limit(0), none).constant == 0.5
 
 
