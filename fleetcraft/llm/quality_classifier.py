@@ -235,7 +235,7 @@ def word_vectors(docs: DataFrame, text_col: str = "text") -> Table:
         table[at] = np.stack([rows.column(c).to_numpy() for c in names], axis=1)
         table = _unit(table)
     shared.unpersist()
-    return Table(vocabulary, table.astype(np.float32))
+    return Table(vocabulary, table)
 
 
 def _unit(table: np.ndarray) -> np.ndarray:
@@ -270,7 +270,7 @@ def pooled(texts: list[str], table: Table) -> np.ndarray:
     owner = np.repeat(np.arange(len(full)), n[:, 0])
     counts = np.bincount(owner * SHAPES + (shapes % np.uint64(SHAPES)).astype(np.int64), minlength=len(full) * SHAPES)
     counts = counts.reshape(len(full), SHAPES).astype(np.float64)
-    forms = table.vectors[WORDS:].astype(np.float64)
+    forms = table.vectors[WORDS:]
     for at, (total, square) in enumerate(((sums, squares), (counts @ forms, counts @ (forms * forms)))):
         mean = total / n
         out[full, 2 * at * DIM:(2 * at + 1) * DIM] = mean
