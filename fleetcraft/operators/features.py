@@ -37,6 +37,7 @@ COMPLETED_ROUTE = "completed"
 CRITICAL_DELAY_SECONDS = 300
 CRITICAL_HOURS = ((11, 14), (18, 20))   # [start, end) hours of the day
 WEEKEND_EVENING_DAY, WEEKEND_EVENING_HOUR, WEEKEND_DAYS = 6, 18, (7, 1)  # Spark dayofweek: Sun=1
+MICROS_BEFORE_EPOCH = 62_135_596_800_000_000   # from 0001-01-01 to 1970-01-01
 AMOUNT_SCALE = 100.0                    # minor currency units -> units (R1 only)
 
 
@@ -79,23 +80,26 @@ def order_stats(wallet_orders: DataFrame, period: Period | None, cash: str = CAS
     orders, order count, and the region of the driver's earliest order.
 
     Orders are reduced to (driver, region) rows first, each with its earliest
-    order as one decimal key (microseconds, then order number), so raw orders
-    meet hash aggregates only; the region is picked among those few rows (B5).
-    Orders without a timestamp come last.
+    order as one decimal key, so raw orders meet hash aggregates only; the
+    region is picked among those few rows (B5). The key holds microseconds
+    since year 1 before twenty digits of order number, enough for any long:
+    the earliest time decides, at one time the smallest number, no number last.
+    Regions whose orders have no timestamp come last, then by name.
     """
     o = wallet_orders.where(window_filter(period, "date_partition"))
-    micros = F.unix_micros(F.col("date_timestamp").cast("timestamp")).cast("decimal(19,0)")
-    key = (micros * F.lit(10 ** 18).cast("decimal(19,0)") + F.col("order_number")).cast("decimal(38,0)")
+    micros = F.unix_micros(F.col("date_timestamp").cast("timestamp")) + F.lit(MICROS_BEFORE_EPOCH)
+    number = F.coalesce(F.col("order_number").cast("decimal(20,0)") + F.lit(str(2 ** 63)).cast("decimal(20,0)"),
+                        F.lit(str(2 ** 64)).cast("decimal(20,0)"))
+    key = (micros.cast("decimal(18,0)") * F.lit(str(10 ** 20)).cast("decimal(21,0)") + number).cast("decimal(38,0)")
     per_region = (o.groupBy("driver_id", "logistic_region")
                   .agg(F.count(F.lit(1)).alias("__rows"), F.sum(flag(F.col("wallet_before_order") < 0)).alias("__neg"),
                        F.sum(flag(F.col("payment_type") == cash)).alias("__cash"),
                        F.count("order_number").alias("orders"), F.min(key).alias("__first")))
+    first = F.struct(F.coalesce("__first", F.lit("9" * 38).cast("decimal(38,0)")), "logistic_region")
     return (per_region.groupBy("driver_id")
             .agg(ratio(F.sum("__neg"), F.sum("__rows")).alias("perc_negative_orders"),
                  ratio(F.sum("__cash"), F.sum("__rows")).alias("perc_cash_orders"),
-                 F.sum("orders").alias("orders"),
-                 F.min_by("logistic_region", F.coalesce("__first", F.lit("9" * 38).cast("decimal(38,0)")))
-                  .alias("logistic_region")))
+                 F.sum("orders").alias("orders"), F.min_by("logistic_region", first).alias("logistic_region")))
 
 
 def wallet_stats(daily_wallet: DataFrame, period: Period | None) -> DataFrame:

@@ -15,7 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetcraft.functions.columns import number
+from fleetcraft.functions.columns import exact_mean, number
 from fleetcraft.functions.joins import with_one_row
 
 
@@ -36,7 +36,7 @@ def fill_with_mean(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     cols = [c for c in df.columns if c in set(columns)]
     if not cols:
         return df
-    stats = df.agg(*[F.avg(number(c)).alias(_stat(c, "mean")) for c in cols])
+    stats = df.agg(*[exact_mean(number(c)).alias(_stat(c, "mean")) for c in cols])
     out = with_one_row(df, stats)
     return out.select(*[
         F.coalesce(number(c), F.col(_stat(c, "mean"))).alias(c) if c in cols else F.col(c)
@@ -56,7 +56,7 @@ def replace_outliers(df: DataFrame, columns: Sequence[str], mode: str = "std3",
     if mode not in ("std3", "mean_plus_3std"):
         raise ValueError("mode must be 'std3' or 'mean_plus_3std'")
     stats = df.agg(*[e for c in columns for e in (
-        F.avg(number(c)).alias(_stat(c, "mean")),
+        exact_mean(number(c)).alias(_stat(c, "mean")),
         F.stddev_samp(number(c)).alias(_stat(c, "std")))])
     out = with_one_row(df, stats)
     repl = {}
@@ -69,14 +69,14 @@ def replace_outliers(df: DataFrame, columns: Sequence[str], mode: str = "std3",
 
 
 def drop_above(df: DataFrame, column: str, threshold: float) -> DataFrame:
-    """Drop rows with ``column >= threshold``; rows with NULL are kept
-    (pandas ``~(x >= t)`` keeps NaN)."""
-    return df.where(F.coalesce(~(F.col(column) >= threshold), F.lit(True)))
+    """Drop rows with ``column >= threshold``; rows with NULL or NaN are kept
+    (pandas ``~(x >= t)`` keeps NaN; Spark alone would rank it highest)."""
+    return df.where(F.coalesce(~(number(column) >= threshold), F.lit(True)))
 
 
 def count_above(df: DataFrame, column: str, threshold: float) -> DataFrame:
     """How many rows the threshold would drop."""
-    return df.agg(F.count_if(F.col(column) >= threshold).alias("rows_above"),
+    return df.agg(F.count_if(number(column) >= threshold).alias("rows_above"),
                   F.count(F.lit(1)).alias("rows"))
 
 

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from fleetcraft.functions.columns import number
+from fleetcraft.functions.columns import exact_mean, number
 from fleetcraft.functions.joins import with_one_row
 
 DEFAULT_ACCURACY = 100_000
@@ -148,7 +148,7 @@ def describe(df: DataFrame, columns: Sequence[str] | None = None, interpolate: b
     aggs = []
     for i, c in enumerate(cols):
         x = number(c)
-        aggs += [F.count(x).alias(f"__n{i}"), F.avg(x).alias(f"__mean{i}"), F.stddev_samp(x).alias(f"__std{i}"),
+        aggs += [F.count(x).alias(f"__n{i}"), exact_mean(x).alias(f"__mean{i}"), F.stddev_samp(x).alias(f"__std{i}"),
                  F.min(x).alias(f"__min{i}"), F.max(x).alias(f"__max{i}")]
         aggs.append((F.first(quart[i]) if interpolate else quart[i]).alias(f"__q{i}"))
     stats = df.agg(*aggs)
@@ -211,7 +211,7 @@ def correlation_lower(df: DataFrame, columns: Sequence[str] | None = None) -> Da
     column feature in the given order), all pairs in one aggregate."""
     cols = list(columns or numeric_columns(df))
     pairs = [(a, b) for j, b in enumerate(cols) for a in cols[j + 1:]]
-    stats = df.agg(*[F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"__r{k}")
+    stats = df.agg(*[F.corr(number(a), number(b)).alias(f"__r{k}")
                      for k, (a, b) in enumerate(pairs)])
     return _rows(stats, [F.struct(F.lit(a).alias("feature_a"), F.lit(b).alias("feature_b"),
                                   F.abs(F.col(f"__r{k}")).alias("abs_corr")) for k, (a, b) in enumerate(pairs)])

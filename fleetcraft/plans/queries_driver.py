@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from fleetcraft.operators import features as feat
 from fleetcraft.plans.settings import (CODES, EVENTS_15, EVENTS_30, NEW_DRIVER_AS_OF, ORDERS_WINDOW,
                                         RECHARGE_CAUSES, SENIORITY_AS_OF, STRIKE_EXCLUDED, FEATURE_END,
@@ -35,6 +37,25 @@ def order_stats_per_driver(spark, sf):
     return feat.order_stats(fixtures(spark, sf).wallet_orders(), ORDERS_WINDOW)
 
 
+_LONG_NUMBER = "(CASE WHEN order_number % 5 = 0 THEN NULL ELSE 1900000000000000000 - order_number * 1000 END)"
+
+
+@register("order_stats_long_numbers", with_views(["wallet_orders"], f"""
+    SELECT driver_id,
+           avg(CASE WHEN wallet_before_order < 0 THEN 1 ELSE 0 END) AS perc_negative_orders,
+           avg(CASE WHEN payment_type = 'MONEY' THEN 1 ELSE 0 END) AS perc_cash_orders,
+           count(n) AS orders,
+           arg_min(logistic_region, (t, n IS NULL, coalesce(n, 0), logistic_region)) AS logistic_region
+    FROM (SELECT *, {_LONG_NUMBER} AS n, to_microseconds(order_number % 2) + TIMESTAMP '1996-05-05 00:00:00' AS t
+          FROM wallet_orders)
+    GROUP BY driver_id"""))
+def order_stats_long_numbers(spark, sf):
+    """R2 and A9 with 19-digit and missing order numbers, a driver's orders at two times a microsecond apart."""
+    o = fixtures(spark, sf).wallet_orders()
+    at = F.timestamp_micros(F.lit(831_254_400_000_000) + F.col("order_number") % 2)
+    return feat.order_stats(o.withColumn("date_timestamp", at).withColumn("order_number", F.expr(_LONG_NUMBER)), None)
+
+
 @register("wallet_stats", with_views(["daily_wallet"], f"""
     SELECT driver_id, CAST(sum(CASE WHEN wallet < 0 THEN 1 ELSE 0 END) AS BIGINT) AS days_negative,
            {money_mean('wallet')} AS avg_wallet, min(wallet) AS min_wallet

@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from fleetcraft.functions.joins import with_one_row
 from fleetcraft.operators import prepare, profile, segment
 from fleetcraft.plans.settings import CODES, EVENTS_15, REGIONS, fixtures, register
 from fleetcraft.plans.queries_mart import FEATURE_CTES, FEATURE_ROW_SQL, FEATURE_VIEWS, features_table
@@ -64,7 +65,7 @@ def _feat_sql(body: str, extra=()) -> str:
 _KEPT = ", ".join(("driver_uuid", "logistic_region", "date_partition") + FEATS)
 SEG_CTES = [
     ("kept", f"SELECT {_KEPT} FROM features"),
-    ("ostats", "SELECT " + ", ".join(f"avg({c}::DOUBLE) AS m_{c}, stddev_samp({c}::DOUBLE) AS s_{c}" for c in OUTL)
+    ("ostats", "SELECT " + ", ".join(f"avg({c}::DECIMAL(38, 10)) AS m_{c}, stddev_samp({c}::DOUBLE) AS s_{c}" for c in OUTL)
      + " FROM kept"),
     ("outl", "SELECT driver_uuid, logistic_region, date_partition, " + ", ".join(
         f"CASE WHEN {c} >= 3 * s_{c} THEN m_{c} ELSE {c}::DOUBLE END AS {c}" if c in OUTL else f"{c}"
@@ -117,7 +118,7 @@ def null_counts(spark, sf):
 
 
 @register("describe", _feat_sql("\nUNION ALL\n".join(
-    f"""SELECT '{c}' AS column_name, count({c}) AS count, avg({c}::DOUBLE) AS mean, stddev_samp({c}::DOUBLE) AS std,
+    f"""SELECT '{c}' AS column_name, count({c}) AS count, avg({c}::DECIMAL(38, 10)) AS mean, stddev_samp({c}::DOUBLE) AS std,
                min({c}::DOUBLE) AS min, quantile_cont({c}::DOUBLE, 0.25) AS p25,
                quantile_cont({c}::DOUBLE, 0.5) AS p50, quantile_cont({c}::DOUBLE, 0.75) AS p75,
                max({c}::DOUBLE) AS max FROM features""" for c in PROFILE_COLUMNS)))
@@ -144,7 +145,7 @@ def _outliers_replaced(spark, sf):
 
 
 @register("describe_after_outliers", _seg_sql("\nUNION ALL\n".join(
-    f"""SELECT '{c}' AS column_name, count({c}) AS count, avg({c}::DOUBLE) AS mean, stddev_samp({c}::DOUBLE) AS std,
+    f"""SELECT '{c}' AS column_name, count({c}) AS count, avg({c}::DECIMAL(38, 10)) AS mean, stddev_samp({c}::DOUBLE) AS std,
                min({c}::DOUBLE) AS min, quantile_cont({c}::DOUBLE, 0.25) AS p25,
                quantile_cont({c}::DOUBLE, 0.5) AS p50, quantile_cont({c}::DOUBLE, 0.75) AS p75,
                max({c}::DOUBLE) AS max FROM outl""" for c in FEATS)))
@@ -412,7 +413,7 @@ _NAN_SQL = "SELECT CASE WHEN qty_recharge % 2 = 0 THEN NULL ELSE avg_recharge::D
 
 
 @register("describe_with_nan", _feat_sql("""
-    SELECT 'x' AS column_name, count(x) AS count, avg(x) AS mean, stddev_samp(x) AS std, min(x) AS min,
+    SELECT 'x' AS column_name, count(x) AS count, avg(x::DECIMAL(38, 10)) AS mean, stddev_samp(x) AS std, min(x) AS min,
            quantile_cont(x, 0.25) AS p25, quantile_cont(x, 0.5) AS p50, quantile_cont(x, 0.75) AS p75, max(x) AS max
     FROM nans""", [("nans", _NAN_SQL)]))
 def describe_with_nan(spark, sf):
@@ -421,6 +422,35 @@ def describe_with_nan(spark, sf):
     return profile.describe(features_table(spark, sf).select(x.alias("x")), ["x"])
 
 
+def _with_nan(spark, sf):
+    """The features with NaN for every second recharge count's mean; the count itself stays."""
+    x = F.when(F.col("qty_recharge") % 2 == 0, F.lit(float("nan"))).otherwise(F.col("avg_recharge").cast("double"))
+    return features_table(spark, sf).select("driver_uuid", "days_connected", x.alias("x"))
+
+
+_NAN_ROWS = ("nan_rows", """SELECT driver_uuid, days_connected,
+    CASE WHEN qty_recharge % 2 = 0 THEN NULL ELSE avg_recharge::DOUBLE END AS x FROM features""")
+
+
+@register("drop_above_with_nan", _feat_sql("""
+    SELECT driver_uuid, x, count_if(x >= 4000) OVER () AS rows_above FROM nan_rows
+    QUALIFY x IS NULL OR x < 4000""", [_NAN_ROWS]))
+def drop_above_with_nan(spark, sf):
+    """D15 where NaN is missing: such rows stay and are not counted."""
+    data = _with_nan(spark, sf)
+    above = prepare.count_above(data, "x", 4000.0).select("rows_above")
+    return with_one_row(prepare.drop_above(data, "x", 4000.0), above).select(
+        "driver_uuid", F.nanvl("x", F.lit(None).cast("double")).alias("x"), "rows_above")
+
+
+@register("correlation_with_nan", _feat_sql("""
+    SELECT 'x' AS feature_a, 'days_connected' AS feature_b, abs(corr(x, days_connected::DOUBLE)) AS abs_corr
+    FROM nan_rows""", [_NAN_ROWS]))
+def correlation_with_nan(spark, sf):
+    """D9 over the rows in which neither number is missing."""
+    return profile.correlation_lower(_with_nan(spark, sf), ["days_connected", "x"])
+
+
 # ---------------------------------------------------------------------------
 # Fitted models (rows-only checks): embedding, k-means, hierarchy, scoring
 # ---------------------------------------------------------------------------
