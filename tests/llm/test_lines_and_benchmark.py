@@ -1,3 +1,5 @@
+import itertools
+import math
 import random
 import re
 
@@ -93,26 +95,36 @@ def test_a_passage_of_a_third_of_all_rows(spark):
 BENCH = "item_id long, text string"
 
 
+def holds(equal, least):
+    """Whether some stretch has ``least`` equal positions and is equal in four of five."""
+    return any(sum(equal[a:b]) >= least and 5 * sum(equal[a:b]) >= 4 * (b - a)
+               for a in range(len(equal)) for b in range(a + 1, len(equal) + 1))
+
+
+def meets_mask(equal, item_tokens):
+    """Whether some mask's window lies on equal positions (or the whole of an item shorter than a mask)."""
+    if item_tokens < max(map(len, decontaminate.MASKS)) and len(equal) == item_tokens and all(equal):
+        return True
+    return any(all(equal[at + k] for k, c in enumerate(mask) if c == "1")
+               for mask in decontaminate.MASKS for at in range(len(equal) - len(mask) + 1))
+
+
 def plain_overlaps(docs, items, least=decontaminate.LEAST):
+    """The stated check on every alignment of every text and item that some mask meets."""
     out = set()
     for i, text in docs:
         d = np.array(decontaminate.tokens_of(text or ""), dtype=object)
         for j, item in items:
             b = np.array(decontaminate.tokens_of(item or ""), dtype=object)
             if len(b) < decontaminate.SHORTEST:
+                if len(b) and d.tolist() == b.tolist():
+                    out.add((i, j))
                 continue
+            need = min(least, len(b))
             for at in range(-len(b) + 1, len(d)):
                 low, high = max(0, -at), min(len(b), len(d) - at)
-                equal = d[at + low:at + high] == b[low:high]
-                best = score = n = 0
-                hold = 0
-                for e in equal:
-                    if score <= 0:
-                        score = n = 0
-                    score, n = score + (1 if e else decontaminate.PENALTY), n + bool(e)
-                    if score > best:
-                        best, hold = score, n
-                if hold >= min(least, len(b)):
+                equal = (d[at + low:at + high] == b[low:high]).tolist()
+                if sum(equal) >= need and meets_mask(equal, len(b)) and holds(equal, need):
                     out.add((i, j))
     return out
 
@@ -133,7 +145,7 @@ def test_overlaps_match_brute_force(spark, block):
             at = rnd.randint(0, len(words))
             words[at:at] = piece
         docs.append((k, " ".join(words).upper() if k % 5 == 0 else ", ".join(words)))
-    docs += [(None, items[5][1]), (70, None), (71, "")]
+    docs += [(None, items[5][1]), (70, None), (71, ""), (72, items[6][1].upper() + "!"), (73, items[6][1] + " more")]
     found = decontaminate.overlaps(spark.createDataFrame(docs, "doc_id long, text string"),
                                    spark.createDataFrame(items, BENCH), block_tokens=block)
     assert {(r["doc_id"], r["item_id"]) for r in found.collect()} == plain_overlaps(docs, items)
@@ -147,10 +159,18 @@ def test_benchmark_edge_cases(spark):
     assert decontaminate.overlaps(docs_frame(spark), bench).count() == 0
 
 
-def holds(equal, least):
-    """Whether some stretch has ``least`` equal positions and is equal in four of five."""
-    return any(sum(equal[a:b]) >= least and 5 * sum(equal[a:b]) >= 4 * (b - a)
-               for a in range(len(equal)) for b in range(a + 1, len(equal) + 1))
+@pytest.mark.parametrize("size", [13, 14, 15, 16, 17, 18, 19, 20, 22, 25, 30, 40, 59])
+def test_recall_of_every_accepted_number_of_substitutions(size):
+    rnd = random.Random(size)
+    words = [f"b{k}" for k in range(size)]
+    index = decontaminate.Index([(1, words)])
+    for swaps in range(min(size - decontaminate.LEAST, size // 5) + 1):
+        every = list(itertools.combinations(range(size), swaps)) if math.comb(size, swaps) <= 1200 else \
+            [rnd.sample(range(size), swaps) for _ in range(1200)]
+        texts = [["x", *(f"s{k}" if k in set(gone) else w for k, w in enumerate(words)), "y"] for gone in every]
+        found = index.search(texts, decontaminate.LEAST)
+        assert len(found) >= 0.9 * len(texts), (size, swaps, len(found) / len(texts))
+        assert swaps > 1 or len(found) == len(texts)
 
 
 def test_any_stretch_that_meets_the_check_is_accepted():
