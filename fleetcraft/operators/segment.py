@@ -9,11 +9,11 @@ per-cluster sums.
 * C1: the reference's non-linear reducer is re-aimed as a deterministic
   linear one: L2 ``Normalizer`` (cosine geometry) + ``PCA(k=2)``, fitted once
   and re-applied to new loads (no refit, B9).
-* C3: ``KMeans`` has no n_init; restarts are separate seeded fits (run
-  concurrently, they share the cached vectors) and the lowest cost wins.
+* C3: all restarts and all k are fitted together, one pass a round
+  (``kmeans``), and the lowest cost wins.
 * C6: silhouette in the squared-Euclidean form of ``ClusteringEvaluator``,
-  computed per row from per-cluster (n, sum x, sum |x|^2): linear in rows,
-  no pairwise distances.
+  computed per row from per-cluster (n, sum x, sum |x|^2), and in the Euclidean
+  form over a quadtree (``silhouette``): both linear in rows, no pairs.
 * C7: cluster ids are arbitrary, so clusters are ordered by their centroid
   before letters are given; the same data gives the same letters.
 """
@@ -24,19 +24,18 @@ import itertools
 import json
 import string
 from collections.abc import Sequence
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark import StorageLevel
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.feature import PCA, Normalizer, StringIndexer, VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetcraft.functions.joins import with_one_row
-from fleetcraft.operators import prepare
+from fleetcraft.operators import kmeans, prepare
+from fleetcraft.operators import silhouette as euclidean
 from fleetcraft.sources.tables import materialise
 
 # Fixed values of the reference: kept features, restarts, seed, and the
@@ -101,10 +100,9 @@ def embed(loadings: Sequence[Sequence[float]], scaled: DataFrame, keep: Sequence
 
 @dataclass
 class Clusterer:
-    """A fitted k-means with its canonical cluster order."""
+    """A fitted k-means: its centres in canonical order (C7), its cost and the seed that gave it."""
 
-    model: KMeansModel | None
-    centers: list[tuple[float, ...]]   # in canonical order
+    centers: list[tuple[float, ...]]
     cost: float
     seed: int
 
@@ -117,47 +115,21 @@ def _canonical(centers: Sequence[Sequence[float]]) -> list[tuple[float, ...]]:
     return sorted((tuple(float(v) for v in c) for c in centers), key=lambda c: tuple(round(v, 6) for v in c))
 
 
-def _persisted(points: DataFrame, dims: Sequence[str]) -> DataFrame:
-    return _vec(points, dims).select("features").persist(StorageLevel.MEMORY_AND_DISK)
-
-
 def fit_kmeans_many(points: DataFrame, ks: Sequence[int], dims: Sequence[str] = DIMS,
                     restarts: int = RESTARTS, seed: int = SEED, max_iter: int = MAX_ITER,
-                    parallel: int = 16) -> dict[int, Clusterer]:
-    """C3 for several k at once: every (k, seed) fit is a Spark ML ``KMeans``
-    job over one cached vector set, submitted to a shared pool so the
-    cluster stays busy; per k the lowest training cost wins (ties: lowest seed).
-
-    k = 1 has a closed form (the mean); Spark's KMeans needs k >= 2.
-    """
-    out: dict[int, Clusterer] = {}
-    if 1 in ks:
-        row = points.agg(*[F.avg(d).alias(d) for d in dims]).first()
-        center = tuple(float(row[d] or 0.0) for d in dims)
-        out[1] = Clusterer(None, [center], inertia_k1(points, dims), seed)
-    jobs = [(k, seed + i) for k in ks if k >= 2 for i in range(restarts)]
-    if not jobs:
-        return out
-    vecs = _persisted(points, dims)
-    try:
-        def one(job):
-            k, s = job
-            m = KMeans(k=k, seed=s, maxIter=max_iter, tol=1e-4, featuresCol="features").fit(vecs)
-            return k, m.summary.trainingCost, s, m
-        with ThreadPoolExecutor(max_workers=max(1, parallel)) as pool:
-            fits = list(pool.map(one, jobs))
-    finally:
-        vecs.unpersist()
-    for k in {k for k, _ in jobs}:
-        _, cost, s, model = min((f for f in fits if f[0] == k), key=lambda t: (round(t[1], 9), t[2]))
-        out[k] = Clusterer(model, _canonical(model.clusterCenters()), float(cost), s)
-    return out
+                    key: str = "driver_uuid") -> dict[int, Clusterer]:
+    """C3 for several k at once: all (k, seed) runs share their passes over the points (``kmeans.fit_many``),
+    which are stored first; per k the lowest cost wins (of equals the lowest seed)."""
+    stored = materialise(points.select(key, *dims), "kmeans-points")
+    runs = kmeans.fit_many(stored, list(ks), range(seed, seed + restarts), key, dims, max_iter)
+    best = {k: min((r for r in runs if r.k == k), key=lambda r: (round(r.cost, 9), r.seed)) for k in ks}
+    return {k: Clusterer(_canonical(r.centers), r.cost, r.seed) for k, r in best.items()}
 
 
 def fit_kmeans(points: DataFrame, k: int, dims: Sequence[str] = DIMS, restarts: int = RESTARTS,
-               seed: int = SEED, max_iter: int = MAX_ITER, parallel: int = 16) -> Clusterer:
-    """Best of ``restarts`` seeded ``KMeans`` fits by training cost."""
-    return fit_kmeans_many(points, [k], dims, restarts, seed, max_iter, parallel)[k]
+               seed: int = SEED, max_iter: int = MAX_ITER, key: str = "driver_uuid") -> Clusterer:
+    """Best of ``restarts`` seeded runs by cost."""
+    return fit_kmeans_many(points, [k], dims, restarts, seed, max_iter, key)[k]
 
 
 def inertia_k1(points: DataFrame, dims: Sequence[str] = DIMS) -> float:
@@ -281,11 +253,8 @@ def fit_segments(prepared: DataFrame, k: int, registry: DataFrame | None = None,
     if rows < max(2, k):
         raise ValueError(f"{rows} complete rows cannot make {k} segments {prefix!r}: choose a smaller k or more rows")
     emb = fit_embedding(scaled, features)
-    points = embed(emb, scaled, [key, "logistic_region"], features).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        clusterer = fit_kmeans(points, k, restarts=restarts)
-    finally:
-        points.unpersist()   # the labelled rows below re-derive cheaply from the stored input
+    points = materialise(embed(emb, scaled, [key, "logistic_region"], features), "embedded")
+    clusterer = fit_kmeans(points, k, restarts=restarts, key=key)
     model = SegmentModel(reg, emb, clusterer, prefix, scaler)
     return model, label_rows(points, clusterer, prefix)
 
@@ -320,19 +289,45 @@ def load_model(spark, path: str) -> SegmentModel:
     row = spark.read.parquet(f"{path}/clusters").first()
     centers = [tuple(c) for c in json.loads(row["centers"])]
     return SegmentModel(spark.read.parquet(f"{path}/scaler"), json.loads(row["loadings"]),
-                        Clusterer(None, centers, row["cost"], row["seed"]), row["prefix"], row["kind"])
+                        Clusterer(centers, row["cost"], row["seed"]), row["prefix"], row["kind"])
+
+
+def fit_two_levels(data: DataFrame, top_k: int = 2, sub_k: Sequence[tuple[str, int]] = (("A", 2), ("B", 4)),
+                   sub_scaler: str = "minmax", restarts: int = RESTARTS) -> tuple[DataFrame, dict[str, SegmentModel]]:
+    """Segments of all complete rows, and subsegments of the parents in ``sub_k``.
+
+    The subsegments reuse the top level's scaler registry, fit projection and
+    k-means on their own rows; ``sub_scaler="standard"`` scales each subset
+    afresh. A parent that ``sub_k`` does not name keeps its drivers, with no
+    subsegment. ``data`` is read many times: give a stored table.
+    """
+    model, top = fit_segments(data, k=top_k, restarts=restarts)
+    labelled = materialise(data.join(top.select("driver_uuid", "segmentation"), "driver_uuid"), "labelled")
+    models, subs = {"": model}, None
+    for parent, k in sub_k:
+        subset = labelled.where(F.col("segmentation") == parent).drop("segmentation")
+        models[parent], sub = fit_segments(subset, k=k, registry=model.scaler, prefix=parent, scaler=sub_scaler,
+                                           restarts=restarts)
+        sub = sub.select("driver_uuid", F.col("segmentation").alias("subsegmentation"))
+        subs = sub if subs is None else subs.unionByName(sub)
+    if subs is None:
+        return labelled.withColumn("subsegmentation", F.lit(None).cast("string")), models
+    return labelled.join(subs, "driver_uuid", "left"), models
 
 
 def silhouette_by_k(points: DataFrame, ks: Sequence[int] = (2, 3, 4, 5), dims: Sequence[str] = DIMS,
-                    restarts: int = RESTARTS, seed: int = SEED) -> DataFrame:
-    """C6 sweep: mean squared-distance silhouette of the best fit for each k."""
+                    restarts: int = RESTARTS, seed: int = SEED, key: str = "driver_uuid") -> DataFrame:
+    """C6 sweep: of the best fit for each k the mean silhouette, squared and Euclidean, with the latter's mean error bound."""
     out = []
-    fits = fit_kmeans_many(points, list(ks), dims, restarts, seed)
+    points = materialise(points.select(key, *dims), "silhouette-points")
+    fits = fit_kmeans_many(points, list(ks), dims, restarts, seed, key=key)
     for k in ks:
-        fit = fits[k]
-        mean = silhouette_squared(assign(points, fit.centers, dims), dims).agg(F.avg("silhouette")).first()[0]
-        out.append((int(k), float(mean), fit.cost))
-    return points.sparkSession.createDataFrame(out, "k int, silhouette double, inertia double")
+        labelled = materialise(assign(points, fits[k].centers, dims), "assigned")
+        mean = silhouette_squared(labelled, dims).agg(F.avg("silhouette")).first()[0]
+        near = euclidean.euclidean_silhouette(labelled, [key], dims).agg(F.avg("silhouette"), F.avg("error_bound")).first()
+        out.append((int(k), mean, near[0], near[1], fits[k].cost))
+    return points.sparkSession.createDataFrame(
+        out, "k int, silhouette double, euclidean_silhouette double, error_bound double, inertia double")
 
 
 def cluster_centers(clusterer: Clusterer, spark, prefix: str = "") -> DataFrame:

@@ -91,22 +91,11 @@ def segmentation_job(features: DataFrame, out_dir: str, top_k: int = 2,
                      restarts: int = segment.RESTARTS) -> SegmentationResult:
     """Two-level segmentation with stored models; CSV export of the result."""
     data = tables.materialise(prepare_segment_input(features), "segment-input")
-    model, top = segment.fit_segments(data, k=top_k, restarts=restarts)
-    labelled = data.join(top.select("driver_uuid", "segmentation"), "driver_uuid")
-    models, parts = {"": model}, []
-    for parent, k in sub_k:
-        subset = labelled.where(F.col("segmentation") == parent).drop("segmentation")
-        sub_model, sub = segment.fit_segments(subset, k=k, registry=model.scaler, prefix=parent,
-                                              restarts=restarts)
-        models[parent] = sub_model
-        parts.append(sub.select("driver_uuid", F.col("segmentation").alias("subsegmentation")))
-    subs = parts[0]
-    for p in parts[1:]:
-        subs = subs.unionByName(p)
-    result = labelled.join(subs, "driver_uuid")
+    result, models = segment.fit_two_levels(data, top_k, sub_k, restarts=restarts)
+    result = tables.materialise(result, "segments")
     path = os.path.join(out_dir, "segments_csv")
     tables.write_csv(result, path)
-    return SegmentationResult(segments=tables.materialise(result, "segments"), models=models)
+    return SegmentationResult(segments=result, models=models)
 
 
 def score_job(features: DataFrame, models: dict) -> DataFrame:

@@ -3,11 +3,13 @@ over the feature table, plus the write/read round trips (S3-S7)."""
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fleetcraft.functions.joins import with_one_row
-from fleetcraft.operators import prepare, profile, segment
+from fleetcraft.operators import kmeans, prepare, profile, segment
+from fleetcraft.operators.silhouette import euclidean_silhouette
 from fleetcraft.plans.settings import CODES, EVENTS_15, REGIONS, fixtures, register
 from fleetcraft.plans.queries_mart import FEATURE_CTES, FEATURE_ROW_SQL, FEATURE_VIEWS, features_table
 from fleetcraft.plans.oracle_views import with_views
@@ -323,6 +325,36 @@ def inertia_k1(spark, sf):
     return spark.createDataFrame([(segment.inertia_k1(fixed_points(spark, sf)),)], "inertia double")
 
 
+@register("kmeans_round", _seg_sql("""
+    SELECT cluster, count(*) AS n, avg(c1) AS c1, avg(c2) AS c2, sum(cluster_sqdist) AS cost
+    FROM assigned GROUP BY cluster""", [_ASSIGN_CTE]))
+def kmeans_round(spark, sf):
+    """One round of the batched fit from given centres."""
+    return kmeans.lloyd_round(fixed_points(spark, sf), FIXED_CENTERS, "driver_uuid", segment.DIMS)
+
+
+_EUCLID_CTES = [_ASSIGN_CTE, ("epair", """
+    SELECT a.driver_uuid, a.cluster, b.cluster AS cid, count(*) AS n,
+           sum(sqrt((a.c1 - b.c1) * (a.c1 - b.c1) + (a.c2 - b.c2) * (a.c2 - b.c2))) AS total
+    FROM assigned a CROSS JOIN assigned b GROUP BY a.driver_uuid, a.cluster, b.cluster"""), ("esil", """
+    SELECT driver_uuid, cluster, max(CASE WHEN cid = cluster THEN n END) AS own_n,
+           max(CASE WHEN cid = cluster THEN total / greatest(n - 1, 1) END) AS a,
+           min(CASE WHEN cid <> cluster THEN total / n END) AS b
+    FROM epair GROUP BY driver_uuid, cluster""")]
+
+
+@register("silhouette_euclidean", _seg_sql("""
+    SELECT driver_uuid, cluster, CASE WHEN own_n <= 1 OR b IS NULL OR greatest(a, b) = 0 THEN 0.0
+           ELSE round((b - a) / greatest(a, b), 5) END AS silhouette
+    FROM esil""", _EUCLID_CTES))
+def silhouette_euclidean(spark, sf):
+    """C6 in the Euclidean form; the tree's error bound must stay under what is compared."""
+    labelled = tables.materialise(segment.assign(fixed_points(spark, sf), FIXED_CENTERS), "assigned")
+    scored = euclidean_silhouette(labelled, ["driver_uuid"])
+    exact = F.when(F.col("error_bound") < 1e-3, F.round("silhouette", 5))
+    return scored.select("driver_uuid", "cluster", exact.alias("silhouette"))
+
+
 # ---------------------------------------------------------------------------
 # Stored models: scoring is checked apart from fitting
 # ---------------------------------------------------------------------------
@@ -338,7 +370,7 @@ def stored_models(spark, sf, data=None) -> dict:
     known = (seg_input(spark, sf) if data is None else data).where(F.col("logistic_region").isin(*FIRST_REGIONS))
     registry = prepare.update_registry(None, known, FEATS)
     return {p: segment.SegmentModel(registry, [list(r) for r in STORED_LOADINGS],
-                                    segment.Clusterer(None, [tuple(c) for c in centers], 0.0, segment.SEED), p)
+                                    segment.Clusterer([tuple(c) for c in centers], 0.0, segment.SEED), p)
             for p, centers in STORED_CENTERS.items()}
 
 
@@ -487,28 +519,8 @@ def cluster_centers(spark, sf):
 
 
 def hierarchical(spark, sf, sub_k=(("A", 2), ("B", 4)), sub_scaler="minmax", data=None):
-    """C8 (final sizes): top level k=2, then A -> 2 and B -> 4 subsegments.
-
-    The subsegments reuse the top-level scaler registry (all regions are
-    known), refit projection and k-means on their own rows, and are unioned.
-    ``sub_scaler="standard"`` is the exploratory variant (fresh standard
-    scaling per subset).
-    """
-    data = seg_input_stored(spark, sf) if data is None else data
-    model, top = segment.fit_segments(data, k=2)
-    labelled = data.join(top.select("driver_uuid", "segmentation"), "driver_uuid")
-    parts, models = [], {"": model}
-    for parent, k in sub_k:
-        subset = labelled.where(F.col("segmentation") == parent).drop("segmentation")
-        sub_model, sub = segment.fit_segments(subset, k=k, registry=model.scaler, prefix=parent,
-                                              scaler=sub_scaler)
-        models[parent] = sub_model
-        parts.append(sub.withColumnRenamed("segmentation", "subsegmentation"))
-    subs = parts[0]
-    for p in parts[1:]:
-        subs = subs.unionByName(p)
-    out = labelled.join(subs.select("driver_uuid", "subsegmentation"), "driver_uuid")
-    return out, models
+    """Both levels fitted on the prepared input."""
+    return segment.fit_two_levels(seg_input_stored(spark, sf) if data is None else data, 2, sub_k, sub_scaler)
 
 
 @register("hierarchical_segments")
@@ -537,6 +549,79 @@ def score_new_load(spark, sf):
     return jobs.score_job(features_table(spark, sf), models)
 
 
+def _parent_points(spark, sf, parent):
+    """The embedded drivers of one segment: projection fitted on their rows, as the subsegments' fit does it."""
+    data = seg_input_stored(spark, sf)
+    model, top = segment.fit_segments(data, k=2)
+    subset = data.join(top.where(F.col("segmentation") == parent).select("driver_uuid"), "driver_uuid")
+    scaled = prepare.transform_minmax(subset, model.scaler, FEATS).na.drop(subset=list(FEATS))
+    return tables.materialise(segment.embed(segment.fit_embedding(scaled), scaled, ["driver_uuid", "logistic_region"]), "parent-points")
+
+
+def _elbow_facts(found):
+    """Per k whether the inertia is no larger than that of k - 1 (up to rounding), and not negative."""
+    before = F.lag("inertia").over(Window.orderBy("k"))
+    return found.select("k", (F.coalesce(F.col("inertia") <= before * (1 + 1e-9), F.lit(True))
+                              & (F.col("inertia") >= 0)).alias("holds"))
+
+
+_FACTS_SQL = "SELECT CAST(range AS INTEGER) AS k, true AS holds FROM range({}, {})"
+
+
+@register("elbow_facts", _FACTS_SQL.format(1, 10))
+def elbow_facts(spark, sf):
+    """C5 checked: more clusters never cost more than fewer."""
+    return _elbow_facts(elbow_k1_9(spark, sf))
+
+
+@register("elbow_a")
+def elbow_a(spark, sf):
+    """C5 of the first segment's drivers."""
+    return segment.elbow(_parent_points(spark, sf, "A"), range(1, 10))
+
+
+@register("elbow_b")
+def elbow_b(spark, sf):
+    return segment.elbow(_parent_points(spark, sf, "B"), range(1, 10))
+
+
+@register("silhouette_a")
+def silhouette_a(spark, sf):
+    """C6 of the first segment's drivers over k = 2..5, both forms."""
+    return segment.silhouette_by_k(_parent_points(spark, sf, "A"), (2, 3, 4, 5))
+
+
+@register("silhouette_b")
+def silhouette_b(spark, sf):
+    return segment.silhouette_by_k(_parent_points(spark, sf, "B"), (2, 3, 4, 5))
+
+
+@register("kmeans_facts", "SELECT * FROM (VALUES ('centre is the mean', true), ('cost is the sum', true), "
+          "('label is nearest', true), ('no point lost', true)) t(fact, holds)")
+def kmeans_facts(spark, sf):
+    """C3, C4, C7, C12 checked on a fit: each centre is the mean of its rows, the cost their summed squared
+    distances, each label that of the nearest centre, and every embedded driver is labelled."""
+    points = tables.materialise(_embedded(spark, sf), "embedded")
+    fit = segment.fit_kmeans(points, 3)
+    labelled = segment.label_rows(points, fit)
+    centers = segment.cluster_centers(fit, spark).select("label", F.col("c1").alias("x"), F.col("c2").alias("y"))
+    met = labelled.join(F.broadcast(centers), F.col("segmentation") == F.col("label"))
+    away = (F.col("c1") - F.col("x")) ** 2 + (F.col("c2") - F.col("y")) ** 2
+    least = F.least(*[(F.col("c1") - x) ** 2 + (F.col("c2") - y) ** 2 for x, y in fit.centers])
+    rows = met.select("label", "x", "y", "c1", "c2", away.alias("d"), least.alias("least"))
+    per = rows.groupBy("label", "x", "y").agg(F.avg("c1").alias("mx"), F.avg("c2").alias("my"), F.sum("d").alias("d"),
+                                              F.max(F.col("d") - F.col("least")).alias("over"), F.count(F.lit(1)).alias("n"))
+    # the fit stops when no centre moves by more than its tolerance
+    close = F.max(F.abs(F.col("mx") - F.col("x")) + F.abs(F.col("my") - F.col("y"))) <= 2e-4
+    facts = per.agg(close.alias("a"), (F.abs(F.sum("d") - fit.cost) <= 1e-9 * (1 + fit.cost)).alias("b"),
+                    (F.max("over") <= 1e-12).alias("c"), F.sum("n").alias("n"))
+    total = points.agg(F.count(F.lit(1)).alias("total"))
+    return with_one_row(facts, total).select(F.explode(F.array(*[
+        F.struct(F.lit(name).alias("fact"), held.alias("holds")) for name, held in (
+            ("centre is the mean", F.col("a")), ("cost is the sum", F.col("b")), ("label is nearest", F.col("c")),
+            ("no point lost", F.col("n") == F.col("total")))])).alias("r")).select("r.*")
+
+
 SUBSEGMENTS = ("AA", "AB", "BA", "BB", "BC", "BD")
 
 
