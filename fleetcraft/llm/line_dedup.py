@@ -40,6 +40,8 @@ from pyspark.sql import types as T
 from fleetcraft.llm.common import map_bytes, store, utf8
 
 MIN_WORDS = 50
+#: Tasks that the positions of one fingerprint, or of one window, are dealt to.
+SALTS = 8
 
 
 def windows(text: bytes, min_words: int = MIN_WORDS) -> list[tuple[int, bytes, int, int]]:
@@ -84,6 +86,13 @@ def delete_lines(text: str, spans: list[tuple[int, int]]) -> tuple[str, int, int
     return "\n".join(rest) if sum(wordy) > removed else "", sum(wordy), removed
 
 
+def _salted_join(rows: DataFrame, keyed: DataFrame, key: str) -> DataFrame:
+    """Inner join to one row per key; the rows of a key are dealt to ``SALTS`` tasks, and each gets the key's row."""
+    dealt = rows.withColumn("__salt", F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(SALTS)).cast("int"))
+    copies = keyed.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return dealt.join(copies, [key, "__salt"]).drop("__salt")
+
+
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """``doc_id, text_hash, spans``: the line spans of each text that repeat an earlier run."""
     item = T.ArrayType(T.StructType([T.StructField("fp", T.LongType()), T.StructField("digest", T.BinaryType()),
@@ -99,25 +108,26 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min
     every = found.select("doc_id", "text_hash", F.explode("w").alias("w")).select("doc_id", "text_hash", "w.*")
     # a window's fingerprint counts once per position: windows that select the same line are one occurrence or overlap
     common = every.groupBy("fp").agg(F.count("*").alias("n")).where("n > 1").select("fp")
-    shared = store(every.join(common, "fp", "left_semi"), "shared-windows")
+    shared = store(_salted_join(every, common, "fp"), "shared-windows")
     place = F.struct("doc_id", "text_hash", "first")
     first = (shared.groupBy("digest").agg(F.min(place).alias("origin"), F.max(place).alias("latest"))
              .where("latest > origin").select("digest", "origin"))
-    later = shared.join(first, "digest").where(place > F.col("origin"))
+    later = _salted_join(shared, first, "digest").where(place > F.col("origin"))
     return later.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("first", "last")).alias("spans"))
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                min_words: int = MIN_WORDS) -> DataFrame:
-    """All columns with repeated runs deleted from the text, plus ``n_lines`` (with words) and ``n_removed``."""
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS,
+                counts: tuple[str, str] = ("n_lines", "n_removed")) -> DataFrame:
+    """All columns with repeated runs deleted from the text, plus the numbers of lines with words and of lines removed,
+    under the names in ``counts``; columns of ``docs`` that have these names are not carried."""
     spans = repeats(docs, id_col, text_col, min_words).select(
         F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("spans").alias("__spans"))
     met = docs.join(spans, F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(utf8(text_col)) == F.col("__hash")),
                     "left").drop("__id", "__hash")
-    columns = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
+    columns = [c for c in docs.columns if c not in counts]
     source = met.select(*columns, "__spans")
     schema = T.StructType([source.schema[c] for c in columns]
-                          + [T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.LongType())])
+                          + [T.StructField(c, T.LongType()) for c in counts])
     at = columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -148,15 +148,18 @@ def links(nodes: DataFrame, radius: int = 3, chunk: int = CHUNK) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3,
                     radius: int = 3, chunk: int = CHUNK, keep: tuple[str, ...] = ()) -> DataFrame:
-    """``doc_id, fp, component_id`` and columns to keep; the smallest id reachable over links of ``radius`` bits."""
+    """``doc_id, fp, root, component_id`` and columns to keep; the smallest id reachable over links of ``radius`` bits.
+
+    ``root``, the component's smallest fingerprint, names components whose rows all lack an id too.
+    """
     fps = store(fingerprints(docs, id_col, text_col, shingle, keep), "fingerprints")
     nodes = store(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")), "nodes")
     roots = components(links(nodes.select("fp"), radius, chunk))
     placed = nodes.join(roots, nodes["fp"] == roots["node"], "left").select(
         "fp", "rep", F.coalesce("root", "fp").alias("root"))
     named = placed.groupBy("root").agg(F.min("rep").alias("component_id"))
-    by_fp = placed.join(named, "root").select("fp", "component_id")
-    return fps.join(by_fp, "fp", "left").select("doc_id", "fp", "component_id", *keep)
+    by_fp = placed.join(named, "root").select("fp", "root", "component_id")
+    return fps.join(by_fp, "fp", "left").select("doc_id", "fp", "root", "component_id", *keep)
 
 
 def fingerprint_hex(fp: F.Column) -> F.Column:

@@ -201,8 +201,10 @@ class Shard:
         return np.where(at >= 0, self.rows[at], -1), np.where(at >= 0, self.repeats[at], 0)
 
     def get(self, key: int) -> list[np.ndarray]:
-        """The ids of each row under a key, from slices of the payload."""
+        """The ids of each row under a key, from slices of the payload; the key itself is compared, not its hash alone."""
         row, count = (int(x[0]) for x in self.find(np.array([key], dtype=np.int64)))
+        if row >= 0 and int(self.keys[row - self.nulls]) != key:
+            return []
         with self.fs.open_input_file(f"{self.stem}.bin") as f:
             return [np.frombuffer(f.read_at(int(self.ends[r + 1] - self.ends[r]) * self.width,
                                             int(self.ends[r]) * self.width), dtype=self.dtype)

@@ -139,3 +139,12 @@ def test_missing_records_are_an_error(spark):
     assert warc.read_pages(manifest).count() == 5
     with pytest.raises(ValueError, match="records read"):
         warc.read_digests(manifest.selectExpr("path", "n_bytes", "n_records + 1 AS n_records")).count()
+
+
+def test_a_key_is_compared_beyond_its_fingerprint(spark, monkeypatch):
+    docs = spark.createDataFrame([(k, f"text {k}") for k in range(20)], "doc_id long, text string").coalesce(1)
+    path = token_shards.write_shards(docs, PATH).first()["path"]
+    shard = token_shards.Shard(path)
+    monkeypatch.setattr(type(shard.table), "find", lambda self, keys: np.zeros(len(keys), np.int64))
+    answered = [k for k in range(-5, 40) if shard.get(k)]
+    assert len(answered) == 1 and 0 <= answered[0] < 20

@@ -92,6 +92,18 @@ def test_a_passage_of_a_third_of_all_rows(spark):
     assert [k for k, n in out.items() if n] and all((n == 1) == (k % 3 == 0 and k > 0) for k, n in out.items())
 
 
+def test_a_run_is_found_whose_fingerprint_line_occurs_earlier_elsewhere(spark):
+    rnd = random.Random(7)
+    lines = [" ".join(prose(rnd, 20)) for _ in range(4)]
+    other = lambda: " ".join(prose(rnd, 30))
+    for line in lines:
+        rows = [(1, "\n".join([other(), line, other()])), (2, "\n".join([other(), *lines, other()])),
+                (3, "\n".join([other(), line, other()])), (4, "\n".join([*lines, other()]))]
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+        got = {r["doc_id"]: r["n_removed"] for r in line_dedup.dedup_lines(docs).collect()}
+        assert got == {1: 0, 2: 0, 3: 0, 4: 4}
+
+
 BENCH = "item_id long, text string"
 
 

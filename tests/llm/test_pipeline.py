@@ -53,12 +53,18 @@ def test_every_stage_does_its_job(spark):
 
 
 def test_awkward_and_empty_tables_pass_every_stage(spark):
-    for docs in (docs_frame(spark).select(*[f.name for f in DOCS]), empty_docs(spark)):
+    clashing = docs_frame(spark).selectExpr("*", "77 AS n_lines", "'clash' AS root", "'clash' AS component_id", "'clash' AS first")
+    for docs in (clashing, empty_docs(spark)):
         for name, stage in corpus_pipeline.STAGES:
             out = stage(spark, docs, SF)
             out.count()
             if name != "sentencepiece":
                 assert out.columns == docs.columns, name
+                if "n_lines" in docs.columns:
+                    assert {tuple(r) for r in out.select("n_lines", "n_removed", "root", "fp", "score").distinct().collect()} == \
+                        {(77, "clash", "clash", "clash", "clash")}, name
+            else:
+                assert out.count() == docs.count()
     names = [n for n, _ in corpus_pipeline.STAGES]
     assert names == ["toxicity", "line_dedup", "simhash", "decontamination", "sentencepiece"]
 
@@ -71,10 +77,19 @@ def test_near_duplicates_keep_one_of_each_group(spark):
     assert sum(not (t or "").split() for _, t in rows) == 1
 
 
+def test_groups_without_ids_shrink_to_one_row(spark):
+    text = " ".join(f"w{k}" for k in range(200))
+    rows = [(None, text), (None, text), (None, text + " "), (7, "other text of its own"), (7, "other text of its own"),
+            (8, "a different one"), (9, "a different one"), (None, "a different one")]
+    docs = docs_frame(spark, [(i, t, "en", "a", k) for k, (i, t) in enumerate(rows)])
+    got = corpus_pipeline.drop_near_duplicates(spark, docs, SF).collect()
+    assert sorted(((r["doc_id"], (r["text"] or "").split()[0]) for r in got), key=str) == [(7, "other"), (8, "a"), (None, "w0")]
+
+
 def test_queries_are_registered():
     numbers = sorted(int(n[2:].split("_")[0]) for n in QUERIES)
-    assert numbers == list(range(1, 11))
-    assert set(ORACLES) == {"op2_line_dedup", "op10_warc"}
+    assert numbers == list(range(1, 14))
+    assert set(ORACLES) == {"op2_line_dedup", "op10_warc", "op13_fill_in_middle"}
     assert line_dedup.MIN_WORDS == 50
 
 
