@@ -61,7 +61,7 @@ def test_awkward_and_empty_tables_pass_every_stage(spark):
             if name != "sentencepiece":
                 assert out.columns == docs.columns, name
                 if "n_lines" in docs.columns:
-                    assert {tuple(r) for r in out.select("n_lines", "n_removed", "root", "fp", "score").distinct().collect()} == \
+                    assert {tuple(r) for r in out.select("n_lines", "n_removed", "root", "fp", "score").distinct().collect()} <= \
                         {(77, "clash", "clash", "clash", "clash")}, name
             else:
                 assert out.count() == docs.count()
