@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fleetcraft.functions.joins import with_one_row
-from fleetcraft.operators import kmeans, prepare, profile, segment
+from fleetcraft.operators import kmeans, neighbours, prepare, profile, segment
 from fleetcraft.operators.silhouette import euclidean_silhouette
 from fleetcraft.plans.settings import CODES, EVENTS_15, REGIONS, fixtures, register
 from fleetcraft.plans.queries_mart import FEATURE_CTES, FEATURE_ROW_SQL, FEATURE_VIEWS, features_table
@@ -549,6 +549,49 @@ def score_new_load(spark, sf):
     return jobs.score_job(features_table(spark, sf), models)
 
 
+_UNIT_SQL = "round({} / " + "sqrt(" + " + ".join(f"{c} * {c}" for c in FEATS) + "), 12)"
+_GRAPH_CTES = [("unit", "SELECT driver_uuid, [" + ", ".join(_UNIT_SQL.format(c) for c in FEATS) + "] AS v FROM scaled WHERE "
+                + " AND ".join(f"{c} IS NOT NULL" for c in FEATS) + " AND " + " + ".join(f"{c} * {c}" for c in FEATS) + " > 0"),
+               ("dirs", "SELECT min(driver_uuid) AS id, v FROM unit GROUP BY v"),
+               ("apart", """SELECT a.id, b.id AS neighbour, round((1 - list_dot_product(a.v, b.v)) / 1e-12) * 1e-12 AS distance
+                    FROM dirs a JOIN dirs b ON a.id <> b.id"""),
+               ("ranked", """SELECT id, CAST(row_number() OVER (PARTITION BY id ORDER BY distance, neighbour) AS INTEGER) AS rank,
+                    neighbour, distance FROM apart""")]
+
+
+def _graph(spark, sf):
+    scaled = prepare.scale_minmax(seg_input_stored(spark, sf), FEATS)
+    return neighbours.neighbour_graph(neighbours.directions(scaled, "driver_uuid", FEATS))
+
+
+@register("neighbour_graph", _seg_sql("SELECT * FROM ranked WHERE rank <= 9", _GRAPH_CTES))
+def neighbour_graph(spark, sf):
+    """The nine nearest drivers of each by cosine distance, found by neighbour descent."""
+    return neighbours.edge_rows(_graph(spark, sf))
+
+
+@register("neighbour_recall", "SELECT true AS enough")
+def neighbour_recall(spark, sf):
+    """C2 measured: a fifth of the drivers against all, brute force in blocks."""
+    found = neighbours.recall(_graph(spark, sf), of=5)
+    return found.select((F.coalesce("recall", F.lit(1.0)) >= 0.9).alias("enough"))
+
+
+@register("embed_nonlinear")
+def embed_nonlinear(spark, sf):
+    """C1 in the non-linear form: a layout of the neighbour graph."""
+    return neighbours.layout(_graph(spark, sf)).select("id", "c1", "c2")
+
+
+@register("place_nonlinear")
+def place_nonlinear(spark, sf):
+    """The layout of the first regions' drivers, stored as landmarks, places every driver."""
+    scaled = prepare.scale_minmax(seg_input_stored(spark, sf), FEATS)
+    known = neighbours.directions(scaled.where(F.col("logistic_region").isin(*FIRST_REGIONS)), "driver_uuid", FEATS)
+    marks = tables.materialise(neighbours.landmarks(neighbours.layout(neighbours.neighbour_graph(known))), "landmarks")
+    return neighbours.place(neighbours.directions(scaled, "driver_uuid", FEATS), marks).select("id", "c1", "c2")
+
+
 def _parent_points(spark, sf, parent):
     """The embedded drivers of one segment: projection fitted on their rows, as the subsegments' fit does it."""
     data = seg_input_stored(spark, sf)
