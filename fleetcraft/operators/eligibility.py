@@ -111,14 +111,35 @@ class EligibilityParams:
 ZERO_FILLED = ("strikes", "seniority_days", "recharges", "days_with_recharges", "total_recharges")
 
 
-def latest_segment(segmentation: DataFrame) -> DataFrame:
-    """One segment per driver: the most recent ``segmentation_date``."""
-    return (segmentation.groupBy("driver_id")
-            .agg(F.max_by("segment", F.struct("segmentation_date", "segment")).alias("segmentation_def"),
-                 F.max_by("logistic_region", F.struct("segmentation_date", "segment")).alias("segment_region"),
+def latest_segment(segmentation: DataFrame, as_of: dt.date | None = None) -> DataFrame:
+    """One segment per driver: the most recent ``segmentation_date`` (B13), no later than the day ``as_of`` if given.
+
+    The latest date per driver is a hash aggregate of the raw rows; only the
+    rows of that date meet the choice among equals (the greatest name).
+    """
+    rows = segmentation if as_of is None else segmentation.where(F.to_date("segmentation_date") <= F.lit(as_of))
+    last = rows.groupBy("driver_id").agg(F.max("segmentation_date").alias("segmentation_date"))
+    place = F.struct("segment", "logistic_region")
+    return (rows.join(last, ["driver_id", "segmentation_date"]).groupBy("driver_id")
+            .agg(F.max_by("segment", place).alias("segmentation_def"), F.max_by("logistic_region", place).alias("segment_region"),
                  F.max("segmentation_date").alias("segmentation_date")))
 
 
+def segments_as_of(segmentation: DataFrame, run_dates: Sequence[dt.date]) -> DataFrame:
+    """R15 for several runs: per run date and driver the segment that was the latest on that day.
+
+    A row goes to each run that may see it, a bounded few; the latest date per
+    run and driver is a hash aggregate, so no history is sorted. A driver without
+    a segment by that day has no row.
+    """
+    runs = F.filter(F.array(*[F.lit(d) for d in run_dates]), lambda d: d >= F.to_date("segmentation_date"))
+    seen = segmentation.select("driver_id", "segmentation_date", "segment", "logistic_region", F.explode(runs).alias("run_date"))
+    last = seen.groupBy("run_date", "driver_id").agg(F.max("segmentation_date").alias("segmentation_date"))
+    place = F.struct("segment", "logistic_region")
+    return (seen.join(last, ["run_date", "driver_id", "segmentation_date"]).groupBy("run_date", "driver_id")
+            .agg(F.max_by("segment", place).alias("segmentation_def"), F.max("segmentation_date").alias("segmentation_date")))
+
+
 def worker_row(t, p: EligibilityParams) -> DataFrame:
     """One row per driver with orders in the window, all aggregates attached.
 
@@ -161,11 +182,11 @@ def apply_rules(workers: DataFrame, rule_set: RuleSet) -> DataFrame:
 
 def final_segments(segmentation: DataFrame, rules: DataFrame, run_date: dt.date,
                    suffix: str = "Prueba") -> DataFrame:
-    """Latest segment per driver, flagged and suffixed when finally selected.
+    """Latest segment per driver by the run date, flagged and suffixed when finally selected.
 
     A NULL segment gives a NULL ``segment_nb`` (``concat`` semantics, X2).
     """
-    seg = latest_segment(segmentation)
+    seg = latest_segment(segmentation, run_date)
     sel = rules.select("driver_id", F.col("final_setting").alias("selected"))
     nb = F.when(F.col("selected") == 1, F.lit(suffix)).otherwise(F.lit(""))
     return (seg.join(sel, "driver_id", "left")

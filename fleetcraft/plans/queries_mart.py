@@ -3,6 +3,10 @@ table, SQL checks, quality and geo (K9-K10, R8-R16, A18, S9, Q1-Q5, G1-G4)."""
 
 from __future__ import annotations
 
+import datetime as dt
+
+from pyspark.sql import functions as F
+
 
 from fleetcraft.operators import coverage as cov
 from fleetcraft.operators import eligibility as elig
@@ -354,6 +358,31 @@ def final_segments(spark, sf):
     return _final(spark, sf)
 
 
+_RUNS = (dt.date(2024, 1, 1), dt.date(2024, 1, 10), RUN_DATE, dt.date(2024, 2, 15))
+_HISTORY_SQL = """
+    SELECT driver_id, segment, TIMESTAMP '2024-01-05 00:00:00' AS segmentation_date FROM segmentation
+    UNION ALL SELECT driver_id, 'Bad', TIMESTAMP '2024-01-15 00:00:00' FROM segmentation WHERE driver_id % 3 = 0
+    UNION ALL SELECT driver_id, 'Engaged', TIMESTAMP '2024-02-10 00:00:00' FROM segmentation WHERE driver_id % 5 = 0"""
+
+
+@register("segments_as_of", with_views(["segmentation"], f"""
+    SELECT r.run_date, h.driver_id, arg_max(h.segment, (h.segmentation_date, h.segment)) AS segmentation_def,
+           max(h.segmentation_date) AS segmentation_date
+    FROM history h JOIN (VALUES {', '.join(f"(DATE '{d}')" for d in _RUNS)}) r(run_date)
+    ON CAST(h.segmentation_date AS DATE) <= r.run_date GROUP BY r.run_date, h.driver_id""", extra=[("history", _HISTORY_SQL)]))
+def segments_as_of(spark, sf):
+    """A history of three dates, one after the run, as several runs saw it."""
+    now = fixtures(spark, sf).segmentation()
+    dated = [("2024-01-05", F.col("segment"), F.lit(True)), ("2024-01-15", F.lit("Bad"), F.col("driver_id") % 3 == 0),
+             ("2024-02-10", F.lit("Engaged"), F.col("driver_id") % 5 == 0)]
+    history = None
+    for day, segment, there in dated:
+        part = now.where(there).select("driver_id", segment.alias("segment"), "logistic_region",
+                                       F.lit(day).cast("timestamp_ntz").alias("segmentation_date"))
+        history = part if history is None else history.unionByName(part)
+    return elig.segments_as_of(history, _RUNS)
+
+
 @register("selected_by_region", worker_sql("""
     SELECT logistic_region, CAST(sum(selected) AS BIGINT) AS selected_drivers FROM final
     WHERE selected = 1 GROUP BY logistic_region""", extra=[FINAL_CTE]))

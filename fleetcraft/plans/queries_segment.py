@@ -3,17 +3,19 @@ over the feature table, plus the write/read round trips (S3-S7)."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fleetcraft.functions.joins import with_one_row
-from fleetcraft.operators import kmeans, neighbours, prepare, profile, segment
+from fleetcraft.operators import activity, kmeans, neighbours, prepare, profile, quality, segment
 from fleetcraft.operators.silhouette import euclidean_silhouette
-from fleetcraft.plans.settings import CODES, EVENTS_15, REGIONS, fixtures, register
+from fleetcraft.plans.settings import CODES, EVENTS_15, REGIONS, RUN_DATE, fixtures, register
 from fleetcraft.plans.queries_mart import FEATURE_CTES, FEATURE_ROW_SQL, FEATURE_VIEWS, features_table
 from fleetcraft.plans.oracle_views import with_views
-from fleetcraft.sources import tables
+from fleetcraft.sources import publish, tables
 
 FEATS = segment.SEGMENT_FEATURES
 OUTL = segment.OUTLIER_FEATURES
@@ -435,6 +437,51 @@ def priority_stored(spark, sf):
         "driver_uuid", "subsegmentation", "priority")
 
 
+_ACTIVE = dict(gap_days=6, recent_days=20, strong_days=3)
+_ACTIVITY_CTES = [("days", f"""SELECT DISTINCT driver_uuid, date_partition AS d FROM deliveries
+        WHERE date_partition <= DATE '{RUN_DATE}' AND driver_uuid IS NOT NULL"""),
+    ("begun", f"""SELECT *, CASE WHEN d - lag(d) OVER w <= {_ACTIVE['gap_days']} THEN 0 ELSE 1 END AS begins
+        FROM days WINDOW w AS (PARTITION BY driver_uuid ORDER BY d)"""),
+    ("stretched", "SELECT *, sum(begins) OVER (PARTITION BY driver_uuid ORDER BY d) AS stretch FROM begun"),
+    ("stretches", "SELECT driver_uuid, stretch, min(d) AS b, count(*) AS n FROM stretched GROUP BY driver_uuid, stretch"),
+    ("activity", f"""SELECT driver_uuid, min(b) AS first_day, max(b) AS back_day, CAST(max(stretch) AS BIGINT) AS stretches,
+        arg_max(n, stretch) AS stretch_days,
+        CASE WHEN min(b) > DATE '{RUN_DATE}' - {_ACTIVE['recent_days']} THEN 'new'
+             WHEN max(stretch) > 1 AND max(b) > DATE '{RUN_DATE}' - {_ACTIVE['recent_days']}
+             THEN CASE WHEN arg_max(n, stretch) >= {_ACTIVE['strong_days']} THEN 'reactivated_strong' ELSE 'reactivated_weak' END
+             ELSE 'regular' END AS status FROM stretches GROUP BY driver_uuid""")]
+
+
+def _activity(spark, sf):
+    return activity.activity_status(fixtures(spark, sf).deliveries(), RUN_DATE, **_ACTIVE)
+
+
+@register("activity_status", with_views(["deliveries"], "SELECT * FROM activity", extra=_ACTIVITY_CTES))
+def activity_status(spark, sf):
+    """C11: new and reactivated drivers by the gaps between their active days."""
+    return _activity(spark, sf)
+
+
+def _order_sql(column, order):
+    return f"CASE {column} " + " ".join(f"WHEN '{n}' THEN {k}" for n, k in order.items()) + " END"
+
+
+@register("priority_with_activity", _seg_sql(f"""
+    SELECT driver_uuid, t.subsegmentation, a.status,
+           coalesce({_order_sql('a.status', activity.FIRST_STATUS)}, {_order_sql('t.subsegmentation', activity.FIRST_ORDER)}) AS priority
+    FROM stored_sub t FULL JOIN activity a USING (driver_uuid)""", STORED_CTES + _ACTIVITY_CTES))
+def priority_with_activity(spark, sf):
+    """C11: the calling order with new and reactivated drivers."""
+    return activity.prioritise(_score_job(spark, sf), _activity(spark, sf))
+
+
+@register("priority_second_order", _seg_sql(f"""
+    SELECT driver_uuid, subsegmentation, {_order_sql('subsegmentation', activity.SECOND_ORDER)} AS priority FROM stored_sub""",
+                                            STORED_CTES))
+def priority_second_order(spark, sf):
+    return activity.prioritise(_score_job(spark, sf), order=activity.SECOND_ORDER)
+
+
 @register("subsegment_sizes_stored", _seg_sql(
     "SELECT subsegmentation, count(*) AS count FROM stored_sub GROUP BY subsegmentation", STORED_CTES))
 def subsegment_sizes_stored(spark, sf):
@@ -723,6 +770,23 @@ def partitioned_write_roundtrip(spark, sf):
     return spark.read.parquet(path)
 
 
+@register("catalog_publish", _feat_sql("SELECT * FROM features"))
+def catalog_publish(spark, sf):
+    """A version that passes its gate is published, a later one with a repeated key is refused and nobody sees it."""
+    data = tables.materialise(features_table(spark, sf), "features")
+    name = f"features_{uuid.uuid4().hex[:8]}"
+
+    def audit(df):
+        return quality.gate(quality.quality_report(df, name, unique_key="driver_uuid"))
+
+    publish.publish(data, name, audit)
+    try:
+        publish.publish(data.unionByName(data), name, audit)
+    except RuntimeError:
+        return spark.table(name)
+    raise AssertionError("a repeated key passed the gate")
+
+
 @register("materialise_roundtrip", _feat_sql("SELECT * FROM features"))
 def materialise_roundtrip(spark, sf):
     return tables.materialise(features_table(spark, sf), "features")
