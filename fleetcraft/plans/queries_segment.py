@@ -697,7 +697,7 @@ def kmeans_facts(spark, sf):
     centers = segment.cluster_centers(fit, spark).select("label", F.col("c1").alias("x"), F.col("c2").alias("y"))
     met = labelled.join(F.broadcast(centers), F.col("segmentation") == F.col("label"))
     away = (F.col("c1") - F.col("x")) ** 2 + (F.col("c2") - F.col("y")) ** 2
-    least = F.least(*[(F.col("c1") - x) ** 2 + (F.col("c2") - y) ** 2 for x, y in fit.centers])
+    least = F.array_min(F.array(*[(F.col("c1") - x) ** 2 + (F.col("c2") - y) ** 2 for x, y in fit.centers]))
     rows = met.select("label", "x", "y", "c1", "c2", away.alias("d"), least.alias("least"))
     per = rows.groupBy("label", "x", "y").agg(F.avg("c1").alias("mx"), F.avg("c2").alias("my"), F.sum("d").alias("d"),
                                               F.max(F.col("d") - F.col("least")).alias("over"), F.count(F.lit(1)).alias("n"))
