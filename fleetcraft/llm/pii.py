@@ -1,23 +1,29 @@
 """Personal data: pattern spans, and terms that give protected entities away.
 
 Four patterns find emails, IP addresses, card and phone numbers. Each value
-found is a protected entity c. A text is read as consecutive blocks of
-``BLOCK`` words; over all blocks of the corpus, a term t tells of c
-
-    disclosure(c, t) = PMI(c, t) / IC(c),
-    PMI = log(N n_ct / (n_c n_t)),  IC = log(N / n_c),
-
-which is 1 if the term appears only with the entity. All four count different
-blocks (entities blanked out), so copies of a passage are one observation. A
-term seen with an entity in ``SUPPORT`` different blocks or more
-is generalised where its disclosure reaches ``GENERALISE`` and removed where it
-reaches ``REMOVE``, in every text that holds both in one block.
-
-Entities and their neighbours are rare; only they are joined. For N and n_t the
-corpus is read once more through a bit table of fixed size that holds the
-hashes of candidate terms: a row per block, its hash and its candidate terms,
-is grouped by hash, copies combining on the map side; other words never leave a
-task. Pairs of hot entities combine on the map side, counted in two steps.
+found is a protected entity, and so is the part of it that many share (an
+email's domain, the first three numbers of an address, the first six digits of
+the others), over which rare values are pooled. A text is read as consecutive
+blocks of ``BLOCK`` words; a term t stands near an entity c if at most half as
+many words lie between them. Over the different blocks of the corpus (entities
+blanked out, so copies of a passage are one observation), N in number, n_c of
+which hold c, n_t hold t and n_ct hold t near c, a term tells of c
+
+    disclosure(c, t) = log(p N / n_c) / log(N / n_c),
+
+the pointwise mutual information over the information content of c, where p is
+the lower Wilson bound of n_ct / n_t at ``Z`` standard errors: a term that
+appears only with c comes the closer to 1 the more often it was seen, and no
+count of observations is required. A term is generalised where its disclosure
+reaches ``GENERALISE`` and removed where it reaches ``REMOVE``, everywhere in
+every text that holds the entity.
+
+Entities and their neighbours are rare; only they are joined. The disclosure
+falls with n_t, so a term too common in one block of ``SAMPLE`` (chosen by
+content hash; its count there cannot exceed n_t) is known to be harmless. For
+the others the corpus is read once more through a bit table that holds the
+hashes of these terms: a row per block, its hash and such terms, is grouped by
+hash, copies combining on the map side; other words never leave a task.
 
 Defined results: null text is empty and has no spans; null ids keep their row;
 rows with the same id and text are alike; an empty table gives an empty result;
@@ -41,12 +47,12 @@ from fleetcraft.llm.common import map_bytes, store, utf8
 
 KINDS = ("email", "ip", "card", "phone", "generalise", "remove")
 BASE = KINDS[:4]
-#: Words of a block, different blocks that a pair needs, and the two thresholds.
-BLOCK, SUPPORT, GENERALISE, REMOVE = 20, 3, 0.8, 0.95
-#: Shortest term that is looked at.
-LEAST_TERM = 3
-#: Bits of the table of candidate terms; a fuller table lets more words through, never fewer.
-FILTER_BITS = 1 << 20
+#: Words of a block, standard errors of the bound, and the two thresholds.
+BLOCK, Z, GENERALISE, REMOVE = 20, 1.645, 0.8, 0.95
+#: One block in so many gives the first, lower bound of a term's count.
+SAMPLE = 16
+#: Bits of the table of candidate terms: sixteen a term within these; a fuller table lets more words through, never fewer.
+LEAST_BITS, MOST_BITS = 1 << 20, 1 << 27
 _EMAIL_LEFT = re.compile(r"[A-Za-z0-9._%+-]")
 _EMAIL_RIGHT = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]+)+")
 # a match starts where its run of digits does: from within the run it would go on alike
@@ -120,61 +126,116 @@ def _blank(text: str, spans: dict[str, list[tuple[int, int]]]) -> str:
 
 
 def terms_of(piece: str) -> set[str]:
-    return {t for t in _TERM.findall(piece.lower()) if len(t) >= LEAST_TERM}
+    return set(_TERM.findall(piece.lower()))
+
+
+def part_of(kind: str, value: str) -> str:
+    """What an entity shares with others of its kind: a domain, a network, an issuer or an exchange."""
+    if kind == "email":
+        return value[value.index("@") + 1:].lower()
+    if kind == "ip":
+        return value[:value.rindex(".")]
+    return "".join(c for c in value if c.isdigit())[:6]
+
+
+def _near(text: str, blank: str, spans: dict[str, list[tuple[int, int]]]) -> list[dict]:
+    """For each entity and its part, each block around it: is it the entity's own, and the terms near it there."""
+    words = [m.span() for m in _WORD.finditer(text)]
+    starts = np.array([w[0] for w in words])
+    hashes: dict[int, int] = {}
+    out = []
+    for kind in BASE:
+        for a, b in spans[kind]:
+            first = int(np.searchsorted(starts, a, "right")) - 1
+            last = int(np.searchsorted(starts, b, "left")) - 1
+            low, high = max(first - BLOCK // 2, 0), min(last + BLOCK // 2 + 1, len(words))
+            for k in range(low // BLOCK, (high - 1) // BLOCK + 1):
+                here = words[k * BLOCK:(k + 1) * BLOCK]
+                if k not in hashes:
+                    hashes[k] = _hash(blank[here[0][0]:here[-1][1]])
+                piece = blank[words[max(low, k * BLOCK)][0]:words[min(high, (k + 1) * BLOCK) - 1][1]]
+                terms = sorted(terms_of(piece))
+                for entity in (f"{kind}:{text[a:b]}", f"{kind} part:{part_of(kind, text[a:b])}"):
+                    out.append({"entity": _hash(entity), "home": k == first // BLOCK, "block": hashes[k],
+                                "terms": terms})
+    return out
 
 
 def describe(raw: bytes) -> tuple:
-    """Counts and spans of one text, its blocks, and what stands beside each entity: (entity, block, terms)."""
+    """Counts and spans of one text, its blocks and those in the sample, what stands near its entities, its terms."""
     text = raw.decode("utf-8", "replace")
     spans = base_spans(text)
-    near = []
-    if any(spans.values()):
-        words = [m.span() for m in _WORD.finditer(text)]
-        n_blocks = -(-len(words) // BLOCK)
-        starts = np.array([w[0] for w in words])
-        blank = _blank(text, spans)
-        for kind in BASE:
-            for a, b in spans[kind]:
-                k = (int(np.searchsorted(starts, a, "right")) - 1) // BLOCK
-                here = words[k * BLOCK:(k + 1) * BLOCK]
-                piece = blank[here[0][0]:here[-1][1]]
-                near.append({"entity": _hash(f"{kind}:{text[a:b]}"), "block": _hash(piece),
-                             "terms": sorted(terms_of(piece))})
-    else:
-        n_blocks = -(-len(raw.split()) // BLOCK)
+    held = any(spans.values())
+    # entities are no terms: they are blanked everywhere
+    blank = _blank(text, spans) if held else text
+    n_blocks, sampled = 0, []
+    for m in _PIECE.finditer(text):
+        n_blocks += 1
+        piece = blank[m.start():m.end()]
+        if (block := _hash(piece)) % SAMPLE == 0:
+            sampled.append({"block": block, "terms": sorted(terms_of(piece))})
     base = joined(spans)
-    return (*(len(spans[k]) for k in BASE), base, hashlib.sha256(base.encode()).hexdigest(), n_blocks, near)
+    return (*(len(spans[k]) for k in BASE), base, hashlib.sha256(base.encode()).hexdigest(), n_blocks, sampled,
+            _near(text, blank, spans) if held else [], sorted(terms_of(blank)) if held else [])
+
+
+_TERMS = T.StructField("terms", T.ArrayType(T.StringType()))
+#: What describe() returns.
+FIELDS = T.StructType([
+    *(T.StructField(f"n_{k}", T.LongType()) for k in BASE), T.StructField("base", T.StringType()),
+    T.StructField("base_sha256", T.StringType()), T.StructField("n_blocks", T.LongType()),
+    T.StructField("sampled", T.ArrayType(T.StructType([T.StructField("block", T.LongType()), _TERMS]))),
+    T.StructField("near", T.ArrayType(T.StructType([
+        T.StructField("entity", T.LongType()), T.StructField("home", T.BooleanType()),
+        T.StructField("block", T.LongType()), _TERMS]))),
+    _TERMS])
+
+
+def _bit_table(terms: DataFrame) -> np.ndarray:
+    """The hashes of terms as packed bits; the driver sees bits, a row for each 65,536 of them."""
+    n_bits = LEAST_BITS
+    wanted = 16 * terms.count()
+    while n_bits < min(wanted, MOST_BITS):
+        n_bits *= 2
 
+    def bit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = sorted({_hash(t) % n_bits for t in batch.column(0).to_pylist()})
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32())], ["bit"])
 
-_NEAR = T.ArrayType(T.StructType([T.StructField("entity", T.LongType()), T.StructField("block", T.LongType()),
-                                  T.StructField("terms", T.ArrayType(T.StringType()))]))
+    bits = np.zeros(n_bits, dtype=bool)
+    chunks = (terms.mapInArrow(bit, "bit int").groupBy(F.shiftright("bit", 16).alias("chunk"))
+              .agg(F.collect_set(F.col("bit").bitwiseAND(0xFFFF)).alias("low")))
+    for row in chunks.toLocalIterator():
+        bits[(row["chunk"] << 16) + np.array(row["low"])] = True
+    return np.packbits(bits, bitorder="little")
 
 
 def _term_counts(docs: DataFrame, text_col: str, bits: np.ndarray) -> DataFrame:
     """``term, n_t``: different blocks that hold a term, for terms whose bit is set; all blocks hold the term ''."""
-    table = docs.sparkSession.sparkContext.broadcast(np.packbits(bits))
+    table = docs.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = np.unpackbits(table.value)
+        wanted = table.value
         known: dict[str, bool] = {}
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
                 found: dict[int, str] = {}
                 for raw in batch.column(0).slice(start, 256):
                     text = raw.as_py().decode("utf-8", "replace")
-                    # entities are no terms: they are blanked as they are for the pairs
                     blank = _blank(text, base_spans(text))
                     for m in _PIECE.finditer(text):
                         piece = blank[m.start():m.end()]
                         block = _hash(piece)
                         if block in found:
                             continue
-                        words = set(_TERM.findall(piece.lower()))
+                        words = terms_of(piece)
                         if len(known) > 300_000:
                             known.clear()
                         for w in words:
                             if w not in known:
-                                known[w] = len(w) >= LEAST_TERM and bool(wanted[_hash(w) % FILTER_BITS])
+                                at = _hash(w) % (8 * len(wanted))
+                                known[w] = bool(wanted[at >> 3] >> (at & 7) & 1)
                         found[block] = " ".join(["", *sorted(w for w in words if known[w])])
                 yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.string())],
                                                  ["block", "terms"])
@@ -186,50 +247,54 @@ def _term_counts(docs: DataFrame, text_col: str, bits: np.ndarray) -> DataFrame:
             .agg(F.count("*").alias("n_t")))
 
 
-def disclosures(described: DataFrame, docs: DataFrame, text_col: str = "text", support: int = SUPPORT) -> DataFrame:
-    """``entity, term, n_c, n_t, n_ct, disclosure`` of every pair with enough support."""
-    near = described.select(F.explode("near").alias("x")).select("x.*")
-    blocks = near.select("entity", "block").distinct().groupBy("entity").agg(F.count("*").alias("n_c"))
-    pairs = near.select("entity", "block", F.explode("terms").alias("term")).distinct()
-    pairs = store(pairs.groupBy("entity", "term").agg(F.count("*").alias("n_ct")).where(F.col("n_ct") >= support),
-                  "disclosure-pairs")
+def _disclosure(n: float, n_c, n_t, n_ct) -> F.Column:
+    """The share of an entity's information that a term gives, from below."""
+    p, zz = n_ct / n_t, Z * Z
+    low = (p + zz / (2 * n_t) - Z * F.sqrt(p * (1 - p) / n_t + zz / (4 * n_t * n_t))) / (1 + zz / n_t)
+    return F.when((n_c < n) & (low > 0), 1 + F.log(low) / F.log(F.lit(float(n)) / n_c)).otherwise(0.0)
 
-    def bit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = sorted({_hash(t) % FILTER_BITS for t in batch.column(0).to_pylist()})
-            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32())], ["bit"])
 
-    # at most FILTER_BITS small integers, however many terms there are
-    bits = np.zeros(FILTER_BITS, dtype=np.uint8)
-    for row in pairs.select("term").distinct().mapInArrow(bit, "bit int").distinct().toLocalIterator():
-        bits[row["bit"]] = 1
-    if not bits.any():
-        return pairs.select("entity", "term", F.lit(0).cast("long").alias("n_c"), F.lit(0).cast("long").alias("n_t"),
-                            "n_ct", F.lit(0.0).alias("disclosure"))
-    counts = store(_term_counts(docs, text_col, bits), "term-counts")
+def disclosures(described: DataFrame, docs: DataFrame, text_col: str = "text", least: float = GENERALISE) -> DataFrame:
+    """``entity, term, n_c, n_t, n_ct, disclosure`` of every pair whose disclosure reaches ``least`` (above 0)."""
+    near = described.select(F.explode("near").alias("x")).select("x.*")
+    blocks = near.where("home").select("entity", "block").distinct().groupBy("entity").agg(F.count("*").alias("n_c"))
+    pairs = near.select("entity", "block", F.explode("terms").alias("term")).distinct()
+    pairs = pairs.groupBy("entity", "term").agg(F.count("*").alias("n_ct")).join(blocks, "entity")
+    seen = (described.select(F.explode("sampled").alias("x")).select("x.*").groupBy("block")
+            .agg(F.first("terms").alias("terms")).select(F.explode("terms").alias("term")).groupBy("term")
+            .agg(F.count("*").alias("n_seen")))
+    # copies included, the blocks are at least N: together with the least n_t this bounds the disclosure from above
+    most = described.agg(F.sum("n_blocks")).first()[0] or 0
+    bound = _disclosure(most, F.col("n_c"), F.greatest("n_ct", F.coalesce("n_seen", F.lit(0))), F.col("n_ct"))
+    pairs = store(pairs.join(seen, "term", "left").where(bound >= least).drop("n_seen"), "disclosure-pairs")
+    terms = pairs.select("term").distinct()
+    if terms.isEmpty():
+        return pairs.select("entity", "term", "n_c", F.lit(0).cast("long").alias("n_t"), "n_ct",
+                            F.lit(0.0).alias("disclosure"))
+    counts = store(_term_counts(docs, text_col, _bit_table(terms)), "term-counts")
     total = counts.where("term = ''").first()["n_t"]
-    met = pairs.join(blocks, "entity").join(counts, "term")
-    n = F.lit(float(total))
-    pmi = F.log(n * F.col("n_ct") / (F.col("n_c") * F.col("n_t")))
-    return met.select("entity", "term", "n_c", "n_t", "n_ct",
-                      F.when(F.col("n_c") < n, pmi / F.log(n / F.col("n_c"))).otherwise(0.0).alias("disclosure"))
+    told = _disclosure(total, F.col("n_c"), F.col("n_t"), F.col("n_ct"))
+    return (pairs.join(counts, "term").select("entity", "term", "n_c", "n_t", "n_ct", told.alias("disclosure"))
+            .where(F.col("disclosure") >= least))
 
 
-def find_personal(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: int = SUPPORT,
-                  generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
+def find_personal(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", generalise: float = GENERALISE,
+                  remove: float = REMOVE) -> DataFrame:
     """``doc_id, text_hash, n_email, n_ip, n_card, n_phone, base, base_sha256, spans`` per document."""
     keyed = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"),
                         F.xxhash64(utf8(text_col)).alias("text_hash"))
-    fields = T.StructType([*(T.StructField(f"n_{k}", T.LongType()) for k in BASE), T.StructField("base", T.StringType()),
-                           T.StructField("base_sha256", T.StringType()), T.StructField("n_blocks", T.LongType()),
-                           T.StructField("near", _NEAR)])
-    described = store(map_bytes(keyed, "text", ["doc_id", "text_hash"], fields, lambda: describe), "personal")
-    told = disclosures(described, docs, text_col, support).where(F.col("disclosure") >= generalise).select(
+    described = store(map_bytes(keyed, "text", ["doc_id", "text_hash"], FIELDS, lambda: describe), "personal")
+    told = disclosures(described, docs, text_col, generalise).select(
         "entity", "term", F.when(F.col("disclosure") >= remove, "remove").otherwise("generalise").alias("action"))
     told = store(told, "disclosing-terms")
-    near = (described.where(F.size("near") > 0).select("doc_id", "text_hash", F.explode("near").alias("x"))
-            .select("doc_id", "text_hash", "x.entity", F.explode("x.terms").alias("term")))
-    marked = (near.join(told, ["entity", "term"]).groupBy("doc_id", "text_hash", "term")
+    # a term tells of few entities (it is seldom seen without them), so texts meet them by their terms first
+    held = described.where(F.size("near") > 0)
+    met = held.select("doc_id", "text_hash", F.explode("terms").alias("term")).join(told, "term")
+    owns = held.select("doc_id", "text_hash", F.explode("near.entity").alias("entity")).distinct()
+    alike = (F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.text_hash") == F.col("b.text_hash"))
+             & (F.col("a.entity") == F.col("b.entity")))
+    marked = (met.alias("a").join(owns.alias("b"), alike, "left_semi")
+              .groupBy("doc_id", "text_hash", "term")
               .agg(F.max("action").alias("action")).groupBy("doc_id", "text_hash")
               .agg(F.map_from_entries(F.collect_set(F.struct("term", "action"))).alias("marked")))
     marked = store(marked, "marked-terms")
