@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fleetcraft.functions.joins import with_one_row
-from fleetcraft.operators import activity, kmeans, neighbours, prepare, profile, quality, segment
+from fleetcraft.operators import activity, kmeans, neighbours, prepare, profile, quality, segment, trees
 from fleetcraft.operators.silhouette import euclidean_silhouette
 from fleetcraft.plans.settings import CODES, EVENTS_15, REGIONS, RUN_DATE, fixtures, register
 from fleetcraft.plans.queries_mart import FEATURE_CTES, FEATURE_ROW_SQL, FEATURE_VIEWS, features_table
@@ -740,6 +740,39 @@ def feature_importance(spark, sf):
                                       .drop(*[c for c in ("c1", "c2")]))
 
 
+@register("extra_trees_importance")
+def extra_trees_importance(spark, sf):
+    model, top = _top(spark, sf)
+    splits = trees.fit_extra_trees(top.join(seg_input_stored(spark, sf), "driver_uuid").drop("c1", "c2"), FEATS, "segmentation")
+    return trees.importance(spark, splits, FEATS)
+
+
+_ROOT_LONG = " UNION ALL ".join(f"SELECT '{c}' AS feature, logistic_region AS y, {c}::DOUBLE AS v FROM features" for c in FEATS)
+
+
+@register("extra_trees_roots", _feat_sql("""
+    SELECT tree, 1 AS node, feature, round(cut, 6) AS threshold, n::BIGINT AS n, n_left::BIGINT AS n_left,
+           round(gini - (n_left * gini_left + (n - n_left) * gini_right) / n, 9) AS gain FROM sides
+    QUALIFY row_number() OVER (PARTITION BY tree ORDER BY gini - (n_left * gini_left + (n - n_left) * gini_right) / n DESC, pick) = 1
+    """, extra=[
+    ("long", _ROOT_LONG),
+    ("ranges", "SELECT feature, min(v) AS low, max(v) AS high FROM long GROUP BY feature"),
+    ("drawn", """SELECT r.range::INTEGER AS tree, feature, low, high,
+        low + ('0x' || md5('42:' || r.range || ':1:' || feature || ':at')[1:8])::BIGINT / 4294967296::DOUBLE * (high - low) AS x,
+        row_number() OVER (PARTITION BY r.range ORDER BY md5('42:' || r.range || ':1:' || feature || ':pick')) AS pick
+        FROM range(100) r, ranges WHERE high > low"""),
+    ("tried", "SELECT *, CASE WHEN x < high THEN x ELSE low END AS cut FROM drawn WHERE pick <= 2"),
+    ("classes", """SELECT tree, feature, pick, cut, y, count(*)::DOUBLE AS n, (count(*) FILTER (v <= cut))::DOUBLE AS l
+        FROM tried JOIN long USING (feature) GROUP BY ALL"""),
+    ("sides", """SELECT tree, feature, pick, cut, sum(n) AS n, sum(l) AS n_left, 1 - sum(n * n) / (sum(n) * sum(n)) AS gini,
+        1 - sum(l * l) / (sum(l) * sum(l)) AS gini_left,
+        1 - sum((n - l) * (n - l)) / (sum(n - l) * sum(n - l)) AS gini_right FROM classes GROUP BY ALL""")]))
+def extra_trees_roots(spark, sf):
+    """The first split of each of 100 trees that tell regions apart."""
+    splits = trees.fit_extra_trees(features_table(spark, sf), FEATS, "logistic_region", depth=1)
+    return trees.splits_table(spark, splits).withColumns({"threshold": F.round("threshold", 6), "gain": F.round("gain", 9)})
+
+
 # ---------------------------------------------------------------------------
 # Round trips through storage
 # ---------------------------------------------------------------------------
