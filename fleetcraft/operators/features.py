@@ -326,9 +326,13 @@ def utr(daily: DataFrame, facts: DataFrame, key: str = "driver_uuid") -> DataFra
     deliveries has a NULL ratio and is left out of the mean. Both sides are
     aggregated on (driver, day) so the join is co-partitioned.
     """
+    return utr_of_days(daily, facts.groupBy(key, "date_partition").agg(
+        F.count_distinct("order_delivery_uuid").alias("deliveries")), key)
+
+
+def utr_of_days(daily: DataFrame, per_day: DataFrame, key: str = "driver_uuid") -> DataFrame:
+    """K6 from the different deliveries of each driver and day."""
     hours = daily.where(F.col("positive_intervals") > 0).select(key, "date_partition", "positive_hours")
-    per_day = facts.groupBy(key, "date_partition").agg(
-        F.count_distinct("order_delivery_uuid").alias("deliveries"))
     return (hours.join(per_day, [key, "date_partition"], "left")
             .groupBy(key)
             .agg(F.avg(ratio("deliveries", "positive_hours")).alias("avg_daily_utr")))

@@ -98,6 +98,11 @@ def feature_row(t, p: FeatureParams, store: bool = True) -> DataFrame:
     joined = joined_features(t, p, store)
     if store:
         joined = materialise(joined, "joined-features")
+    return finish_row(joined, t, p)
+
+
+def finish_row(joined: DataFrame, t, p: FeatureParams) -> DataFrame:
+    """The joined features filled, stamped and with new-driver attributes."""
     row = zero_fill(joined, ZERO_FILLED)
     row = fill_with_mean(row, MEAN_FILLED)
     row = row.withColumn("date_partition", F.lit(p.windows.end)).na.drop()

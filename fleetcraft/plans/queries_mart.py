@@ -4,14 +4,16 @@ table, SQL checks, quality and geo (K9-K10, R8-R16, A18, S9, Q1-Q5, G1-G4)."""
 from __future__ import annotations
 
 import datetime as dt
+from dataclasses import replace
 
 from pyspark.sql import functions as F
 
 
+from fleetcraft.functions.period import Period
 from fleetcraft.operators import coverage as cov
 from fleetcraft.operators import eligibility as elig
 from fleetcraft.operators import geo, quality
-from fleetcraft.plans import feature_mart
+from fleetcraft.plans import daily_mart, feature_mart
 from fleetcraft.plans.settings import (ELIGIBILITY, EVENTS_15, EVENTS_30, FEATURE_END, FEATURES, ORDERS_WINDOW,
                                         RECHARGE_CAUSES, REGIONS, RULES_ACTIVE, RULES_ALTERNATE, RUN_DATE,
                                         SENIORITY_AS_OF, STRIKE_EXCLUDED, CODES, NEW_DRIVER_AS_OF,
@@ -143,6 +145,17 @@ def feature_row(spark, sf):
     return feature_mart.feature_row(fixtures(spark, sf), FEATURES)
 
 
+@register("feature_row_incremental", with_views(FEATURE_VIEWS, FEATURE_ROW_SQL, extra=FEATURE_CTES))
+def feature_row_incremental(spark, sf):
+    """The feature row from stored days: an earlier run's window, then only the days it lacked."""
+    from fleetcraft.sources.tables import scratch_path
+    t, store = fixtures(spark, sf), daily_mart.DayStore(spark, scratch_path(spark, "day-store"))
+    earlier = Period.before(FEATURE_END, 15)
+    store.update(t, replace(FEATURES, windows=replace(FEATURES.windows, deliveries=earlier, supply=earlier)))
+    store.update(t, FEATURES)
+    return daily_mart.feature_row(t, FEATURES, store)
+
+
 def features_table(spark, sf):
     """The feature row as a stored table, for consumers that make several passes."""
     from fleetcraft.sources.tables import materialise
