@@ -15,7 +15,7 @@ from fleetcraft.operators.silhouette import euclidean_silhouette
 from fleetcraft.plans.settings import CODES, EVENTS_15, REGIONS, RUN_DATE, fixtures, register
 from fleetcraft.plans.queries_mart import FEATURE_CTES, FEATURE_ROW_SQL, FEATURE_VIEWS, features_table
 from fleetcraft.plans.oracle_views import with_views
-from fleetcraft.sources import publish, tables
+from fleetcraft.sources import publish, tables, workbooks
 
 FEATS = segment.SEGMENT_FEATURES
 OUTL = segment.OUTLIER_FEATURES
@@ -796,6 +796,14 @@ def csv_roundtrip(spark, sf):
     return tables.check_schema(tables.read_csv(spark, path, FEATURE_SCHEMA), FEATURE_SCHEMA)
 
 
+@register("workbook_roundtrip", _feat_sql("SELECT * FROM features"))
+def workbook_roundtrip(spark, sf):
+    """Workbooks of each region, read back with the declared schema."""
+    path = tables.scratch_path(spark, "features-workbooks")
+    workbooks.write_workbooks(features_table(spark, sf), path)
+    return workbooks.read_workbooks(spark, path, FEATURE_SCHEMA)
+
+
 @register("partitioned_write_roundtrip", _feat_sql("SELECT * FROM features"))
 def partitioned_write_roundtrip(spark, sf):
     path = tables.scratch_path(spark, "features-by-date")
