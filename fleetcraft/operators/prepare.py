@@ -152,6 +152,11 @@ def update_registry(registry: DataFrame | None, df: DataFrame, features: Sequenc
     return registry.unionByName(fit(fresh, features, group))
 
 
+def unknown_groups(registry: DataFrame, df: DataFrame, group: str = "logistic_region") -> DataFrame:
+    """The groups of the data that a registry does not know, each once, in order."""
+    return df.select(group).where(F.col(group).isNotNull()).distinct().join(registry.select(group), group, "left_anti").orderBy(group)
+
+
 # ---------------------------------------------------------------------------
 # Dedup
 # ---------------------------------------------------------------------------

@@ -3,6 +3,7 @@ over the feature table, plus the write/read round trips (S3-S7)."""
 
 from __future__ import annotations
 
+import os
 import uuid
 
 from pyspark.sql import Window
@@ -13,7 +14,7 @@ from fleetcraft.functions.joins import with_one_row
 from fleetcraft.operators import activity, kmeans, neighbours, prepare, profile, quality, segment, trees
 from fleetcraft.operators.silhouette import euclidean_silhouette
 from fleetcraft.plans.settings import CODES, EVENTS_15, REGIONS, RUN_DATE, fixtures, register
-from fleetcraft.plans.queries_mart import FEATURE_CTES, FEATURE_ROW_SQL, FEATURE_VIEWS, features_table
+from fleetcraft.plans.queries_mart import FEATURE_CTES, FEATURE_ROW_SQL, FEATURE_VIEWS, feature_row as feature_mart_row, features_table
 from fleetcraft.plans.oracle_views import with_views
 from fleetcraft.sources import publish, tables, workbooks
 
@@ -773,6 +774,29 @@ def extra_trees_roots(spark, sf):
     return trees.splits_table(spark, splits).withColumns({"threshold": F.round("threshold", 6), "gain": F.round("gain", 9)})
 
 
+@register("unknown_regions", _feat_sql(f"""
+    SELECT DISTINCT logistic_region FROM features
+    WHERE logistic_region NOT IN ({", ".join(f"'{r}'" for r in FIRST_REGIONS)})"""))
+def unknown_regions(spark, sf):
+    """Regions of a fresh load that the scaler registry of an earlier one lacks."""
+    data = features_table(spark, sf)
+    registry = prepare.fit_minmax(data.where(F.col("logistic_region").isin(*FIRST_REGIONS)), FEATS)
+    # the earlier load knew all first regions, also those without a driver now
+    known = registry.select("logistic_region").unionByName(
+        spark.createDataFrame([(r,) for r in FIRST_REGIONS], "logistic_region string")).distinct()
+    return prepare.unknown_groups(known, data)
+
+
+@register("top_recharged", _feat_sql("""
+    SELECT driver_uuid, logistic_region, qty_recharge FROM features
+    ORDER BY qty_recharge DESC, driver_uuid, logistic_region LIMIT 10"""))
+def top_recharged(spark, sf):
+    """O3: the ten drivers with most recharges."""
+    data = feature_mart_row(spark, sf)
+    return (data.orderBy(F.desc("qty_recharge"), "driver_uuid", "logistic_region").limit(10)
+            .select("driver_uuid", "logistic_region", "qty_recharge"))
+
+
 # ---------------------------------------------------------------------------
 # Round trips through storage
 # ---------------------------------------------------------------------------
@@ -796,6 +820,15 @@ def csv_roundtrip(spark, sf):
     return tables.check_schema(tables.read_csv(spark, path, FEATURE_SCHEMA), FEATURE_SCHEMA)
 
 
+@register("orders_with_options", """
+    SELECT o_orderstatus, count(*) AS orders FROM orders WHERE o_orderdate >= DATE '1995-01-01' GROUP BY o_orderstatus""")
+def orders_with_options(spark, sf):
+    """Reader options and a constant filter that reaches the scan."""
+    orders = tables.load_with_options(spark, os.path.join(sf, "orders.parquet"), "parquet", {"mergeSchema": "true"},
+                                      "o_orderdate >= DATE '1995-01-01'")
+    return orders.groupBy("o_orderstatus").agg(F.count("*").alias("orders"))
+
+
 @register("workbook_roundtrip", _feat_sql("SELECT * FROM features"))
 def workbook_roundtrip(spark, sf):
     """Workbooks of each region, read back with the declared schema."""

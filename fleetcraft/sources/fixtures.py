@@ -258,4 +258,32 @@ SCHEMAS: dict[str, T.StructType] = {
     "coordinates": T.StructType([
         T.StructField("id", T.LongType()), T.StructField("latitud", T.DoubleType()),
         T.StructField("longitud", T.DoubleType())]),
+    "accounts": T.StructType([
+        T.StructField("driver_id", T.LongType()), T.StructField("driver_uuid", T.StringType()),
+        T.StructField("tenant", T.StringType()), T.StructField("logistic_region", T.StringType())]),
+    "workers": T.StructType([
+        T.StructField("driver_id", T.LongType()), T.StructField("driver_uuid", T.StringType())]),
+    "segmentation": T.StructType([
+        T.StructField("driver_id", T.LongType()), T.StructField("segment", T.StringType()),
+        T.StructField("segmentation_date", T.TimestampNTZType()), T.StructField("logistic_region", T.StringType())]),
+    "worker_registration": T.StructType([
+        T.StructField("worker_id", T.LongType()), T.StructField("worker_state", T.StringType()),
+        T.StructField("registration_approval_timestamp", T.TimestampNTZType()),
+        T.StructField("logistic_region", T.StringType())]),
+    "wallet_streak": T.StructType([
+        T.StructField("driver_id", T.LongType()), T.StructField("date_partition", T.DateType()),
+        T.StructField("sign", T.DoubleType())]),
+    # driver_uuid of these two may be absent
+    "deliveries": T.StructType([
+        T.StructField("driver_id", T.LongType()), T.StructField("order_uuid", T.LongType()),
+        T.StructField("order_delivery_uuid", T.LongType()), T.StructField("order_number", T.LongType()),
+        T.StructField("last_status", T.StringType()), T.StructField("date_partition", T.DateType()),
+        T.StructField("logistic_region", T.StringType()), T.StructField("delay", T.DoubleType()),
+        T.StructField("driver_consumer_evaluation", T.DoubleType()), T.StructField("real_delivery_time", T.DoubleType()),
+        T.StructField("expected_delivery_time", T.DoubleType()), T.StructField("late_driver_flag", T.StringType()),
+        T.StructField("time_to_destination", T.DoubleType()), T.StructField("distance_route", T.DoubleType())]),
+    "supply_intervals": T.StructType([
+        T.StructField("driver_id", T.LongType()), T.StructField("date_partition", T.DateType()),
+        T.StructField("interval_start_timestamp", T.TimestampNTZType()),
+        T.StructField("interval_executed_seconds", T.DoubleType())]),
 }
