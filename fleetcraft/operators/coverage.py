@@ -13,18 +13,18 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetcraft.functions.columns import flag, ratio, round_mean
+from fleetcraft.functions.columns import ratio, round_mean
 from fleetcraft.functions.joins import with_one_row
-from fleetcraft.functions.period import Period, window_filter
-from fleetcraft.operators.features import CASH_PAYMENT
+from fleetcraft.functions.period import Period
+from fleetcraft.operators.features import CASH_PAYMENT, order_regions
 
 
 def order_base(wallet_orders: DataFrame, period: Period | None, cash: str = CASH_PAYMENT) -> DataFrame:
-    """Orders and cash orders per (driver, order region) in the window."""
-    return (wallet_orders.where(window_filter(period, "date_partition"))
-            .groupBy("driver_id", "logistic_region")
-            .agg(F.count("order_number").alias("orders"),
-                 F.sum(flag(F.col("payment_type") == cash)).alias("cash_orders")))
+    """Orders and cash orders per (driver, order region) in the window.
+
+    The same aggregate feeds the worker row (R2): build it once and give it to both.
+    """
+    return order_regions(wallet_orders, period, cash)
 
 
 def orders_per_driver(base: DataFrame) -> DataFrame:

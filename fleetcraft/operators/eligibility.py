@@ -140,16 +140,17 @@ def segments_as_of(segmentation: DataFrame, run_dates: Sequence[dt.date]) -> Dat
             .agg(F.max_by("segment", place).alias("segmentation_def"), F.max("segmentation_date").alias("segmentation_date")))
 
 
-def worker_row(t, p: EligibilityParams) -> DataFrame:
+def worker_row(t, p: EligibilityParams, orders: DataFrame | None = None) -> DataFrame:
     """One row per driver with orders in the window, all aggregates attached.
 
     ``t`` exposes the logical tables (``Fixtures`` or any object with the same
     methods). Each part is unique on ``driver_id``; five counts are NULL -> 0
     while averages stay NULL (and so fail their rules), as in the reference.
+    ``orders`` is a stored ``order_regions`` of the window, where there is one.
     """
     w = p.windows
     accounts = feat.id_map(t.accounts().where(F.col("tenant") == p.tenant))
-    base = feat.order_stats(t.wallet_orders(), w.orders)
+    base = feat.stats_of_regions(feat.order_regions(t.wallet_orders(), w.orders) if orders is None else orders)
     parts = [
         accounts,
         latest_segment(t.segmentation()).select("driver_id", "segmentation_def"),

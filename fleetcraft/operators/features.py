@@ -20,7 +20,7 @@ import datetime as dt
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetcraft.functions.columns import flag, money_mean, money_sum, ratio, region_name, round_mean, with_default
@@ -75,30 +75,41 @@ def recharges(billing: DataFrame, period: Period | None, causes: Sequence[str] =
                  money_sum(q).alias("total_recharges")))
 
 
-def order_stats(wallet_orders: DataFrame, period: Period | None, cash: str = CASH_PAYMENT) -> DataFrame:
-    """R2 (+A9): share of orders taken with a negative wallet, share of cash
-    orders, order count, and the region of the driver's earliest order.
+def order_regions(wallet_orders: DataFrame, period: Period | None, cash: str = CASH_PAYMENT) -> DataFrame:
+    """One row per (driver, order region) in the window: what R2 and R12 to R14 are made of.
 
-    Orders are reduced to (driver, region) rows first, each with its earliest
-    order as one decimal key, so raw orders meet hash aggregates only; the
-    region is picked among those few rows (B5). The key holds microseconds
-    since year 1 before twenty digits of order number, enough for any long:
-    the earliest time decides, at one time the smallest number, no number last.
-    Regions whose orders have no timestamp come last, then by name.
+    Rows, negative-wallet rows, numbered orders, cash orders and the earliest
+    order as one decimal key, so raw orders meet one hash aggregate only. The key
+    holds microseconds since year 1 before twenty digits of order number, enough
+    for any long: the earliest time decides, at one time the smallest number, no
+    number last.
     """
     o = wallet_orders.where(window_filter(period, "date_partition"))
     micros = F.unix_micros(F.col("date_timestamp").cast("timestamp")) + F.lit(MICROS_BEFORE_EPOCH)
     number = F.coalesce(F.col("order_number").cast("decimal(20,0)") + F.lit(str(2 ** 63)).cast("decimal(20,0)"),
                         F.lit(str(2 ** 64)).cast("decimal(20,0)"))
     key = (micros.cast("decimal(18,0)") * F.lit(str(10 ** 20)).cast("decimal(21,0)") + number).cast("decimal(38,0)")
-    per_region = (o.groupBy("driver_id", "logistic_region")
-                  .agg(F.count(F.lit(1)).alias("__rows"), F.sum(flag(F.col("wallet_before_order") < 0)).alias("__neg"),
-                       F.sum(flag(F.col("payment_type") == cash)).alias("__cash"),
-                       F.count("order_number").alias("orders"), F.min(key).alias("__first")))
-    first = F.struct(F.coalesce("__first", F.lit("9" * 38).cast("decimal(38,0)")), "logistic_region")
-    return (per_region.groupBy("driver_id")
-            .agg(ratio(F.sum("__neg"), F.sum("__rows")).alias("perc_negative_orders"),
-                 ratio(F.sum("__cash"), F.sum("__rows")).alias("perc_cash_orders"),
+    return (o.groupBy("driver_id", "logistic_region")
+            .agg(F.count(F.lit(1)).alias("rows"), F.sum(flag(F.col("wallet_before_order") < 0)).alias("negative_rows"),
+                 F.count("order_number").alias("orders"),
+                 F.sum(flag(F.col("payment_type") == cash)).alias("cash_orders"), F.min(key).alias("first_order_key")))
+
+
+def order_stats(wallet_orders: DataFrame, period: Period | None, cash: str = CASH_PAYMENT) -> DataFrame:
+    """R2 (+A9): share of orders taken with a negative wallet, share of cash
+    orders, order count, and the region of the driver's earliest order."""
+    return stats_of_regions(order_regions(wallet_orders, period, cash))
+
+
+def stats_of_regions(regions: DataFrame) -> DataFrame:
+    """R2 from ``order_regions``: the region is picked among a driver's few rows.
+
+    Regions whose orders have no timestamp come last, then by name.
+    """
+    first = F.struct(F.coalesce("first_order_key", F.lit("9" * 38).cast("decimal(38,0)")), "logistic_region")
+    return (regions.groupBy("driver_id")
+            .agg(ratio(F.sum("negative_rows"), F.sum("rows")).alias("perc_negative_orders"),
+                 ratio(F.sum("cash_orders"), F.sum("rows")).alias("perc_cash_orders"),
                  F.sum("orders").alias("orders"), F.min_by("logistic_region", first).alias("logistic_region")))
 
 
@@ -277,6 +288,50 @@ def on_time_share(facts: DataFrame, digits: int = 4) -> DataFrame:
                  round_mean("is_ontime", digits).alias("sla")))
 
 
+#: Output of a delivery mean and the fact it is taken of.
+MEANS = {"prop_critical_delay": "is_critical_delay", "driver_delay_origin": "driver_delay_origin", "speed": "speed",
+         "consumer_evaluation": "driver_consumer_evaluation", "sla": "is_ontime"}
+EXACT = "decimal(30,10)"
+REGION_DAY = ("driver_uuid", "logistic_region", "date_partition")
+
+
+def _exact_sum(c: str) -> Column:
+    return F.sum(F.col(c).cast("decimal(38,10)")).cast(EXACT)
+
+
+def _mean_of_sums(total: str, count: str, digits: int) -> Column:
+    """Rounded mean from partial exact sums and counts."""
+    return F.round(F.try_divide(F.sum(total).cast(EXACT), F.sum(count).cast("decimal(19,0)")), digits).cast("double")
+
+
+def region_days(facts: DataFrame, by: Sequence[str] = REGION_DAY) -> DataFrame:
+    """Deliveries and the sums and counts of their means, per driver, region and day (or fewer keys)."""
+    sums = []
+    for mean, column in MEANS.items():
+        sums += [_exact_sum(column).alias(f"sum_{mean}"), F.count(column).alias(f"n_{mean}")]
+    return facts.groupBy(*by).agg(F.count("order_delivery_uuid").alias("n_deliveries"), *sums)
+
+
+def driver_days(facts: DataFrame) -> DataFrame:
+    """Different deliveries per driver and day."""
+    return facts.groupBy("driver_uuid", "date_partition").agg(F.count_distinct("order_delivery_uuid").alias("deliveries"))
+
+
+def means_of_days(days: DataFrame, digits: int = 4) -> DataFrame:
+    """K4, K11 from partial sums: the sum of sums over the sum of counts, in decimals."""
+    return days.groupBy("driver_uuid").agg(*[_mean_of_sums(f"sum_{m}", f"n_{m}", digits).alias(m) for m in MEANS])
+
+
+def main_region_of_days(days: DataFrame, ties: str = "one") -> DataFrame:
+    """K3 from partial counts: the region(s) with most deliveries of a driver."""
+    counts = days.groupBy("driver_uuid", "logistic_region").agg(F.sum("n_deliveries").alias("n"))
+    if ties not in ("one", "all"):
+        raise ValueError("ties must be 'one' or 'all'")
+    order = [F.desc("n"), F.asc("logistic_region")] if ties == "one" else [F.desc("n")]
+    rank = F.rank().over(Window.partitionBy("driver_uuid").orderBy(*order))
+    return counts.withColumn("rank", rank).where("rank = 1").select("driver_uuid", "logistic_region")
+
+
 def _critical_hour(h):
     cond = F.lit(False)
     for lo, hi in CRITICAL_HOURS:
@@ -319,15 +374,14 @@ def supply_means(daily: DataFrame, key: str = "driver_uuid") -> DataFrame:
                  F.avg("hours_executed").alias("avg_total_hours_executed")))
 
 
-def utr(daily: DataFrame, facts: DataFrame, key: str = "driver_uuid") -> DataFrame:
+def utr(daily: DataFrame, facts: DataFrame) -> DataFrame:
     """K6: deliveries per executed hour and day, averaged over days.
 
     Only days with positive executed seconds count; a day with hours but no
     deliveries has a NULL ratio and is left out of the mean. Both sides are
     aggregated on (driver, day) so the join is co-partitioned.
     """
-    return utr_of_days(daily, facts.groupBy(key, "date_partition").agg(
-        F.count_distinct("order_delivery_uuid").alias("deliveries")), key)
+    return utr_of_days(daily, driver_days(facts))
 
 
 def utr_of_days(daily: DataFrame, per_day: DataFrame, key: str = "driver_uuid") -> DataFrame:
@@ -347,6 +401,19 @@ def recharge_features(billing: DataFrame, period: Period | None,
                  round_mean("quantity", digits).alias("avg_recharge")))
 
 
+def recharge_features_by_uuid(billing: DataFrame, workers: DataFrame, period: Period | None,
+                              causes: Sequence[str] = RECHARGE_CAUSES, digits: int = 4) -> DataFrame:
+    """K7 from billing keyed by driver id: the id map meets drivers, not billing rows.
+
+    A recharge id belongs to one driver (it keys the billing table), so different
+    ids of driver ids that share a uuid add up."""
+    per_id = (billing.where(window_filter(period, "day") & F.col("billing_cause").isin(list(causes)))
+              .groupBy("driver_id")
+              .agg(F.count_distinct("id").alias("ids"), _exact_sum("quantity").alias("total"), F.count("quantity").alias("n")))
+    return (per_id.join(id_map(workers), "driver_id", "left").groupBy("driver_uuid")
+            .agg(F.sum("ids").alias("qty_recharge"), _mean_of_sums("total", "n", digits).alias("avg_recharge")))
+
+
 def wallet_non_negative_share(wallet_streak: DataFrame, workers: DataFrame, period: Period | None) -> DataFrame:
     """K8: distinct non-negative days / (last day - first day + 1).
 

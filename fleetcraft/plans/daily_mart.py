@@ -25,55 +25,21 @@ from collections.abc import Collection
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetcraft.functions.joins import fold_left
 from fleetcraft.functions.period import Period
 from fleetcraft.operators import features as feat
+from fleetcraft.operators.features import EXACT, MEANS, driver_days, main_region_of_days, means_of_days, region_days
 from fleetcraft.plans.feature_mart import FeatureParams, finish_row
 from fleetcraft.sources.tables import materialise, write_partitioned
 
-#: Output of a delivery mean and the fact it is taken of.
-MEANS = {"prop_critical_delay": "is_critical_delay", "driver_delay_origin": "driver_delay_origin", "speed": "speed",
-         "consumer_evaluation": "driver_consumer_evaluation", "sla": "is_ontime"}
-EXACT = "decimal(30,10)"
 _REGION_DAYS = ("driver_uuid string, logistic_region string, n_deliveries long, "
                 + ", ".join(f"sum_{m} {EXACT}, n_{m} long" for m in MEANS) + ", date_partition date")
 _DRIVER_DAYS = "driver_uuid string, deliveries long, date_partition date"
 
 
-def region_days(facts: DataFrame) -> DataFrame:
-    """Deliveries and the sums and counts of their means, per driver, region and day."""
-    sums = []
-    for mean, column in MEANS.items():
-        sums += [F.sum(F.col(column).cast("decimal(38,10)")).cast(EXACT).alias(f"sum_{mean}"), F.count(column).alias(f"n_{mean}")]
-    return facts.groupBy("driver_uuid", "logistic_region", "date_partition").agg(
-        F.count("order_delivery_uuid").alias("n_deliveries"), *sums)
-
-
-def driver_days(facts: DataFrame) -> DataFrame:
-    """Different deliveries per driver and day."""
-    return facts.groupBy("driver_uuid", "date_partition").agg(F.count_distinct("order_delivery_uuid").alias("deliveries"))
-
-
-def means_of_days(days: DataFrame, digits: int = 4) -> DataFrame:
-    """K4, K11 from days: the sum of sums over the sum of counts, in decimals."""
-    return days.groupBy("driver_uuid").agg(*[
-        F.round(F.try_divide(F.sum(f"sum_{m}").cast(EXACT), F.sum(f"n_{m}").cast("decimal(10,0)")), digits)
-        .cast("double").alias(m) for m in MEANS])
-
-
-def main_region_of_days(days: DataFrame, ties: str = "one") -> DataFrame:
-    """K3 from days: the region(s) with most deliveries of a driver."""
-    counts = days.groupBy("driver_uuid", "logistic_region").agg(F.sum("n_deliveries").alias("n"))
-    if ties not in ("one", "all"):
-        raise ValueError("ties must be 'one' or 'all'")
-    order = [F.desc("n"), F.asc("logistic_region")] if ties == "one" else [F.desc("n")]
-    rank = F.rank().over(Window.partitionBy("driver_uuid").orderBy(*order))
-    return counts.withColumn("rank", rank).where("rank = 1").select("driver_uuid", "logistic_region")
-
-
 @dataclass(frozen=True)
 class DayStore:
     """Daily partial results under a shared folder."""
@@ -146,7 +112,7 @@ def feature_row(t, p: FeatureParams, store: DayStore) -> DataFrame:
         feat.route_completion_by_uuid(t.routes(), t.workers(), w.routes).select("driver_uuid", "prop_completed_routes"),
         feat.supply_means(daily),
         feat.strikes_history(t.strikes(), t.workers(), w.end, p.strike_excluded),
-        feat.recharge_features(t.billing(with_uuid=True), w.billing, p.recharge_causes),
+        feat.recharge_features_by_uuid(t.billing(), t.workers(), w.billing, p.recharge_causes),
         feat.wallet_non_negative_share(t.wallet_streak(), t.workers(), w.wallet),
         feat.utr_of_days(daily, store.driver_days(w.deliveries)),
     ]

@@ -2,8 +2,8 @@
 
 Plan shape: every source is reduced to one row per driver (or driver-day)
 before any join; the fold of left joins then only moves per-driver rows. The
-supply table is scanned once for both the daily means and UTR, and the
-delivery facts feed region, KPIs and UTR from one scan.
+supply table feeds the daily means and UTR; deliveries are reduced to sums per
+(driver, region) and to counts per (driver, day), and never written.
 """
 
 from __future__ import annotations
@@ -61,23 +61,25 @@ def joined_features(t, p: FeatureParams, store: bool = False) -> DataFrame:
     """K9 before filling: main region + KPIs, routes, supply, strikes,
     recharges, wallet share and UTR, one row per (driver, main region).
 
-    Region, KPIs and UTR each read the delivery facts with a different column
-    set, so Spark cannot share one scan between them; with ``store`` the facts
-    (the big lineitem x orders join) are written once and read three times.
+    Region and KPIs come from sums per (driver, region), UTR from different
+    deliveries per (driver, day): two pruned scans that aggregate map-side, so
+    no delivery is ever written. With ``store`` the sums, which are read twice,
+    are a table.
     """
     w = p.windows
     facts = feat.delivery_facts(t.deliveries(), w.deliveries, p.codes)
+    regions = feat.region_days(facts, ("driver_uuid", "logistic_region"))
     if store:
-        facts = materialise(facts, "delivery-facts")
+        regions = materialise(regions, "region-sums")
     daily = feat.daily_by_uuid(feat.supply_daily(t.supply_intervals(), w.supply, "driver_id"), t.workers())
-    base = feat.main_region(facts, p.ties)
+    base = feat.main_region_of_days(regions, p.ties)
     parts = [
-        feat.delivery_kpis(facts),
+        feat.means_of_days(regions),
         feat.route_completion_by_uuid(t.routes(), t.workers(), w.routes).select(
             "driver_uuid", "prop_completed_routes"),
         feat.supply_means(daily),
         feat.strikes_history(t.strikes(), t.workers(), w.end, p.strike_excluded),
-        feat.recharge_features(t.billing(with_uuid=True), w.billing, p.recharge_causes),
+        feat.recharge_features_by_uuid(t.billing(), t.workers(), w.billing, p.recharge_causes),
         feat.wallet_non_negative_share(t.wallet_streak(), t.workers(), w.wallet),
         feat.utr(daily, facts),
     ]

@@ -56,7 +56,9 @@ def eligibility_job(t, params: elig.EligibilityParams, rule_set: elig.RuleSet, r
     """Worker row -> stored temp table -> rules -> final table -> unique-key
     gate -> overwrite the saved tables; coverage reports from one order base."""
     spark = t.spark
-    workers = tables.materialise(elig.worker_row(t, params), "worker-row")
+    # One (driver, region) aggregate of the window feeds the worker row and both reports: stored once.
+    base = tables.materialise(cov.order_base(t.wallet_orders(), params.windows.orders), "order-base")
+    workers = tables.materialise(elig.worker_row(t, params, base), "worker-row")
     rules = elig.apply_rules(workers, rule_set)
     rules_path = os.path.join(out_dir, "driver_rules")
     tables.overwrite_table(rules, rules_path)
@@ -65,8 +67,6 @@ def eligibility_job(t, params: elig.EligibilityParams, rule_set: elig.RuleSet, r
     quality.gate(quality.quality_report(final, "driver_segments_final", unique_key="driver_id"))
     final_path = os.path.join(out_dir, "driver_segments_final")
     tables.overwrite_table(final, final_path)
-    # One (driver, region) aggregate of the window feeds both reports: stored once.
-    base = tables.materialise(cov.order_base(t.wallet_orders(), params.windows.orders), "order-base")
     return EligibilityResult(
         workers=workers, rules=rules, final=spark.read.parquet(final_path),
         order_coverage=cov.order_coverage(base, rules),

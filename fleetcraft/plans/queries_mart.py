@@ -290,8 +290,11 @@ ORDER_CTES = [
 ]
 
 
-def _base(spark, sf):
-    return cov.order_base(fixtures(spark, sf).wallet_orders(), ORDERS_WINDOW)
+def _base_and_rules(spark, sf):
+    """The order aggregate, stored once, and the rules over the worker row made of it."""
+    t = fixtures(spark, sf)
+    base = tables.materialise(cov.order_base(t.wallet_orders(), ORDERS_WINDOW), "order-base")
+    return base, elig.apply_rules(elig.worker_row(t, ELIGIBILITY, base), RULES_ACTIVE)
 
 
 @register("order_coverage", worker_sql("""
@@ -309,7 +312,7 @@ def _base(spark, sf):
     CROSS JOIN (SELECT sum(orders)::BIGINT AS total_orders, sum(cash_orders)::BIGINT AS total_cash_orders
                 FROM odrv) t""", extra=ORDER_CTES))
 def order_coverage(spark, sf):
-    return cov.order_coverage(_base(spark, sf), _rules(spark, sf))
+    return cov.order_coverage(*_base_and_rules(spark, sf))
 
 
 def _region_coverage_sql(setting: str) -> str:
@@ -329,7 +332,7 @@ def _region_coverage_sql(setting: str) -> str:
 
 @register("region_coverage", worker_sql(_region_coverage_sql("setting_1"), extra=ORDER_CTES))
 def region_coverage(spark, sf):
-    return cov.region_coverage(_base(spark, sf), _rules(spark, sf), "setting_1")
+    return cov.region_coverage(*_base_and_rules(spark, sf), "setting_1")
 
 
 @register("region_coverage_labelled", worker_sql(f"""
@@ -339,7 +342,7 @@ def region_coverage(spark, sf):
                FROM rules) s ON c.logistic_region = s.logistic_region
     WHERE c.logistic_region IN ({_in(REGIONS)})""", extra=ORDER_CTES))
 def region_coverage_labelled(spark, sf):
-    return cov.region_coverage_labelled(_base(spark, sf), _rules(spark, sf), "final_setting", REGIONS)
+    return cov.region_coverage_labelled(*_base_and_rules(spark, sf), "final_setting", REGIONS)
 
 
 @register("rule_distribution", worker_sql(f"""
