@@ -44,9 +44,13 @@ class Fixtures:
         self.spark = spark
         self.base_dir = base_dir
         self._memo: dict[str, DataFrame] = {}
+        self._types: dict[str, T.StructType] = {}
 
     def _raw(self, name: str, *columns: str) -> DataFrame:
-        return load(self.spark, self.base_dir, name, list(columns) or None)
+        """A raw table; its schema is read from the files once, not at each use."""
+        if name not in self._types:
+            self._types[name] = load(self.spark, self.base_dir, name).schema
+        return load(self.spark, self.base_dir, name, list(columns) or None, self._types[name])
 
     def _once(self, key: str, build) -> DataFrame:
         if key not in self._memo:
