@@ -1,18 +1,24 @@
 """Quality rules: fixed limits, then robust multivariate outliers per language and source.
 
-Each text is reduced to counts, the counts to a vector of transformed rates.
-Per group a minimum-covariance-determinant estimate is found by concentration
-steps over all rows: starting from coordinatewise medians and quartile widths,
-rows are ranked by Mahalanobis distance, the nearest ``SHARE`` of the group is
-kept, and mean and covariance are taken anew. A text is rejected if its
-distance passes a chi-square limit. All steps are grouped aggregates that
-combine on the map side; a group's rows never meet in one task, and only one
-flag reaches the driver.
-
-A group of fewer than ``LEAST`` texts with words borrows the estimate of its
-language, or of the whole table if that is small too; if even that is small,
-only the fixed limits decide. Variances have a floor (``FLOORS``), as most
-clean texts have no symbols or repeats at all.
+Each text is reduced to counts, the counts to a vector of transformed rates,
+each a multiple of 1 / ``GRID``, so that sums are exact and nothing depends on
+how rows are dealt to tasks. Per group (language and source), per language and
+over the table a minimum-covariance-determinant estimate is found by
+concentration steps over all rows: starting from coordinatewise medians and
+quartile widths, rows are ranked by Mahalanobis distance, the nearest ``SHARE``
+is kept, and mean and covariance are taken anew. A step is one pass: counts, sums
+and sums of products are added up per 1/``OCTAVE`` octave of distance, a bounded
+histogram in which the cut is found; rows of one such part are kept together.
+
+A group's estimate is drawn towards its language's, and that towards the
+table's, as if ``PRIOR`` texts more had been seen there; its factor (median
+distance against the chi-square median) likewise. So small groups change over
+to their language gradually, at no threshold. A text is rejected if its distance
+passes a chi-square limit. All steps are grouped aggregates that combine on the
+map side; a group's rows never meet in one task, and no row reaches the driver.
+
+Variances have a floor (``FLOORS``), as most clean texts have no symbols or
+repeats at all.
 
 Defined results: null or empty text has no words and fails; null language or
 source is a group of its own; repeated rows are all returned; an empty table
@@ -36,8 +42,10 @@ from fleetcraft.llm.common import map_bytes, store
 WINDOW = 8
 #: Fixed limits: fewest words, most words (percent) in repeated windows.
 LEAST_WORDS, MOST_REPEATED = 20, 30
-#: Share of a group that concentration steps keep; steps; texts that a group needs.
-SHARE, STEPS, LEAST = 0.75, 4, 100
+#: Share of a group that concentration steps keep; steps; texts that the wider estimate counts for.
+SHARE, STEPS, PRIOR = 0.75, 4, 100
+#: Vector entries are multiples of one part in this; distances are ranked in this many parts of an octave.
+GRID, OCTAVE = 1024, 64
 #: Rejected texts are further out than all but this share of a normal population (z of one in a million).
 LIMIT_Z = 4.753424
 #: Vector entries and the least standard deviation of each.
@@ -116,22 +124,10 @@ def _vector(counts: DataFrame) -> DataFrame:
 
 
 def _groups(rows: DataFrame) -> DataFrame:
-    """Each row's own group ``g`` and the groups it counts for, ``into``."""
+    """Keys of each row's group ``g`` and of its language ``lg``; vector entries on the grid."""
     lang, source = (F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("null")) for c in ("lang", "source"))
-    rows = rows.withColumn("__lang", lang).withColumn("__source", source)
-    sizes = rows.groupBy("__lang", "__source").agg(F.sum((F.col("n_words") > 0).cast("long")).alias("n"))
-    by_lang = Window.partitionBy("__lang")
-    sizes = store(sizes.withColumn("n_lang", F.sum("n").over(by_lang)).withColumn("least", F.min("n").over(by_lang)),
-                  "group-sizes")
-    small = sizes.agg(F.min("n_lang").alias("n")).first()["n"]
-    of_source, of_lang = F.col("n") >= LEAST, F.col("n_lang") >= LEAST
-    own_key, lang_key = F.concat(F.lit("s:"), "__lang", F.lit("/"), "__source"), F.concat(F.lit("l:"), "__lang")
-    keys = sizes.select(
-        "__lang", "__source",
-        F.when(of_source, own_key).when(of_lang, lang_key).otherwise(F.lit("all")).alias("g"),
-        F.array_compact(F.array(F.when(of_source, own_key), F.when(of_lang & (F.col("least") < LEAST), lang_key),
-                                F.when(F.lit(small is not None and small < LEAST), F.lit("all")))).alias("into"))
-    return rows.join(keys, ["__lang", "__source"]).drop("__lang", "__source")
+    on_grid = {c: F.round(F.col(c) * GRID) / GRID for c in NAMES}
+    return rows.withColumns(on_grid | {"g": F.concat(F.lit("s:"), lang, F.lit("/"), source), "lg": F.concat(F.lit("l:"), lang)})
 
 
 def _with_group(rows: DataFrame, groups: DataFrame, how: str = "inner") -> DataFrame:
@@ -154,29 +150,34 @@ def _distance(names: list[str] = NAMES) -> F.Column:
     return total
 
 
-_PARAMS = "g string, n long, " + ", ".join([f"m_{i} double" for i in range(len(NAMES))]
-                                           + [f"w_{i}_{j} double" for i, j in _pairs()])
+_MEANS, _COVS, _INVERSE = ([f"m_{i}" for i in range(len(NAMES))], [f"c_{i}_{j}" for i, j in _pairs()],
+                            [f"w_{i}_{j}" for i, j in _pairs()])
 
 
-def _inverted(moments: DataFrame) -> DataFrame:
-    """From means m_i and mean products c_i_j to means and the inverse covariance, variances floored."""
+def _inverted(moments: DataFrame, centred: bool = False) -> DataFrame:
+    """From ``key`` columns, means m_i and mean products c_i_j (covariances if ``centred``) to means, covariances, the
+    inverse covariance with variances floored."""
     floors = np.array([FLOORS[c] for c in NAMES])
+    keys = [c for c in moments.columns if c not in _MEANS + _COVS]
+    schema = T.StructType([moments.schema[c] for c in keys]
+                          + [T.StructField(c, T.DoubleType()) for c in [*_MEANS, *_COVS, *_INVERSE]])
 
     def run(frames):
         for pdf in frames:
             out = []
             for r in pdf.to_dict("records"):
-                mean = np.array([r[f"m_{i}"] for i in range(len(NAMES))])
+                mean = np.array([r[c] for c in _MEANS])
                 cov = np.zeros((len(NAMES), len(NAMES)))
-                for i, j in _pairs():
-                    cov[i, j] = cov[j, i] = r[f"c_{i}_{j}"] - mean[i] * mean[j]
+                for (i, j), c in zip(_pairs(), _COVS):
+                    cov[i, j] = cov[j, i] = r[c] - (0 if centred else mean[i] * mean[j])
                 short = np.maximum(0.0, floors ** 2 - np.diag(cov))
-                inverse = np.linalg.inv(cov + np.diag(short + 1e-3 * floors ** 2))
-                out.append({"g": r["g"], "n": r["n"]} | {f"m_{i}": m for i, m in enumerate(mean)}
-                           | {f"w_{i}_{j}": inverse[i, j] for i, j in _pairs()})
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in _PARAMS.split(", ")])
+                floored = cov + np.diag(short + 1e-3 * floors ** 2)
+                inverse = np.linalg.inv(floored)
+                out.append([*(r[k] for k in keys), *mean, *(cov[i, j] for i, j in _pairs()),
+                            *(inverse[i, j] for i, j in _pairs())])
+            yield pd.DataFrame(out, columns=schema.names)
 
-    return moments.mapInPandas(run, _PARAMS)
+    return moments.mapInPandas(run, schema)
 
 
 def chi_square(p: int, z: float) -> float:
@@ -184,36 +185,88 @@ def chi_square(p: int, z: float) -> float:
     return p * (1 - 2 / (9 * p) + z * math.sqrt(2 / (9 * p))) ** 3
 
 
+def _ranked(counted: DataFrame, keys: list[str], value: str, shares: list[float]) -> DataFrame:
+    """Per key the value at each share's rank, from rows of key, value and number ``k`` (a bounded histogram per key)."""
+    order = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    total = F.sum("k").over(Window.partitionBy(*keys))
+    upto = counted.withColumn("__upto", F.sum("k").over(order)).withColumn("__all", total)
+    return upto.groupBy(*keys).agg(F.first("__all").alias("n"), F.array(*[
+        F.min(F.when(F.col("__upto") >= share * F.col("__all"), F.col(value))) for share in shares]).alias("at"))
+
+
+def _octave(d2: F.Column) -> F.Column:
+    return F.floor(F.log2(d2 + 2.0 ** -20) * OCTAVE).cast("int")
+
+
+def _nearest(codes: DataFrame, share: float) -> DataFrame:
+    """``g, n``, means and mean products over the nearest ``share`` of each group's rows of ``g, code`` and vectors."""
+    products = {c: F.col(NAMES[i]) * F.col(NAMES[j]) for (i, j), c in zip(_pairs(), _COVS)}
+    sums = dict(zip(_MEANS, map(F.col, NAMES))) | products
+    hist = codes.groupBy("g", "code").agg(F.count(F.lit(1)).alias("k"), *[F.sum(x).alias(c) for c, x in sums.items()])
+    order = Window.partitionBy("g").orderBy("code").rowsBetween(Window.unboundedPreceding, 0)
+    parts = hist.withColumn("__upto", F.sum("k").over(order)).withColumn("n", F.sum("k").over(Window.partitionBy("g")))
+    # the part that holds the cut's rank is the last one kept
+    kept = parts.where(F.col("__upto") - F.col("k") < share * F.col("n"))
+    return kept.groupBy("g", "n").agg(*[(F.sum(c) / F.sum("k")).alias(c) for c in sums])
+
+
 def estimates(rows: DataFrame, steps: int = STEPS, share: float = SHARE) -> DataFrame:
-    """Centre, inverse covariance and consistency factor of each group ``g`` over rows with vectors."""
-    spread = rows.groupBy("g").agg(F.count("*").alias("n"), *[
-        F.percentile_approx(c, [0.25, 0.5, 0.75], 1000).alias(c) for c in NAMES]).where(F.col("n") >= LEAST)
-    start = [F.col(c)[1].alias(f"m_{i}") for i, c in enumerate(NAMES)]
-    for i, j in _pairs():
-        width = F.greatest((F.col(NAMES[i])[2] - F.col(NAMES[i])[0]) / 1.349, F.lit(FLOORS[NAMES[i]]))
-        start.append((1 / (width * width) if i == j else F.lit(0.0)).alias(f"w_{i}_{j}"))
-    params = store(spread.select("g", "n", *start), "mcd-start")
+    """``g, n``, means and covariances of each group's estimate over rows of ``g`` and vectors."""
+    values = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(c).alias("x")) for i, c in enumerate(NAMES)]))
+    counted = rows.select("g", values.alias("v")).groupBy("g", "v.i", "v.x").agg(F.count(F.lit(1)).alias("k"))
+    quartiles = _ranked(counted, ["g", "i"], "x", [0.25, 0.5, 0.75])
+    floor = F.element_at(F.array(*[F.lit(f) for f in FLOORS.values()]), F.col("i") + 1)
+    width = F.greatest((F.col("at")[2] - F.col("at")[0]) / 1.349, floor)
+    spread = (quartiles.select("g", "n", "i", F.col("at")[1].alias("m"), width.alias("b")).groupBy("g")
+              .agg(F.first("n").alias("n"), *[F.max(F.when(F.col("i") == i, F.col(c))).alias(f"{c}_{i}")
+                                              for i in range(len(NAMES)) for c in "mb"]))
+    start = spread.select("g", "n", *_MEANS, *[(F.col(f"b_{i}") ** 2 if i == j else F.lit(0.0)).alias(c)
+                                               for (i, j), c in zip(_pairs(), _COVS)])
+    params = store(_inverted(start, centred=True), "mcd-start")
     for _ in range(steps):
-        ranked = _with_group(rows, params).select("g", "n", *NAMES, _distance().alias("d2"))
-        cut = ranked.groupBy("g").agg(F.percentile_approx("d2", share, 1000).alias("cut"))
-        near = _with_group(ranked, cut).where("d2 <= cut")
-        moments = near.groupBy("g").agg(F.first("n").alias("n"), *[F.avg(c).alias(f"m_{i}") for i, c in enumerate(NAMES)],
-                                        *[F.avg(F.col(NAMES[i]) * F.col(NAMES[j])).alias(f"c_{i}_{j}")
-                                          for i, j in _pairs()])
-        params = store(_inverted(moments), "mcd-step")
-    middle = (_with_group(rows, params).select("g", _distance().alias("d2"))
-              .groupBy("g").agg(F.percentile_approx("d2", 0.5, 1000).alias("middle")))
-    factor = F.greatest(F.lit(1.0), F.col("middle") / chi_square(len(NAMES), 0.0))
-    return store(params.join(middle, "g").withColumn("factor", factor).drop("middle", "n"), "mcd")
+        codes = _with_group(rows, params.drop("n", *_COVS)).select("g", *NAMES, _octave(_distance()).alias("code"))
+        params = store(_inverted(_nearest(codes, share)), "mcd-step")
+    return params.drop(*_INVERSE)
+
+
+def _drawn(narrow: DataFrame, wide: DataFrame, on: str, names: list[str]) -> DataFrame:
+    """Columns ``names`` of one table drawn towards those of a wider group, by numbers of texts; ``on`` names the wider group."""
+    w = wide.select(F.col("g").alias(on), *[F.col(c).alias(f"__{c}") for c in names])
+    size = F.col("n").cast("double")
+    met = narrow.join(w, on, "left")
+    mixed = [F.coalesce((size * F.col(c) + PRIOR * F.col(f"__{c}")) / (size + PRIOR), F.col(c)).alias(c) for c in names]
+    return met.select(*[c for c in narrow.columns if c not in names], *mixed)
+
+
+def group_estimates(rows: DataFrame, steps: int = STEPS) -> DataFrame:
+    """Per group ``g``: n, the inverse covariance and centre drawn towards its language's and the table's, and ``factor``."""
+    worded = rows.where("n_words > 0")
+    levels = F.explode(F.array("g", "lg", F.lit("all")))
+    found = estimates(worded.select(levels.alias("level"), *NAMES).withColumnRenamed("level", "g"), steps)
+    names = [*_MEANS, *_COVS]
+    whole = found.where("g = 'all'")
+    langs = _drawn(found.where("g LIKE 'l:%'").withColumn("of", F.lit("all")), whole, "of", names).drop("of")
+    keys = worded.select("g", "lg").distinct()
+    own = _drawn(found.where("g LIKE 's:%'").join(keys, "g"), langs, "lg", names)
+    params = store(_inverted(own, centred=True).select("g", "lg", "n", *_MEANS, *_INVERSE), "mcd-drawn")
+    codes = _with_group(worded.drop("lg"), params).select("g", "lg", _octave(_distance()).alias("code"))
+    counted = store(codes.groupBy("g", "lg", "code").agg(F.count(F.lit(1)).alias("k")), "distance-counts")
+
+    def factors(key: str) -> DataFrame:
+        some = counted.groupBy(F.col(key).alias("g"), "code").agg(F.sum("k").alias("k"))
+        median = F.pow(F.lit(2.0), (F.col("at")[0] + 0.5) / OCTAVE)
+        return _ranked(some, ["g"], "code", [0.5]).select("g", F.greatest(F.lit(1.0), median / chi_square(len(NAMES), 0.0)).alias("factor"))
+
+    drawn = _drawn(params.join(factors("g"), "g"), factors("lg"), "lg", ["factor"])
+    return store(drawn.select("g", *_MEANS, *_INVERSE, "factor"), "mcd-factors")
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", steps: int = STEPS,
           limit_z: float = LIMIT_Z) -> DataFrame:
     """Counts per document, ``base_failed``, its squared robust ``distance`` and the verdict ``kept``."""
     counts = text_counts(docs, [id_col, "lang", "source"], text_col)
-    rows = store(_vector(_groups(store(counts, "text-counts"))), "text-vectors")
-    pool = rows.where("n_words > 0").select(F.explode("into").alias("g"), *NAMES)
-    params = estimates(pool, steps)
+    rows = store(_groups(_vector(store(counts, "text-counts"))), "text-vectors")
+    params = group_estimates(rows, steps)
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
     distance = F.when(F.col("n_words") > 0, _distance() / F.col("factor"))
     limit = chi_square(len(NAMES), limit_z)

@@ -212,40 +212,85 @@ def test_counts_match_brute_force():
         assert quality_rules.count_text(text.encode())[:5] == plain_counts(text)
 
 
-def plain_mcd(x, steps, share):
-    """Concentration steps in numpy for one group; quantiles as ranks, as percentile_approx gives them."""
-    floors = np.array(list(quality_rules.FLOORS.values()))
-    rank = lambda v, q: np.sort(v)[max(0, int(np.ceil(q * len(v))) - 1)]
-    centre = np.array([rank(c, 0.5) for c in x.T])
-    width = np.maximum([(rank(c, 0.75) - rank(c, 0.25)) / 1.349 for c in x.T], floors)
-    inverse = np.diag(1 / width ** 2)
-    for _ in range(steps):
-        d = np.einsum("ni,ij,nj->n", x - centre, inverse, x - centre)
-        near = x[d <= rank(d, share)]
-        centre = near.mean(axis=0)
-        cov = (near[:, :, None] * near[:, None, :]).mean(axis=0) - np.outer(centre, centre)
-        inverse = np.linalg.inv(cov + np.diag(np.maximum(0, floors ** 2 - np.diag(cov)) + 1e-3 * floors ** 2))
-    d = np.einsum("ni,ij,nj->n", x - centre, inverse, x - centre)
-    return d / max(1.0, rank(d, 0.5) / quality_rules.chi_square(len(floors), 0.0))
+FLOORS = np.array(list(quality_rules.FLOORS.values()))
+
+
+def floored(cov):
+    return cov + np.diag(np.maximum(0, FLOORS ** 2 - np.diag(cov)) + 1e-3 * FLOORS ** 2)
+
+
+def octave(d2):
+    return np.floor(np.log2(d2 + 2.0 ** -20) * quality_rules.OCTAVE)
 
 
-def test_distances_match_a_plain_estimate(spark):
+def rank(values, share):
+    return np.sort(values)[max(0, int(np.ceil(share * len(values))) - 1)]
+
+
+def plain_mcd(x, steps=quality_rules.STEPS):
+    """Mean and covariance after concentration steps, all in numpy."""
+    mean = np.array([rank(c, 0.5) for c in x.T])
+    cov = np.diag(np.maximum([(rank(c, 0.75) - rank(c, 0.25)) / 1.349 for c in x.T], FLOORS) ** 2)
+    for _ in range(steps):
+        code = octave(np.einsum("ni,ij,nj->n", x - mean, np.linalg.inv(floored(cov)), x - mean))
+        y = x[code <= rank(code, quality_rules.SHARE)]
+        mean, cov = y.mean(axis=0), np.cov(y.T, bias=True)
+    return mean, cov
+
+
+def plain_distances(x, lang, source):
+    """Robust distances with estimates drawn from group to language to table."""
+    k = quality_rules.PRIOR
+    draw = lambda own, n, wide: tuple((n * a + k * b) / (n + k) for a, b in zip(own, wide))
+    whole = plain_mcd(x)
+    d2, factor_of = np.zeros(len(x)), {}
+    for g in set(lang):
+        of_lang = lang == g
+        wide = draw(plain_mcd(x[of_lang]), of_lang.sum(), whole)
+        for h in set(source[of_lang]):
+            mine = of_lang & (source == h)
+            mean, cov = draw(plain_mcd(x[mine]), mine.sum(), wide)
+            d2[mine] = np.einsum("ni,ij,nj->n", x[mine] - mean, np.linalg.inv(floored(cov)), x[mine] - mean)
+    middle = lambda some: max(1.0, 2 ** ((rank(octave(d2[some]), 0.5) + 0.5) / quality_rules.OCTAVE) / quality_rules.chi_square(7, 0.0))
+    out = np.zeros(len(x))
+    for g in set(lang):
+        of_lang = lang == g
+        for h in set(source[of_lang]):
+            mine = of_lang & (source == h)
+            n = mine.sum()
+            out[mine] = d2[mine] / ((n * middle(mine) + k * middle(of_lang)) / (n + k))
+    return out
+
+
+def rule_corpus():
     rnd = random.Random(4)
     rows = []
     for k in range(400):
         words = prose(rnd, rnd.randint(25, 90))
         if k % 40 == 3:
             words = [w.upper() + "###" for w in words]
-        rows.append((k, " ".join(words), "en" if k < 380 else None, f"s{k % 2}" if k < 350 else "small", 1))
-    docs = spark.createDataFrame(rows, DOCS).repartition(5)
-    got = {r["doc_id"]: r for r in quality_rules.judge(docs).collect()}
+        rows.append((k, " ".join(words), "en" if k < 380 else "de", f"s{k % 2}" if k < 350 else "small", 1))
+    return rows
+
+
+def test_distances_match_a_plain_estimate_however_rows_are_dealt(spark):
+    rows = rule_corpus()
+    runs = [{r["doc_id"]: (r["distance"], r["kept"]) for r in quality_rules.judge(spark.createDataFrame(rows, DOCS).repartition(n)).collect()}
+            for n in (2, 7)]
+    assert runs[0] == runs[1]
     junk = {k for k in range(400) if k % 40 == 3}
-    assert {k for k in got if not got[k]["kept"]} == junk
-    vectors = {r["doc_id"]: [r[c] for c in quality_rules.NAMES] for r in quality_rules._vector(
-        quality_rules.text_counts(docs, ["doc_id"])).collect()}
-    ids = [k for k in range(350) if k % 2 == 0]
-    want = plain_mcd(np.array([vectors[k] for k in ids]), quality_rules.STEPS, quality_rules.SHARE)
-    assert np.allclose([got[k]["distance"] for k in ids], want, rtol=1e-6)
+    assert {k for k, (_, kept) in runs[0].items() if not kept} == junk
+    counts = quality_rules.text_counts(spark.createDataFrame(rows, DOCS), ["doc_id", "lang", "source"])
+    vectors = {r["doc_id"]: [r[c] for c in quality_rules.NAMES] for r in quality_rules._groups(quality_rules._vector(counts)).collect()}
+    want = plain_distances(np.array([vectors[k] for k in range(400)]), np.array([r[2] for r in rows]), np.array([r[3] for r in rows]))
+    assert np.allclose([runs[0][k][0] for k in range(400)], want, rtol=1e-6)
+
+
+def test_more_steps_change_no_verdict_and_one_text_groups_are_judged(spark):
+    rows = rule_corpus() + [(900, " ".join(prose(random.Random(1), 60)), "fr", "alone", 1), (901, "### $$$ " * 30 + "x y z " * 5, "en", "odd", 1)]
+    verdicts = [{r["doc_id"]: r["kept"] for r in quality_rules.judge(spark.createDataFrame(rows, DOCS), steps=n).collect()}
+                for n in (quality_rules.STEPS, 12)]
+    assert verdicts[0] == verdicts[1] and verdicts[0][900] and not verdicts[0][901]
 
 
 def test_rules_of_awkward_rows(spark):
