@@ -154,3 +154,16 @@ def test_new_rows_land_by_their_landmarks(spark, graph):
     assert max(abs(p - q) for i in old for p, q in zip(old[i], again[i])) < 1e-2 * spread
     assert neighbours.landmarks(placed, 50).count() == 50
     assert neighbours.place(placed.select("id", F.col("v")).limit(0), marks).count() == 0
+
+
+def test_nearest_of_a_long_list_with_repeats_is_not_searched_pair_by_pair(spark):
+    import time
+    n = 30_000
+    one = spark.range(n).select(F.format_string("d%06d", "id").alias("id"), F.array(F.cos(F.col("id") / n), F.sin(F.col("id") / n)).alias("v"))
+    heard = materialise(one.agg(F.collect_list(F.struct("id", "v")).alias("all")), "heard")
+    told = F.concat("all", F.slice("all", 1, 50))
+    began = time.perf_counter()
+    near = heard.select(neighbours._nearest(F.lit("d000000"), F.array(F.lit(1.0), F.lit(0.0)), told, 9).alias("near")).first()["near"]
+    assert [r["id"] for r in near] == [f"d{i:06d}" for i in range(1, 10)]
+    # 4.5e8 pairs of structs would take minutes
+    assert time.perf_counter() - began < 20
