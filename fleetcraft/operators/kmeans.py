@@ -55,8 +55,13 @@ def _chance(keys: np.ndarray, seed: int, step: int) -> np.ndarray:
 
 
 def _distances(x: np.ndarray, centers: np.ndarray) -> np.ndarray:
-    """Squared distances, point by centre."""
-    return ((x[:, None, :] - centers[None, :, :]) ** 2).sum(axis=2)
+    """Squared distances, point by centre: one plane a coordinate, added up in order."""
+    total, apart = np.zeros((len(x), len(centers))), np.empty((len(x), len(centers)))
+    for j in range(x.shape[1]):
+        np.subtract(x[:, j:j + 1], centers[:, j], out=apart)
+        apart *= apart
+        total += apart
+    return total
 
 
 def _points(points: DataFrame, key: str, dims: Sequence[str]) -> DataFrame:

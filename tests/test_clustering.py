@@ -167,3 +167,15 @@ def test_nearest_of_a_long_list_with_repeats_is_not_searched_pair_by_pair(spark)
     assert [r["id"] for r in near] == [f"d{i:06d}" for i in range(1, 10)]
     # 4.5e8 pairs of structs would take minutes
     assert time.perf_counter() - began < 20
+
+
+def test_distances_hold_one_plane_at_a_time():
+    import tracemalloc
+    rng = np.random.default_rng(8)
+    x, centers = rng.normal(size=(2048, 2)), rng.normal(size=(40, 2))
+    tracemalloc.start()
+    got = kmeans._distances(x, centers)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (got == ((x[:, None, :] - centers[None, :, :]) ** 2).sum(axis=2)).all()
+    assert peak <= 2.5 * got.nbytes
