@@ -57,3 +57,18 @@ def test_assign_picks_nearest(spark):
     pts = spark.createDataFrame([("p", 0.9, 0.9), ("q", 0.1, 0.0)], "driver_uuid string, c1 double, c2 double")
     got = {r.driver_uuid: r.cluster for r in segment.assign(pts, [(0.0, 0.0), (1.0, 1.0)]).collect()}
     assert got == {"p": 1, "q": 0}
+
+
+def test_the_feature_table_is_built_once_a_query(spark, monkeypatch):
+    from fleetcraft.operators import segment, trees
+    from fleetcraft.plans import queries_segment as q
+    built, build = [], q.features_table
+    monkeypatch.setattr(q, "features_table", lambda spark, sf: built.append(sf) or build(spark, sf))
+    monkeypatch.setattr(segment, "RESTARTS", 2)
+    monkeypatch.setattr(segment, "feature_importance", lambda labelled: labelled)
+    monkeypatch.setattr(trees, "fit_extra_trees", lambda labelled, *_: labelled)
+    monkeypatch.setattr(trees, "importance", lambda spark, labelled, *_: labelled)
+    for query in (q.score_job_stored, q.priority_stored, q.feature_importance, q.extra_trees_importance):
+        built.clear()
+        query(spark, "/root/testdata/sf0.01")
+        assert len(built) == 1, query.__name__
