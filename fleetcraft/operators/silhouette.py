@@ -77,18 +77,27 @@ def quadtree(points: DataFrame, cells: int = CELLS, levels: int = LEVELS) -> tup
     return tree, np.unique(tree[:, 0])
 
 
+def _apart(dx: np.ndarray, dy: np.ndarray) -> np.ndarray:
+    """Root of the summed squares, written over the first."""
+    dx *= dx
+    dy *= dy
+    dx += dy
+    return np.sqrt(dx, out=dx)
+
+
 def mean_distances(x: np.ndarray, tree: np.ndarray, clusters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sum of distances of each point to each cluster's points, and how far it may be off."""
-    total, error = np.zeros((len(x), len(clusters))), np.zeros((len(x), len(clusters)))
-    which = np.searchsorted(clusters, tree[:, 0])
     n, v = tree[:, 1], tree[:, 4]
-    d = np.hypot(x[:, 0:1] - tree[:, 2], x[:, 1:2] - tree[:, 3])
-    gap = np.hypot(*(np.maximum(0, np.maximum(tree[:, 5 + k] - x[:, k:k + 1], x[:, k:k + 1] - tree[:, 7 + k])) for k in (0, 1)))
-    with np.errstate(divide="ignore", invalid="ignore"):
-        off = np.where(v > 0, np.minimum(np.sqrt(v), np.where(gap > 0, v / (2 * gap), np.inf)), 0)
-    for c in range(len(clusters)):
-        mine = which == c
-        total[:, c], error[:, c] = (d[:, mine] * n[mine]).sum(axis=1), (off[:, mine] * n[mine]).sum(axis=1)
+    # a column per cluster: how many of its points lie in each cell
+    held = np.where(tree[:, :1] == clusters, n[:, None], 0.0)
+    total = _apart(x[:, 0:1] - tree[:, 2], x[:, 1:2] - tree[:, 3]) @ held
+    # an exact cell errs by nothing, so only the others are measured
+    loose = np.flatnonzero(v > 0)
+    low, high, v = tree[loose, 5:7], tree[loose, 7:9], v[loose]
+    gap = _apart(*(x[:, k:k + 1] - np.clip(x[:, k:k + 1], low[:, k], high[:, k]) for k in (0, 1)))
+    with np.errstate(divide="ignore"):
+        off = np.divide(v / 2, gap, out=gap)
+    error = np.minimum(off, np.sqrt(v), out=off) @ held[loose]
     return total, error
 
 

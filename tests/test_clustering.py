@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from fleetcraft.operators import kmeans, neighbours
+from fleetcraft.operators import kmeans, neighbours, segment
 from fleetcraft.operators import silhouette as sil
 from fleetcraft.sources.tables import materialise
 
@@ -179,3 +179,56 @@ def test_distances_hold_one_plane_at_a_time():
     tracemalloc.stop()
     assert (got == ((x[:, None, :] - centers[None, :, :]) ** 2).sum(axis=2)).all()
     assert peak <= 2.5 * got.nbytes
+
+
+def test_points_of_a_fit_and_of_a_silhouette_are_dealt_to_all_cores(spark, monkeypatch):
+    x = np.random.default_rng(9).random((4 * segment.ROWS_A_TASK, 2))
+    one = materialise(plane(spark, x, parts=1), "one-file")
+    assert one.rdd.getNumPartitions() == 1
+    cores, fit, near, seen = spark.sparkContext.defaultParallelism, kmeans.fit_many, sil.euclidean_silhouette, []
+
+    def watched(f):
+        def call(points, *a, **k):
+            seen.append((points.rdd.getNumPartitions(), points.count()))
+            return f(points, *a, **k)
+        return call
+
+    monkeypatch.setattr(kmeans, "fit_many", watched(fit))
+    monkeypatch.setattr(sil, "euclidean_silhouette", watched(near))
+    assert segment.silhouette_by_k(one, (2,), restarts=1).first()["k"] == 2
+    assert len(seen) == 2 and all(parts >= min(3, cores) and rows == len(x) for parts, rows in seen)
+
+
+def test_cells_are_measured_in_few_planes():
+    import tracemalloc
+    rng = np.random.default_rng(10)
+    x, at = rng.random((256, 2)), rng.random((4096, 2))
+    tree = np.column_stack([rng.integers(0, 5, 4096), rng.integers(1, 9, 4096), at, rng.integers(0, 2, 4096) * 1e-4, at - 0.01, at + 0.01])
+    clusters = np.unique(tree[:, 0])
+    tracemalloc.start()
+    total, error = sil.mean_distances(x, tree, clusters)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    d = np.sqrt(((x[:, None] - at[None]) ** 2).sum(axis=2))
+    out = np.maximum(0, np.maximum(tree[:, 5:7] - x[:, None], x[:, None] - tree[:, 7:9]))
+    gap = np.sqrt((out ** 2).sum(axis=2))
+    v = tree[:, 4]
+    off = np.where(v > 0, np.minimum(np.sqrt(v), v / np.where(gap > 0, 2 * gap, 1e-300)), 0)
+    for k, c in enumerate(clusters):
+        mine = tree[:, 0] == c
+        assert np.allclose(total[:, k], (d * tree[:, 1])[:, mine].sum(axis=1), rtol=1e-12)
+        assert np.allclose(error[:, k], (off * tree[:, 1])[:, mine].sum(axis=1), rtol=1e-12)
+    # a plane is a number per point and cell
+    assert peak <= 4 * d.nbytes
+
+
+def test_nearest_is_that_of_plain_numpy_and_of_equals_the_first():
+    rng = np.random.default_rng(11)
+    x, centers = rng.normal(size=(2, kmeans.ROWS)).T, rng.normal(size=(3, 2))
+    d = ((x[:, None] - centers[None]) ** 2).sum(axis=2)
+    near, least = kmeans._nearest(kmeans._distances(x, centers))
+    assert (near == d.argmin(axis=1)).all() and (least == d.min(axis=1)).all()
+    # a centre's distances lie together, so work on them is work on whole rows
+    assert kmeans._distances(x, centers)[:, 1].flags.c_contiguous
+    tied = kmeans._nearest(kmeans._distances(np.array([[1.0, 0.0]]), np.array([[0.0, 0.0], [2.0, 0.0]])))
+    assert tied[0].tolist() == [0] and tied[1].tolist() == [1.0]
