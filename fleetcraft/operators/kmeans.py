@@ -55,13 +55,25 @@ def _chance(keys: np.ndarray, seed: int, step: int) -> np.ndarray:
 
 
 def _distances(x: np.ndarray, centers: np.ndarray) -> np.ndarray:
-    """Squared distances, point by centre: one plane a coordinate, added up in order."""
-    total, apart = np.zeros((len(x), len(centers))), np.empty((len(x), len(centers)))
+    """Squared distances, point by centre: one plane a coordinate, added up in order.
+
+    Each centre's distances lie together, as do each coordinate's values: a run has few centres and a batch many points.
+    """
+    total, apart = np.zeros((len(centers), len(x))), np.empty((len(centers), len(x)))
     for j in range(x.shape[1]):
-        np.subtract(x[:, j:j + 1], centers[:, j], out=apart)
+        np.subtract(x[:, j], centers[:, j:j + 1], out=apart)
         apart *= apart
         total += apart
-    return total
+    return total.T
+
+
+def _nearest(distances: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Nearest centre of each point, of equals the first, and its squared distance."""
+    near, least = np.zeros(len(distances), dtype=np.intp), distances[:, 0].copy()
+    for k in range(1, distances.shape[1]):
+        near[distances[:, k] < least] = k
+        np.minimum(least, distances[:, k], out=least)
+    return near, least
 
 
 def _points(points: DataFrame, key: str, dims: Sequence[str]) -> DataFrame:
@@ -74,7 +86,7 @@ def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np
     for batch in batches:
         columns = [c.to_numpy() for c in batch.columns]
         for at in range(0, batch.num_rows, ROWS):
-            yield columns[0][at:at + ROWS].astype(np.int64), np.stack([c[at:at + ROWS] for c in columns[1:]], axis=1)
+            yield columns[0][at:at + ROWS].astype(np.int64), np.stack([c[at:at + ROWS] for c in columns[1:]]).T
 
 
 def _draw(source: DataFrame, dims: Sequence[str], runs: list[Run], step: int) -> dict[int, list[float]]:
@@ -115,12 +127,11 @@ def assignment_sums(source: DataFrame, dims: Sequence[str], centers: Sequence[np
         totals = [np.zeros((len(c), len(dims) + 2)) for c in states]
         for _, x in _batches(batches):
             for c, total in zip(states, totals):
-                d = _distances(x, c)
-                near = d.argmin(axis=1)
+                near, least = _nearest(_distances(x, c))
                 total[:, 0] += np.bincount(near, minlength=len(c))
                 for j in range(len(dims)):
                     total[:, 1 + j] += np.bincount(near, weights=x[:, j], minlength=len(c))
-                total[:, -1] += np.bincount(near, weights=d[np.arange(len(x)), near], minlength=len(c))
+                total[:, -1] += np.bincount(near, weights=least, minlength=len(c))
         rows = [(i, k, int(row[0]), *map(float, row[1:])) for i, total in enumerate(totals)
                 for k, row in enumerate(total) if row[0]]
         arrow = to_arrow_schema(schema)
