@@ -192,3 +192,18 @@ def test_exact_quantiles_small_tables_interpolate(spark, n):
     got = profile.exact_quantiles(df, ["x"], (0.25, 0.5, 0.75))["x"]
     exp = [pd.Series(vals).quantile(q) for q in (0.25, 0.5, 0.75)]
     assert got == pytest.approx(exp, abs=1e-9)
+
+
+def test_flags_are_summed_as_whole_numbers_and_stored_as_before(spark):
+    facts = spark.createDataFrame(
+        [("u", "R", 1, 1, 0, 1, 0.1, None), ("u", "R", 2, 1, 1, 0, 0.25, 3.5), ("u", "S", None, 0, 0, 1, None, 1.25)],
+        "driver_uuid string, logistic_region string, order_delivery_uuid long, is_critical_delay int, "
+        "driver_delay_origin int, is_ontime int, driver_consumer_evaluation double, speed double")
+    sums = feat.region_days(facts, ("driver_uuid", "logistic_region"))
+    assert {sums.schema[f"sum_{m}"].dataType.simpleString() for m in feat.MEANS} == {feat.EXACT}
+    plan = sums._jdf.queryExecution().optimizedPlan().toString()
+    for c in feat.FLAGS:
+        assert f"sum({c}#" in plan
+    row = feat.means_of_days(sums).first()
+    assert row.asDict() == {"driver_uuid": "u", "prop_critical_delay": 0.6667, "driver_delay_origin": 0.3333, "speed": 2.375,
+                            "consumer_evaluation": 0.175, "sla": 0.6667}
