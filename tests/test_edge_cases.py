@@ -2,6 +2,7 @@
 
 import datetime as dt
 import math
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,6 +11,8 @@ from fleetcraft.functions.columns import flag
 from fleetcraft.functions.period import Period
 from fleetcraft.operators import features as feat
 from fleetcraft.operators import geo, prepare, profile
+from fleetcraft.plans import feature_mart
+from fleetcraft.plans.settings import FEATURES
 
 
 def test_flag_on_null_is_zero(spark):
@@ -207,3 +210,78 @@ def test_flags_are_summed_as_whole_numbers_and_stored_as_before(spark):
     row = feat.means_of_days(sums).first()
     assert row.asDict() == {"driver_uuid": "u", "prop_critical_delay": 0.6667, "driver_delay_origin": 0.3333, "speed": 2.375,
                             "consumer_evaluation": 0.175, "sla": 0.6667}
+
+
+def test_main_region_and_means_come_of_one_pass(spark):
+    facts = spark.createDataFrame(
+        [("u", "S", 1, 1, 0, 1, 0.1, None), ("u", "R", 2, 1, 1, 0, 0.25, 3.5), ("u", None, 3, 0, 0, 1, None, 1.25),
+         ("v", "S", 4, 0, 0, 0, 0.5, 2.0), ("v", "S", 4, 1, 0, 0, 0.5, 2.0), ("v", "R", None, 1, 1, 1, 0.25, 1.0),
+         ("w", "Z", 5, 0, 0, 0, None, None), ("w", "B", 6, 0, 1, 0, None, None), ("x", None, 7, 1, 1, 1, 0.00005, 1.0)],
+        "driver_uuid string, logistic_region string, order_delivery_uuid long, is_critical_delay int, "
+        "driver_delay_origin int, is_ontime int, driver_consumer_evaluation double, speed double")
+    sums = feat.region_sums(facts)
+    assert {sums.schema[f"sum_{m}"].dataType.simpleString() for m, c in feat.MEANS.items() if c in feat.FLAGS} == {"bigint"}
+    for ties in ("one", "all"):
+        got = feat.region_and_means(sums, ties)
+        want = feat.main_region(facts, ties).join(feat.delivery_kpis(facts), "driver_uuid").select(*got.columns)
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+        plan = got._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("LogicalRDD") == 1 and "Join" not in plan
+    with pytest.raises(ValueError):
+        feat.region_and_means(sums, "some")
+
+
+def test_only_the_drivers_that_are_wanted_are_counted(spark):
+    day = dt.date(2024, 1, 20)
+    reg = spark.createDataFrame([(k, "ACTIVE", dt.datetime(2024, 1, 20), "bogota") for k in (1, 2, 3)],
+                                "worker_id long, worker_state string, registration_approval_timestamp timestamp_ntz, "
+                                "logistic_region string")
+    workers = spark.createDataFrame([(1, "u1"), (2, "u2"), (3, "u3")], "driver_id long, driver_uuid string")
+    deliveries = spark.createDataFrame([("u1", day, 1, 10), ("u1", day, 1, 11), ("u2", day, 2, 20), ("u3", day, 3, 30), ("u3", day, 3, 30)],
+                                       "driver_uuid string, date_partition date, order_uuid long, order_delivery_uuid long")
+    as_of = dt.date(2024, 1, 30)
+    among = spark.createDataFrame([("u1",), ("u1",), ("u3",), ("u9",), (None,)], "driver_uuid string")
+    every = {r.driver_uuid: r for r in feat.new_drivers(reg, workers, deliveries, as_of).collect()}
+    some = {r.driver_uuid: r for r in feat.new_drivers(reg, workers, deliveries, as_of, among=among).collect()}
+    assert set(every) == {"u1", "u2", "u3"} and some == {u: every[u] for u in ("u1", "u3")}
+
+    daily = spark.createDataFrame([("u1", day, 2.0, 1), ("u2", day, None, 0), ("u3", day, 0.5, 2), (None, day, 1.0, 1)],
+                                  "driver_uuid string, date_partition date, positive_hours double, positive_intervals long")
+    kept = feat.of_drivers_with_hours(deliveries, daily)
+    assert {r.driver_uuid for r in kept.collect()} == {"u1", "u3"} and kept.count() == 4
+    assert sorted(feat.utr(daily, kept).collect(), key=str) == sorted(feat.utr(daily, deliveries).collect(), key=str)
+
+
+def _small_tables(spark):
+    """Logical tables of three drivers: u1 has all that a feature row needs, u2 no hours, u3 another region."""
+    day = dt.date(2024, 1, 20)
+    ts = dt.datetime(2024, 1, 20, 12)
+    rows = {
+        "workers": ([(k, f"u{k}") for k in (1, 2, 3)], "driver_id long, driver_uuid string"),
+        "deliveries": ([(k, f"u{k}", 10 * k + i, 100 * k + i, "F", day, "ELSEWHERE" if k == 3 else "NATION_1", 1.0, 0.5, 10.0, 25.0,
+                         "true", 3600.0, 10.0) for k in (1, 2, 3) for i in range(k)],
+                       "driver_id long, driver_uuid string, order_uuid long, order_delivery_uuid long, last_status string, "
+                       "date_partition date, logistic_region string, delay double, driver_consumer_evaluation double, "
+                       "real_delivery_time double, expected_delivery_time double, late_driver_flag string, "
+                       "time_to_destination double, distance_route double"),
+        "routes": ([(k, day, None) for k in (1, 2, 3)], "driver_id long, date_partition date, cancel_rejection_type string"),
+        "supply_intervals": ([(k, day, ts, 3600.0, 1800.0) for k in (1, 3)], "driver_id long, date_partition date, "
+                             "interval_start_timestamp timestamp_ntz, interval_executed_seconds double, interval_worked_seconds double"),
+        "strikes": ([(1, day, "error", 1)], "driver_id long, created_date date, strike_classification string, strike_id long"),
+        "billing": ([(1, day, "purchase", 5.0, 1)], "driver_id long, day date, billing_cause string, quantity double, id long"),
+        "wallet_streak": ([(1, day, 1.0)], "driver_id long, date_partition date, sign double"),
+        "worker_registration": ([(k, "ACTIVE", dt.datetime(2024, 1, 20), "NATION_1") for k in (1, 2, 3)],
+                                "worker_id long, worker_state string, registration_approval_timestamp timestamp_ntz, logistic_region string"),
+    }
+    frames = {name: spark.createDataFrame(*r) for name, r in rows.items()}
+    return SimpleNamespace(spark=spark, **{name: lambda df=df: df for name, df in frames.items()})
+
+
+def test_the_feature_row_neither_stores_region_sums_nor_counts_drivers_it_drops(spark, monkeypatch):
+    stored, store, among, build = [], feature_mart.materialise, [], feat.new_drivers
+    monkeypatch.setattr(feature_mart, "materialise", lambda df, name: stored.append(name) or store(df, name))
+    monkeypatch.setattr(feat, "new_drivers", lambda *a, **k: among.append(k["among"]) or build(*a, **k))
+    row, = feature_mart.feature_row(_small_tables(spark), FEATURES).collect()
+    assert (row.driver_uuid, row.logistic_region, row.sla, row.speed, row.avg_daily_utr, row.orders, row.antiquity) == (
+        "u1", "Nation_1", 1.0, 10.0, 1.0, 1, 5)
+    assert stored == ["supply-days", "joined-features"] and [r.driver_uuid for r in among[0].collect()] == ["u1"]
